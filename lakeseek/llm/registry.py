@@ -34,7 +34,68 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_removed")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from .license_templates import TEMPLATES
+    from .licenses import CONTAINMENT, SHORT
+
+    values = ",\n".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    return f"""
+        WITH template(license, body) AS (VALUES {values}),
+        tw AS (SELECT license, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM template),
+        ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM tw),
+        size AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+        dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+        ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM dw),
+        hit AS (SELECT doc_id, license, count(*) AS n_shared FROM ds JOIN ts USING (shingle) GROUP BY doc_id, license)
+        SELECT doc_id, license, n_shared, CAST(n_shared AS DOUBLE) / n AS containment
+        FROM hit JOIN size USING (license)
+        WHERE CASE WHEN n <= {SHORT} THEN n_shared = n ELSE n_shared >= ceil({CONTAINMENT} * n) END
+    """
+
+
 _SQL = {
+    "op5_decontaminate": """
+        WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+        dg AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS p, w FROM dw WHERE len(w) >= 12),
+        bg AS (SELECT item_id, unnest(range(1, len(w) - 10)) AS q, w FROM bw WHERE len(w) >= 12),
+        d AS (SELECT doc_id, p, array_to_string(w[p:p + 11], ' ') AS gram FROM dg),
+        b AS (SELECT item_id, q, array_to_string(w[q:q + 11], ' ') AS gram FROM bg),
+        hit AS (SELECT doc_id, item_id, p, q, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island
+                FROM d JOIN b USING (gram))
+        SELECT doc_id, item_id, min(p) - 1 AS doc_word, min(q) - 1 AS item_word, CAST(count(*) + 11 AS BIGINT) AS n_words
+        FROM hit GROUP BY doc_id, item_id, p - q, island
+    """,
     "op3_chat_format": """
         SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
                string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
@@ -45,8 +106,8 @@ _SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_chat_format, op5_decontaminate, op6_quality_rules, op7_secret_scan, op8_line_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {"op10_license_scan": _license_sql()}
