@@ -72,10 +72,10 @@ def _license_sql() -> str:
     return f"""
         WITH template(license, body) AS (VALUES {values}),
         tw AS (SELECT license, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM template),
-        ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM tw),
+        ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM tw),
         size AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
         dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-        ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM dw),
+        ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM dw),
         hit AS (SELECT doc_id, license, count(*) AS n_shared FROM ds JOIN ts USING (shingle) GROUP BY doc_id, license)
         SELECT doc_id, license, n_shared, CAST(n_shared AS DOUBLE) / n AS containment
         FROM hit JOIN size USING (license)
