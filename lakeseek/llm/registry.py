@@ -34,6 +34,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import ngram_jaccard_join
+
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -84,6 +90,20 @@ def _license_sql() -> str:
 
 
 _SQL = {
+    "op4_ngram_jaccard_join": """
+        WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        ds AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS grams
+               FROM dw WHERE len(w) > 0),
+        sets AS (SELECT list(DISTINCT doc_id ORDER BY doc_id) AS ids, grams, row_number() OVER () AS s FROM ds GROUP BY grams),
+        g AS (SELECT s, unnest(grams) AS gram FROM sets),
+        pair AS (SELECT x.s AS a, y.s AS b, count(*) AS common FROM g x JOIN g y ON x.gram = y.gram AND x.s < y.s GROUP BY x.s, y.s),
+        near AS (SELECT l.ids[1] AS x, r.ids[1] AS y, CAST(common AS DOUBLE) / (len(l.grams) + len(r.grams) - common) AS jaccard
+                 FROM pair JOIN sets l ON l.s = a JOIN sets r ON r.s = b)
+        SELECT least(x, y) AS doc_a, greatest(x, y) AS doc_b, jaccard FROM near WHERE jaccard >= 0.6
+        UNION ALL
+        SELECT ids[1] AS doc_a, unnest(ids[2:]) AS doc_b, CAST(1 AS DOUBLE) AS jaccard FROM sets WHERE len(ids) > 1
+    """,
     "op5_decontaminate": """
         WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
         bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
@@ -106,7 +126,7 @@ _SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_chat_format, op5_decontaminate, op6_quality_rules, op7_secret_scan, op8_line_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_chat_format, op4_ngram_jaccard_join, op5_decontaminate, op6_quality_rules, op7_secret_scan, op8_line_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
