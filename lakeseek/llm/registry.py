@@ -64,6 +64,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_removed")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
@@ -126,7 +132,7 @@ _SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_chat_format, op4_ngram_jaccard_join, op5_decontaminate, op6_quality_rules, op7_secret_scan, op8_line_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_chat_format, op4_ngram_jaccard_join, op5_decontaminate, op6_quality_rules, op7_secret_scan, op8_line_dedup, op9_packing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
