@@ -13,6 +13,7 @@ from . import kernels as K
 BITS, SAMPLE, KEEP = 18, 4000, 0.5
 #: Length of the character grams.
 CHARS = 3
+_FIT_CHARS = 300_000
 _EPOCHS, _RATE, _L2 = 120, 0.3, 1e-7
 
 
@@ -104,10 +105,14 @@ def fit(texts: pa.Array, good: np.ndarray, bits: int = BITS) -> np.ndarray:
     held = np.arange(n) % 4 == 3
     if good[held].all() or not good[held].any() or good[~held].all() or not good[~held].any():
         held[:] = False
-    index, weight, offsets = features(texts, bits)
-    both, at = np.unique(K.owner(offsets) * size + index, return_inverse=True)
-    text, index = np.divmod(both, size)
-    weight = np.bincount(at, weight, len(both))
+    parts, first = [], 0
+    for part in K.slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", _FIT_CHARS):
+        own, own_weight, offsets = features(part.column("text"), bits)
+        both, at = np.unique(K.owner(offsets) * size + own, return_inverse=True)
+        parts.append(((both // size + first).astype(np.int32), (both % size).astype(np.int32), np.bincount(at, own_weight, len(both)).astype(np.float32)))
+        first += part.num_rows
+    text, index, weight = (np.concatenate(x) for x in zip(*parts))
+    del parts
     own = ~held[text]
     index_fit, weight_fit, text_fit = index[own], weight[own], text[own]
     y = good.astype(np.float64)
