@@ -59,7 +59,7 @@ class LogIndex(SearchIndex):
         lines = rows.withColumn("line", F.col(self.column))
         postings = token_postings(lines, ["file_path", "uid"]).distinct()
         types = split_types(postings, self.type_tokens).select("mask", "own")
-        tagged = postings.join(F.broadcast(types), "mask").withColumn("mask", F.when("own", F.col("mask")).otherwise(-1)).drop("own")
+        tagged = postings.join(F.broadcast(types), "mask").withColumn("mask", F.when(F.col("own"), F.col("mask")).otherwise(-1)).drop("own")
         common = tagged.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.dictionary_lines).select("token")
         return {
             "tokens": tagged.join(common, "token", "left_anti").repartitionByRange("mask", "token").sortWithinPartitions("mask", "token"),

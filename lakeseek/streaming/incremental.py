@@ -11,8 +11,8 @@ from ..sources.catalog import Catalog
 from ..sources.lake import ParquetLake
 
 
-def index_stream(spark: SparkSession, path: str, schema: str, catalog: Catalog, index: SearchIndex, checkpoint: str, row_threshold: int = 10_000, **trigger) -> StreamingQuery:
-    """Watch a folder and index its new files in micro-batches.
+def index_stream(spark: SparkSession, path: str, schema: str, catalog: Catalog, index: SearchIndex, checkpoint: str, row_threshold: int = 10_000, watch: str | None = None, **trigger) -> StreamingQuery:
+    """Watch a folder (or what the pattern ``watch`` matches) and index its new files in micro-batches.
 
     The stream only says that there are new files; which ones are indexed is the
     anti join with the catalog, so a repeated batch does nothing twice.
@@ -22,5 +22,5 @@ def index_stream(spark: SparkSession, path: str, schema: str, catalog: Catalog,
         if not batch.isEmpty():
             build_index(ParquetLake(spark, path), catalog, index, row_threshold)
 
-    arrivals = spark.readStream.schema(schema).parquet(path)
+    arrivals = spark.readStream.schema(schema).parquet(watch or path)
     return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
