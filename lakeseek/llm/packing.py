@@ -120,7 +120,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for k in range(parts):
                 a, b = cut[k], cut[k + 1]
                 if a < b:
-                    rows.append((block, k, k, 0, 0, _join([K.pack(seen[a:b]), K.pack(df[a:b])])))
+                    rows.append((block, k, k, 0, 0, _join([_deltas(seen[a:b]), K.pack(df[a:b])])))
             yield _batch(rows)
             block += 1
 
@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = [(k, *_split(payloads[k])) for k in range(len(blocks)) if marks[k] >= 0]
         rows = [(blocks[k], 0, -1, 0, 0, payloads[k]) for k in range(len(blocks)) if marks[k] < 0]
         if own:
-            terms = [K.unpack(x, np.uint64) for _, x, _ in own]
+            terms = [_running(x) for _, x, _ in own]
             seen, code = np.unique(np.concatenate(terms), return_inverse=True)
             total = np.bincount(code, np.concatenate([K.unpack(x, np.uint32) for _, _, x in own])).astype(np.uint32)
             at = 0
@@ -142,7 +142,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = sorted(zip(group["part"].to_pylist(), group["payload"].to_pylist()), key=lambda x: x[0])
         ids, lengths, bounds, code, tf = _split(rows[0][1])
         lists = [_split(x) for _, x in rows[1:]]
-        seen, df = (np.concatenate([K.unpack(x[k], kind) for x in lists]) if lists else np.zeros(0, kind) for k, kind in ((0, np.uint64), (1, np.uint32)))
+        seen, df = (np.concatenate([read(x[k]) for x in lists]) if lists else np.zeros(0, kind) for k, kind, read in ((0, np.uint64, _running), (1, np.uint32, lambda x: K.unpack(x, np.uint32))))
         lengths, bounds = K.unpack(lengths, np.uint32).astype(np.int64), K.unpack(bounds, np.uint32).astype(np.int64)
         code, tf = K.unpack(code, np.uint32, "zstd").astype(np.int64), K.unpack(tf, np.uint32, "zstd")
         out: dict[str, list] = {"near": [], "terms": [], "tf": [], "df": []}
@@ -154,9 +154,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own, own_tf = own[shared], own_tf[shared]
             rare = own[np.lexsort((hashed[own], df[own]))[:RAREST]]
             out["near"].append(int(hashed[rare].min() >> np.uint64(1)) if len(rare) else 0)
-            out["terms"].append(K.pack(seen[own]))
-            out["tf"].append(K.pack(own_tf))
-            out["df"].append(K.pack(df[own]))
+            out["terms"].append(_deltas(seen[own]))
+            out["tf"].append(K.pack(own_tf, "zstd"))
+            out["df"].append(K.pack(df[own], "zstd"))
         return pa.table({"id": _read_ids(ids).take(pa.array(at, pa.int64())), "n": pa.array(lengths[at], pa.int64()), "near": pa.array(out["near"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("terms", "tf", "df")}})
 
     made = K.materialise(source.mapInArrow(split, _ROWS))
@@ -173,7 +173,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def flush():
             rows = sorted(held, key=lambda r: (r["id"] is not None, r["id"] or 0))
             lengths = np.array([r["n"] for r in rows], np.int64)
-            lists = [[K.unpack(r[c], kind) for r in rows] for c, kind in (("terms", np.uint64), ("tf", np.uint32), ("df", np.uint32))]
+            lists = [[_running(r["terms"]) for r in rows], *([K.unpack(r[c], np.uint32, "zstd") for r in rows] for c in ("tf", "df"))]
             out = []
             for k, one in enumerate(fill(Shard(*lists, lengths, n_docs, mean), lengths, window)):
                 out += [((bucket << 40) + (number << 24) + k, p, rows[d]["id"], a, n) for p, (d, a, n) in enumerate(one)]
@@ -196,6 +196,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("pack_id", "position", F.col("id").alias(id_col), "first_word", "n_words")
 
 
+def _deltas(ascending: np.ndarray) -> bytes:
+    return K.pack(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def _running(packed: bytes) -> np.ndarray:
+    return np.cumsum(K.unpack(packed, np.uint64), dtype=np.uint64)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * 6
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
