@@ -127,7 +127,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "bucket", "part", "payload"])
 
 
-def _placed(sets: DataFrame, chunk: int) -> DataFrame:
+def _placed(sets: DataFrame, chunk: int, threshold: float) -> DataFrame:
     """The sets with the pieces in which they are compared: ``(group, i, j, side)``.
 
     Sets that share a token of their prefixes under the first order are of one
@@ -146,66 +146,102 @@ def _placed(sets: DataFrame, chunk: int) -> DataFrame:
     least = each.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z")
     edges = each.join(least.select("token", "a"), "token").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
     label = K.materialise(components(edges).select(F.col("node").alias("key"), F.col("label").alias("group")))
-    sizes = label.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("g"))
-    placed = sets.join(label.join(sizes, "group"), "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
-    pieces = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    # Sizes of partners differ by a factor of 1 / threshold at most, so their classes by one.
+    level = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
+    labelled = sets.join(label, "key").withColumn("level", level)
+    counts = labelled.groupBy("group", "level").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each component; a component has few classes.
+    plan = counts.groupBy("group").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("n") / chunk).cast("int")))).alias("parts"))
+    placed = labelled.join(plan, "group").withColumn("whole", F.col("all") <= chunk)
+    own = F.when(F.col("whole"), 0).otherwise(F.pmod(F.xxhash64("key"), F.element_at("parts", F.col("level"))).cast("int"))
+    code = lambda level, part: level.cast("long") * F.lit(1 << 32) + part
+    near = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.coalesce(F.try_element_at("parts", F.col("level") + d), F.lit(0))), lambda k: k < F.coalesce(F.try_element_at("parts", F.col("level") + d), F.lit(0))), lambda k: code(F.col("level") + d, k))))
+    placed = placed.withColumn("own", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(code(F.col("level"), own)))
+    pieces = F.transform(F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(near), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     return placed.withColumn("piece", F.explode(pieces)).select("group", "piece.i", "piece.j", "own", "key", "ids", "size", "prefix", "tokens", "dfs")
 
 
 def _compare(rows: list[dict], i: int, j: int, threshold: float, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (left, right, Jaccard) of a piece's sets."""
-    n = len(rows)
+    """Pairs (left, right, Jaccard) of a piece's sets: of one part with itself, or of two parts with each other."""
+    own = np.array([r["own"] for r in rows])
+    sides = [np.arange(len(rows))] * 2 if i == j else [np.flatnonzero(own == i), np.flatnonzero(own == j)]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(sides[0]) or not len(sides[1]):
+        return none
     lists = [K.unpack(r["tokens"], np.uint64) for r in rows]
-    dfs = [K.unpack(r["dfs"], np.uint32) for r in rows]
     size, prefix = np.array([r["size"] for r in rows]), np.array([r["prefix"] for r in rows])
     each = np.array([len(x) for x in lists])
-    tokens, df, row = np.concatenate(lists), np.concatenate(dfs), np.repeat(np.arange(n), each)
-    seen, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    own = np.array([r["own"] for r in rows])
-    candidate = np.triu(np.ones((n, n), bool), 1)
-    if i != j:
-        candidate &= own[:, None] != own[None, :]  # those of one part meet in its own piece
-    candidate &= (size[:, None] >= threshold * size[None, :] - 1e-9) & (size[None, :] >= threshold * size[:, None] - 1e-9)
-    # Columns of tokens that one set alone has here can't add to anything.
-    column = np.cumsum(count > 1) - 1
-    used = (count > 1)[code]
-    width = int((count > 1).sum())
+    tokens, row = np.concatenate(lists), np.repeat(np.arange(len(rows)), each)
+    frequency = np.log2(np.concatenate([K.unpack(r["dfs"], np.uint32) for r in rows])).astype(np.int8)
+    code = np.unique(tokens, return_inverse=True)[1]
+    a, b = size[sides[0]], size[sides[1]]
+    candidate = (a[:, None] >= threshold * b - 1e-9) & (b >= threshold * a[:, None] - 1e-9)
+    if i == j:
+        candidate = np.triu(candidate, 1)
     for k in range(orders):
         if k == 0:
             order = np.arange(len(tokens))  # as it comes: document frequency, then hash
         else:
-            order = np.lexsort((K.mix(tokens ^ _SEEDS[k]), np.log2(df).astype(np.int8), row))
+            order = np.lexsort((K.mix(tokens ^ _SEEDS[k]), frequency, row))
         rank = np.empty(len(tokens), np.int64)
         rank[order] = np.arange(len(tokens)) - np.repeat(np.cumsum(each) - each, each)
-        inside = (rank < prefix[row]) & used
-        candidate &= _overlap(row[inside], column[code[inside]], n, width) > 0
+        inside = rank < prefix[row]
+        candidate &= _common(row[inside], code[inside], sides, candidate) > 0
         if not candidate.any():
-            break
+            return none
+    common = _common(row, code, sides, candidate)
     left, right = np.nonzero(candidate)
-    if not len(left):
-        return left, right, np.zeros(0)
-    busy = np.zeros(n, bool)
-    busy[left] = busy[right] = True
-    place = np.cumsum(busy) - 1
-    inside = used & busy[row]
-    common = _overlap(place[row[inside]], column[code[inside]], int(busy.sum()), width)[place[left], place[right]]
-    union = size[left] + size[right] - common
+    common = common[left, right].astype(np.int64)
+    union = a[left] + b[right] - common
     keep = common >= threshold * union - 1e-9
-    return left[keep], right[keep], common[keep] / union[keep]
+    return sides[0][left[keep]], sides[1][right[keep]], common[keep] / union[keep]
 
 
-def _overlap(row: np.ndarray, column: np.ndarray, n: int, width: int, step: int = 4096) -> np.ndarray:
-    """Columns that each two rows have in common, as products of slabs of the incidence matrix."""
-    out = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for a in range(0, width, step):
-        low, high = np.searchsorted(column, [a, a + step])
-        if low < high:
-            slab = np.zeros((n, min(step, width - a)), np.float32)
-            slab[row[low:high], column[low:high] - a] = 1
-            out += slab @ slab.T
-    return out
+def _common(row: np.ndarray, code: np.ndarray, sides: list[np.ndarray], candidate: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Tokens that each two sets of both sides have in common, for sets that are in some candidate pair.
+
+    A token that few pairs of sets have is counted pair by pair; the others make products of slabs of the incidence matrices.
+    """
+    busy = [np.flatnonzero(candidate.any(1)), np.flatnonzero(candidate.any(0))]
+    own = []
+    for side, some in zip(sides, busy):
+        place = np.full(int(row[-1]) + 1 if len(row) else 1, -1)
+        place = np.full(max(len(place), int(side.max()) + 1), -1)
+        place[side[some]] = np.arange(len(some))
+        at = place[row]
+        own.append((at[at >= 0], code[at >= 0]))
+    width = int(code.max()) + 1 if len(code) else 0
+    held = [np.bincount(c, minlength=width) for _, c in own]
+    n, m = len(busy[0]), len(busy[1])
+    pairs = held[0] * held[1]
+    few = (pairs > 0) & (pairs * 400 <= n * m)
+    sorted_sides = []
+    for r, c in own:
+        order = np.argsort(c, kind="stable")
+        sorted_sides.append((r[order], c[order]))
+    (r0, c0), (r1, c1) = sorted_sides
+    out = np.zeros((n, m), np.float32)
+    begin = np.concatenate([[0], np.cumsum(held[1])])
+    some = np.flatnonzero(few[c0])
+    for at in range(0, len(some), 1 << 20):  # entries at a time, so that memory stays small
+        part = some[at : at + (1 << 20)]
+        count = held[1][c0[part]]
+        cell = np.repeat(r0[part] * m, count) + r1[K.expand(begin[c0[part]], count)]
+        out += np.bincount(cell, minlength=n * m).reshape(n, m)
+    column = np.cumsum((pairs > 0) & ~few) - 1
+    total = int(column[-1]) + 1 if width else 0
+    dense = [(r[k], column[c[k]]) for r, c in ((r0, c0), (r1, c1)) for k in [np.flatnonzero((pairs > 0)[c] & ~few[c])]]
+    for at in range(0, total, step):
+        slabs = []
+        for (r, c), rows in zip(dense, (n, m)):
+            low, high = np.searchsorted(c, [at, at + step])
+            slab = np.zeros((rows, min(step, total - at)), np.float32)
+            slab[r[low:high], c[low:high] - at] = 1
+            slabs.append(slab)
+        out += slabs[0] @ slabs[1].T
+    whole = np.zeros(candidate.shape, np.float32)
+    whole[np.ix_(*busy)] = out
+    return whole
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -229,7 +265,7 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _pairs(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, orders: int, chunk: int, forest: bool) -> tuple[DataFrame, DataFrame]:
     """The sets, and the pairs ``(a, b, id_a, id_b, jaccard)`` of them; with ``forest`` only so many that they connect the same."""
     sets = _sets(docs, id_col, text_col, n, threshold)
-    placed = _placed(sets, chunk)
+    placed = _placed(sets, chunk, threshold)
     keys = ["group", "i", "j"]
     ordered = placed.repartition(K.partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys, "key")
 
