@@ -28,7 +28,7 @@ def winnow(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tup
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     best, at = hashes.copy(), np.zeros(n, np.int8)
     room = (offsets[1:] - 1)[K.owner(offsets)] - np.arange(n)  # grams to the right in the same text
-    for k in range(1, window):
+    for k in range(1, min(window, n)):
         better = np.zeros(n, bool)
         better[: n - k] = hashes[k:] <= best[: n - k]
         better &= room >= k
@@ -157,9 +157,10 @@ def _with_spans_by_shuffle(docs: DataFrame, items: DataFrame, text_col: str, gra
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.string()), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4))], ["key", "item_id", "doc_word", "item_word", "n_words"])
 
     found = joined.select("key", "text", "item", "item_text").mapInArrow(extend, "key string, item_id long, doc_word long, item_word long, n_words long")
-    lists = found.groupBy(F.col("key").alias("__found")).agg(F.collect_list(F.struct("item_id", "doc_word", "item_word", "n_words")).alias("__spans"))
-    joined_back = docs.withColumn("__key", key).join(lists, F.col("__key") == F.col("__found"), "left")
-    return joined_back.withColumn(out, F.coalesce("__spans", F.expr(f"CAST(array() AS array<{_SPAN}>)"))).drop("__key", "__found", "__spans")
+    lists = found.groupBy("key").agg(F.collect_list(F.struct("item_id", "doc_word", "item_word", "n_words")).alias("spans"))
+    own, there, held = (K.fresh([*docs.columns, out], c) for c in ("__key", "__found", "__held"))
+    joined_back = docs.withColumn(own, key).join(lists.select(F.col("key").alias(there), F.col("spans").alias(held)), F.col(own) == F.col(there), "left")
+    return joined_back.withColumn(out, F.coalesce(held, F.expr(f"CAST(array() AS array<{_SPAN}>)"))).drop(own, there, held)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -170,4 +171,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that share no span with the benchmark, with their columns as they are; see ``with_spans``."""
-    return with_spans(docs, benchmark, text_col, out="__spans", **options).filter(F.size("__spans") == 0).drop("__spans")
+    spans = K.fresh(docs.columns, "__spans")
+    return with_spans(docs, benchmark, text_col, out=spans, **options).filter(F.size(spans) == 0).drop(spans)
