@@ -200,6 +200,14 @@ def unpack(raw: bytes, dtype, codec: str = "lz4") -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(dtype)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

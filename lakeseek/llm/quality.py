@@ -208,4 +208,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def quality_filter(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **options) -> DataFrame:
     """The documents of probability ``keep`` or more, with their columns as they are."""
-    return with_quality(docs, labels, out="__quality", **options).filter(F.col("__quality") >= keep).drop("__quality")
+    p = K.fresh(docs.columns, "__quality")
+    return with_quality(docs, labels, out=p, **options).filter(F.col(p) >= keep).drop(p)
