@@ -94,7 +94,7 @@ class Templates:
             return np.zeros((0, 2), np.int64)
         ladder = sorted(self.by_size)
         kept: dict[int, dict[int, np.ndarray]] = {}
-        for h in range(max(r * b for _, r, b, _ in self.by_size.values())):
+        for h in range(max((r * b for _, r, b, _ in self.by_size.values()), default=0)):
             level, width = self.hashed(shingles, h), 1  # minima of consecutive runs of ``width`` shingles, not overlapping
             for size in ladder:
                 stride, rows, bands, tables = self.by_size[size]
