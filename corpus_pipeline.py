@@ -20,8 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier one has; one that lost lines and has no text left goes."""
-    cleaned = line_dedup(docs, count="__removed_lines")
-    changed = F.col("__removed_lines") > 0
+    count = K.fresh(docs.columns, "__removed_lines")
+    cleaned = line_dedup(docs, count=count)
+    changed = F.col(count) > 0
     return cleaned.filter(~changed | (F.trim(F.col("text")) != "")).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
