@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import rows
+from compare import rows
 from lakeseek.plans import registry
 
 SQL, QUERIES = registry.oracle_sql(), registry.queries()
