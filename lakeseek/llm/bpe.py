@@ -16,8 +16,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text in one block, and entries that a worker's cache of pieces keeps.
 BLOCK_BYTES = 8_000_000
-CACHE = 400_000
-
+CACHE = 150_000
 
 
 def _classes() -> np.ndarray:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from . import kernels as K
 
+#: Bytes of text that are tokenized at once.
+BLOCK_BYTES = 2_000_000
 #: Ids that the rolling hash looks at, mean and bounds of a chunk's length in ids.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 2048
 
@@ -88,7 +90,7 @@ def token_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def make(batches):
         row = K.task_key()
-        for part in K.slices(batches, "text", bpe.BLOCK_BYTES):
+        for part in K.slices(batches, "text", BLOCK_BYTES):
             ids, offsets = token_ids(K.strings(part.column("text")), ranks)
             stops = cuts(ids, offsets)
             begins = np.concatenate([[0], stops[:-1]])
