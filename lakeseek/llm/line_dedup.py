@@ -1,4 +1,4 @@
-"""Line deduplication by pairwise alignment: shared lines pair documents, patience diff aligns them."""
+"""Line deduplication by pairwise alignment: shared runs of lines pair documents, patience diff aligns them."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Words of a shared line from which it pairs documents, and words of an aligned block from which it is deleted.
-ANCHOR_WORDS, BLOCK_WORDS = 5, 13
+#: Words of an aligned block from which it is deleted.
+BLOCK_WORDS = 13
 
 
 def document_key(id_col: Column, text: Column) -> Column:
@@ -86,69 +86,83 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(own: list, other: list, least: int) -> list[int]:
-    """Numbers of the own lines in aligned common blocks of at least ``least`` words. Lines: (place among the lines that aren't blank, number, hash, words)."""
-    pairs = patience([x[2] for x in own], [x[2] for x in other])
-    out, at = [], 0
-    while at < len(pairs):
-        to, size = at + 1, own[pairs[at][0]][3]
-        while to < len(pairs) and all(x[p][0] == x[q][0] + 1 for x, p, q in zip((own, other), pairs[to], pairs[to - 1])):
-            size += own[pairs[to][0]][3]
-            to += 1
-        if size >= least:
-            out += [own[i][1] for i, _ in pairs[at:to]]
-        at = to
-    return out
+def windows(hashed: np.ndarray, words: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes of its shortest runs of lines that have ``least`` words, one run from each line, and the texts' offsets in them.
+
+    Any block of lines of so many words begins with such a run.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(total, total[:-1] + least)
+    whole = ends <= offsets[1:][K.owner(offsets)]
+    starts = np.flatnonzero(whole)
+    return K.distinct(K.span_hash(K.prefix_sums(hashed), starts, ends[starts]), np.concatenate([[0], np.cumsum(whole)])[offsets])
+
+
+def blocks(own: np.ndarray, words: np.ndarray, other: np.ndarray, least: int) -> np.ndarray:
+    """Places of the own lines in aligned common blocks of at least ``least`` words. The lines that only one of the two has take no part in the alignment."""
+    left, right = np.flatnonzero(np.isin(own, other)), np.flatnonzero(np.isin(other, own))
+    pairs = patience(own[left].tolist(), other[right].tolist())
+    if not pairs:
+        return np.zeros(0, np.int64)
+    i, j = np.array(pairs).T
+    i, j = left[i], right[j]
+    block = np.cumsum(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)])) - 1
+    return i[np.bincount(block, words[i])[block] >= least]
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, anchor: int, least: int) -> DataFrame:
+_LINES = "key binary, hashes binary, words binary, numbers binary, windows array<bigint>"
+
+
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """``(key, removed)``: numbers of the lines that go, of each document that loses any."""
-    source = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
 
     def split(batches):
         for part in K.slices(batches, "text"):
             hashed, number, words, offsets = lines(K.strings(part.column("text")))
-            place = np.arange(len(hashed)) - offsets[:-1][K.owner(offsets)]
+            runs, at = windows(hashed, words, offsets, least)
+            some = np.flatnonzero(np.diff(at)).tolist()
+            cut = lambda x, kind: [K.pack(x[offsets[k] : offsets[k + 1]].astype(kind)) for k in some]  # noqa: E731, B023
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([at[some], at[-1:]]).astype(np.int32)), pa.array(runs.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("key").take(pa.array(K.owner(offsets))), pa.array(place.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(words.astype(np.int32))],
-                ["key", "place", "number", "hash", "words"],
+                [part.column("key").take(pa.array(some, pa.int64())), *(pa.array(cut(x, kind), pa.binary()) for x, kind in ((hashed, np.uint64), (words, np.uint32), (number, np.uint32))), lists],
+                ["key", "hashes", "words", "numbers", "windows"],
             )
 
-    held = K.materialise(source.mapInArrow(split, "key binary, place int, number int, hash long, words int"))
-    firsts = held.groupBy("hash").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter("owner <> last").select("hash", "owner")
-    shared = K.materialise(held.join(firsts, "hash"))
-    lists = shared.dropDuplicates(["key", "place"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "number", "hash", "words"))).alias("lines"))
-    pairs = shared.filter((F.col("key") != F.col("owner")) & (F.col("words") >= anchor)).select("key", "owner").distinct()
-    both = pairs.join(lists.select(F.col("key").alias("owner"), F.col("lines").alias("other")), "owner").join(lists, "key").select("key", "lines", "other")
+    held = K.materialise(source.mapInArrow(split, _LINES))
+    each = held.select("key", F.explode("windows").alias("window"))
+    firsts = each.groupBy("window").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter("owner <> last").select("window", "owner")
+    pairs = K.materialise(each.join(firsts, "window").filter("key <> owner").select("key", "owner").distinct())
+    one = held.dropDuplicates(["key"])
+    later = pairs.join(one.drop("windows"), "key")
+    both = later.join(one.select(F.col("key").alias("owner"), F.col("hashes").alias("other")), "owner")
 
     def align(batches):
-        for batch in batches:
-            rows = [_rows(batch.column(c)) for c in ("lines", "other")]
-            gone = [blocks(own, other, least) for own, other in zip(*rows)]
-            keep = [k for k, x in enumerate(gone) if x]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keep, pa.int64())), pa.array([gone[k] for k in keep], pa.list_(pa.int32()))], ["key", "gone"])
-
-    return both.mapInArrow(align, "key binary, gone array<int>").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("removed"))
-
+        for batch in K.slices(batches, "other"):
+            keys, gone = [], []
+            for k, (hashes, words, numbers, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hashes", "words", "numbers", "other")))):
+                at = blocks(K.unpack(hashes, np.uint64), K.unpack(words, np.uint32), K.unpack(other, np.uint64), least)
+                if len(at):
+                    keys.append(k)
+                    gone.append(K.unpack(numbers, np.uint32)[at].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
-def _rows(column: pa.Array) -> list[list[tuple]]:
-    """A list-of-structs column as lists of tuples."""
-    values = column.flatten()
-    flat = list(zip(*(values.field(k).to_pylist() for k in range(4))))
-    ends = np.cumsum(np.diff(column.offsets.to_numpy())).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+    found = both.select("key", "hashes", "words", "numbers", "other").mapInArrow(align, "key binary, gone array<int>")
+    return found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR_WORDS, least: int = BLOCK_WORDS, count: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = BLOCK_WORDS, count: str | None = None) -> DataFrame:
     """The documents without the blocks of lines that they have in common with an earlier document.
 
-    Documents are in the order of (id, hash of the text), nulls first. A line of
-    at least ``anchor`` words that several documents share pairs each of them with the first
-    that holds it: the rarest line finds its pair, and the commonest gives a pair for each document that
-    holds it, never one for any two, so that no cap is needed. Each pair is aligned by patience diff over
-    the lines' hashes. Blocks of aligned consecutive lines (blank ones don't count) that
-    have at least ``least`` words together are deleted from the later document; what is
-    deleted stays where it stood first. ``count`` names a column for the number of deleted lines.
+    Documents are in the order of (id, hash of the text), nulls first. From each line goes the
+    shortest run of lines that has ``least`` words (of a long line, the line alone). A run that several
+    documents share pairs each of them with the first that holds it: a rare one finds its
+    pair, and the commonest gives a pair for each document that holds it, never one for any two, so
+    that no cap is needed; and each block of so many words has such a run. Each pair is aligned by
+    patience diff over the hashes of the lines that both have. Blocks of aligned consecutive lines
+    (blank ones don't count) that have at least ``least`` words together are deleted from the
+    later document; what is deleted stays where it stood first. ``count`` names a column
+    for the number of deleted lines.
 
     Cases: a null text stays null; an empty one has no lines; a text whose lines all go is
     left with its blank lines or ''; rows of the same id and text are one
@@ -157,10 +171,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay unless aligned with another's; an empty table gives an empty result; other
     columns stay as they are.
     """
-    gone = removed_lines(docs, id_col, text_col, anchor, least)
-    joined = docs.withColumn("__key", document_key(F.col(id_col), F.col(text_col))).join(gone.select(F.col("key").alias("__gone"), F.col("removed").alias("__removed")).hint("shuffle_hash"), F.col("__key") == F.col("__gone"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, k: ~F.array_contains("__removed", k)), "\n")
-    out = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept))
+    gone = removed_lines(docs, id_col, text_col, least)
+    key, own, removed = (K.fresh(docs.columns, c) for c in ("__key", "__gone", "__removed"))
+    joined = docs.withColumn(key, document_key(F.col(id_col), F.col(text_col))).join(gone.select(F.col("key").alias(own), F.col("removed").alias(removed)).hint("shuffle_hash"), F.col(key) == F.col(own), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, k: ~F.array_contains(removed, k)), "\n")
+    out = joined.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(kept))
     if count:
-        out = out.withColumn(count, F.coalesce(F.size("__removed"), F.lit(0)).cast("long"))
-    return out.drop("__key", "__gone", "__removed")
+        out = out.withColumn(count, F.coalesce(F.size(removed), F.lit(0)).cast("long"))
+    return out.drop(key, own, removed)
