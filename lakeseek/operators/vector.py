@@ -17,41 +17,40 @@ def knn_scan(rows: DataFrame, column: str, query: list[float], k: int, keys: lis
     return near.orderBy("distance", *keys).limit(k)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """``(q, id, distance)``: for each query vector ``(q, vector)`` the k nearest of ``(id, vector)``.
+def knn_join(left: DataFrame, right: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """``(q, id, distance, rank)``: for each query vector ``(q, vector)`` the k nearest of ``(id, vector)``, ties by id.
 
-    The queries are checked to be few enough to be sent to the tasks, where each batch of
-    rows meets all of them as one matrix product and keeps its best k; more are taken in turns of that many.
+    Both sides are cut into blocks by hash, and each two blocks meet in one task, where matrix
+    products give the distances and only the best k of each query go on. Nothing comes to the driver but two counts.
     """
-    turn = 2000
-    queries = left.select("q", "vector").filter("vector IS NOT NULL")
-    n = queries.count()
-    turns = max(1, -(-n // turn))
-    out = None
-    for t in range(turns):
-        part = queries.filter(F.pmod(F.xxhash64("q"), F.lit(turns)) == t).collect() if turns > 1 else queries.collect()
-        if not part:
-            continue
-        names = np.array([r.q for r in part], np.int64)
-        sent = left.sparkSession.sparkContext.broadcast((names, np.array([r.vector for r in part], np.float64)))
-
-        def best(batches, sent=sent):
-            names, q = sent.value
-            for b in batches:
-                m, ids = V._matrix(b.column("vector")), b.column("id").to_numpy()
-                d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ m.T + (m**2).sum(1)))
-                top = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-                edge = np.take_along_axis(d, top, 1).max(1)
-                rows, columns = np.nonzero(d <= edge[:, None] + 1e-6)  # ties stay
-                exact = np.sqrt(((q[rows] - m[columns]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(ids[columns]), pa.array(exact)], ["q", "id", "distance"])
-
-        some = right.select("id", "vector").filter("vector IS NOT NULL").mapInArrow(best, "q long, id long, distance double")
-        out = some if out is None else out.unionByName(some)
-    if out is None:
-        return left.sparkSession.createDataFrame([], "q long, id long, distance double")
-    ranked = out.withColumn("distance", F.round("distance", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id")))
-    return ranked.filter(F.col("rank") <= k).select("q", "id", "distance", "rank")
+    queries = left.select(F.col("q").cast("long").alias("id"), "vector").filter("vector IS NOT NULL")
+    points = right.select(F.col("id").cast("long").alias("id"), "vector").filter("vector IS NOT NULL")
+    rows, columns = max(1, -(-queries.count() // block)), max(1, -(-points.count() // (8 * block)))
+    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    each = queries.withColumn("i", number(rows)).withColumn("j", every(columns)).withColumn("query", F.lit(True))
+    each = each.unionByName(points.withColumn("j", number(columns)).withColumn("i", every(rows)).withColumn("query", F.lit(False)))
+
+    def best(group: pa.Table) -> pa.Table:
+        asks = group["query"].to_numpy(zero_copy_only=False)
+        ids, vectors = group["id"].to_numpy(), V._matrix(group["vector"].combine_chunks())
+        names, q, ids, m = ids[asks], vectors[asks], ids[~asks], vectors[~asks]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        norm = (m**2).sum(1)
+        for at in range(0, len(q) if len(m) else 0, 256):
+            part = q[at : at + 256]
+            d = np.nan_to_num(np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] - 2 * part @ m.T + norm)), nan=np.inf)
+            edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            x, y = np.nonzero(d <= edge[:, None] + 1e-6)  # ties stay
+            exact = np.sqrt(((part[x] - m[y]) ** 2).sum(1))
+            some = np.isfinite(exact)
+            out.append((names[at + x[some]], ids[y[some]], exact[some]))
+        q_of, id_of, distance = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"q": q_of, "id": id_of, "distance": distance})
+
+    found = each.groupBy("i", "j").applyInArrow(best, "q long, id long, distance double").withColumn("distance", F.round("distance", 6))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id")))
+    return ranked.filter(F.col("rank") <= k)
 
 
 def assign(points: DataFrame, centroids: list[list[float]], n: int = 1) -> DataFrame:

@@ -64,9 +64,15 @@ def search(lake: L.Lake, catalog: Catalog, index: SearchIndex, query, k: int, co
         if tail:
             rows = rows.unionByName(L.with_uid(L.scan(spark, tail, *wanted), index.stride))
     if isinstance(index, Bm25Index):
-        # Scores are the corpus's: its size and mean length are counted over all live rows, and pruned blocks hold no query term.
+        # Scores are the corpus's: indexes that cover each file once, and live ones only, know size and mean length of theirs; the others are counted.
         text = F.col(index.column)
-        stats = corpus_stats(L.scan(spark, live, index.column).filter(text.isNotNull()), index.tokens(text))
+        named = [f for r in useful for f in r.file_path]
+        known = useful and len(named) == len(set(named)) and set(named) <= set(live)
+        parts = [index_tables(catalog, index, [r.index_id for r in useful])["stats"].select("n_docs", "avgdl")] if known else []
+        if counted := tail if known else live:
+            parts.append(corpus_stats(L.scan(spark, counted, index.column).filter(text.isNotNull()), index.tokens(text)))
+        each = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        stats = each.agg(F.sum("n_docs").alias("n_docs"), (F.sum(F.col("avgdl") * F.col("n_docs")) / F.sum("n_docs")).alias("avgdl"))
         found = index.verify(rows.filter(text.isNotNull()), query, k, stats)
     else:
         found = index.verify(rows, query, k)
