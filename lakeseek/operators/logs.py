@@ -49,7 +49,7 @@ def fill_timestamps(lines: DataFrame, order: str, ts: str, group: str | None = N
 class LogIndex(SearchIndex):
     """Templates, and variable tokens partitioned by type; a query of one word is looked up in both."""
 
-    name = "logcloud"
+    name = "logs"
 
     def __init__(self, column: str, stride: int = 1, type_tokens: int = TYPE_TOKENS, dictionary_lines: int = DICTIONARY_LINES, exact: bool = False, **options):
         super().__init__(column, **options)

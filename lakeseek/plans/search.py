@@ -16,7 +16,7 @@ _TABLES = {
     "substring_token": ("postings",),
     "uuid": ("postings",),
     "vector": ("codes", "centroids", "codebooks"),
-    "logcloud": ("tokens", "dictionary"),
+    "logs": ("tokens", "dictionary"),
 }
 
 
