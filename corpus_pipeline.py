@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.llm import kernels as K
+import lakeseek.llm.kernels as K
 from lakeseek.llm.decontaminate import decontaminate
 from lakeseek.llm.jaccard import drop_near_duplicates
 from lakeseek.llm.line_dedup import line_dedup
