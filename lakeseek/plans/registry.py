@@ -198,9 +198,10 @@ def j1(spark, sf_dir):
     return relational.candidate_pages(sidecar.drop("l_returnflag"), sidecar.filter("l_returnflag = 'R'").select("file_path", "uid").distinct())
 
 
-@_query("J2_enrich", "SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@_query("J2_enrich", "SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def j2(spark, sf_dir):
-    return relational.enrich(_table(spark, sf_dir, "documents").select("doc_id", "lang"), _table(spark, sf_dir, "labels"), "doc_id")
+    found = relational.enrich(_table(spark, sf_dir, "documents").select("doc_id", "lang"), _table(spark, sf_dir, "labels"), "doc_id")
+    return found.na.fill(-1, ["quality", "toxic"])
 
 
 @_query("J3_anti_files", "SELECT p_partkey AS file_path, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
@@ -390,11 +391,11 @@ def w4(spark, sf_dir):
 @_query(
     "W5_forward_fill",
     """WITH e AS (SELECT event_id, user_id, CASE WHEN event_type <> 'error' THEN CAST(floor(epoch(ts)) AS BIGINT) END AS ts FROM events)
-    SELECT event_id, last_value(ts IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS ts FROM e""",
+    SELECT event_id, coalesce(last_value(ts IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS ts FROM e""",
 )
 def w5(spark, sf_dir):
     lines = _table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") != "error", F.unix_timestamp("ts")).alias("ts"))
-    return logs.fill_timestamps(lines, "event_id", "ts", "user_id").select("event_id", "ts")
+    return logs.fill_timestamps(lines, "event_id", "ts", "user_id").select("event_id", "ts").na.fill(-1, ["ts"])
 
 
 @_query(
