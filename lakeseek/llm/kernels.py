@@ -18,6 +18,9 @@ U64 = np.uint64
 #: Characters of text that one slice holds at most (one longer text is a slice of its own).
 SLICE_CHARS = 2_000_000
 
+#: Items that one pass over a long array takes at once, so that what it needs besides stays small.
+_STEP = 1 << 18
+
 _R = U64(0x9E3779B97F4A7C15)
 _LUT: dict[str, np.ndarray] = {}
 _POW = np.ones(1, U64)
@@ -98,13 +101,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(cp: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash; ``span_hash`` takes the hash of any span out of them."""
-    v = cp.astype(U64)
-    v += U64(0x632BE5AB)
-    v *= U64(0xC2B2AE3D27D4EB4F)
-    v ^= v >> U64(29)
-    v *= _powers(len(cp))[0]
-    out = np.zeros(len(cp) + 1, U64)
-    np.cumsum(v, out=out[1:])
+    powers, out = _powers(len(cp))[0], np.zeros(len(cp) + 1, U64)
+    for a in range(0, len(cp), _STEP):
+        v = cp[a : a + _STEP].astype(U64)
+        v += U64(0x632BE5AB)
+        v *= U64(0xC2B2AE3D27D4EB4F)
+        v ^= v >> U64(29)
+        v *= powers[a : a + _STEP]
+        part = out[a + 1 : a + 1 + len(v)]
+        np.cumsum(v, out=part)
+        part += out[a]
     return out
 
 

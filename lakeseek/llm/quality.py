@@ -15,6 +15,8 @@ BITS, SAMPLE, KEEP = 18, 4000, 0.5
 CHARS = 3
 _FIT_CHARS = 300_000
 _EPOCHS, _RATE, _L2 = 120, 0.3, 1e-7
+#: Features that one pass takes at once.
+_STEP = 1 << 19
 
 
 #: Feature of a word's pair with itself.
@@ -119,19 +121,30 @@ def fit(texts: pa.Array, good: np.ndarray, bits: int = BITS) -> np.ndarray:
     share = np.where(good, 0.5 / max(1, (good & ~held).sum()), 0.5 / max(1, (~good & ~held).sum())) * ~held
     w, constant, seen, seen_constant = np.zeros(size), 0.0, np.full(size, 1e-12), 1e-12
     for _ in range(_EPOCHS):
-        z = np.bincount(text_fit, w[index_fit] * weight_fit, n) + constant
+        z = _margins(w, text_fit, index_fit, weight_fit, n) + constant
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        slope = np.bincount(index_fit, error[text_fit] * weight_fit, size) + _L2 * w
+        slope = _L2 * w
+        for a in range(0, len(text_fit), _STEP):
+            cut = slice(a, a + _STEP)
+            slope += np.bincount(index_fit[cut], error[text_fit[cut]] * weight_fit[cut], size)
         seen += slope**2
         w -= _RATE * 10 * slope / np.sqrt(seen)
         seen_constant += error.sum() ** 2
         constant -= _RATE * error.sum() / np.sqrt(seen_constant)
-    z = np.bincount(text, w[index] * weight, n) + constant
+    z = _margins(w, text, index, weight, n) + constant
     rows = held if held.any() else np.ones(n, bool)
     a, b = _platt(z[rows], y[rows])
     return np.concatenate([w, [constant, a, b]]).astype(np.float32)
 
 
+def _margins(w: np.ndarray, text: np.ndarray, index: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for a in range(0, len(text), _STEP):
+        cut = slice(a, a + _STEP)
+        out += np.bincount(text[cut], w[index[cut]] * weight[cut], n)
+    return out
+
+
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift that calibrate margins, by Newton's method on smoothed targets."""
     up, down = y.sum(), len(y) - y.sum()
