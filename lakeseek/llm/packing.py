@@ -1,4 +1,4 @@
-"""Lexical retrieval packing: BM25 neighbours out of a sharded inverted index fill a seed document's window."""
+"""Lexical retrieval packing: BM25 neighbours out of a sharded inverted index over the whole corpus fill a seed document's window."""
 
 from __future__ import annotations
 
@@ -10,90 +10,87 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .token_counts import _ids, _join, _read_ids, _split
 
-#: Words of a window, documents of a shard, BM25's constants, and rarest terms that place a document in a shard.
-WINDOW, SHARD, K1, B, RAREST = 2048, 1500, 1.2, 0.75, 16
+#: Words of a window, documents that are left when the rest is packed in one exact round, BM25's constants.
+WINDOW, SHARD, K1, B = 2048, 1500, 1.2, 0.75
+#: Documents of a piece of the index, queries scored at once, best neighbours of a query in each class of sizes, and queries of a round at most.
+PIECE, QUERIES, BEST, MOST = 8192, 512, 16, 32768
 
 _ROWS = "block long, bucket int, part int, n_docs long, n_words long, payload binary"
 
 
-class Shard:
+class Piece:
     """An inverted index of some documents, with the corpus's own term statistics."""
 
-    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], df: list[np.ndarray], lengths: np.ndarray, n_docs: int, mean: float):
+    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], df: list[np.ndarray], lengths: np.ndarray, n_docs: int, mean: float, kind):
         n = len(terms)
-        each = np.array([len(x) for x in terms], np.int64)
-        doc = np.repeat(np.arange(n), each)
-        flat, flat_tf, flat_df = (np.concatenate(x) for x in (terms, tf, df))
-        seen, code = np.unique(flat, return_inverse=True)
-        flat_tf = flat_tf.astype(float)
+        doc = np.repeat(np.arange(n), np.array([len(x) for x in terms], np.int64))
+        flat_tf, flat_df = (np.concatenate(x).astype(float) for x in (tf, df))
+        self.seen, code = np.unique(np.concatenate(terms), return_inverse=True)
         idf = np.log((n_docs - flat_df + 0.5) / (flat_df + 0.5) + 1)
         weight = idf * flat_tf * (K1 + 1) / (flat_tf + K1 * (1 - B + B * lengths[doc] / mean))
         order = np.argsort(code, kind="stable")
-        self.n, self.doc, self.weight = n, doc[order], weight[order]
-        self.bounds = np.searchsorted(code[order], np.arange(len(seen) + 1))
-        self.forward, self.forward_bounds = code, np.concatenate([[0], np.cumsum(each)])
+        self.n, self.kind, self.doc, self.weight = n, kind, doc[order], weight[order]
+        self.bounds = np.searchsorted(code[order], np.arange(len(self.seen) + 1))
         held = np.diff(self.bounds)
-        # Postings of terms that many documents hold are kept as rows of a matrix, those of one as nothing.
-        self.row = np.full(len(seen), -1)
-        common = np.flatnonzero(held > max(8, n // 16))
+        # Postings of terms that many documents hold are kept as rows of a matrix.
+        self.row = np.full(len(self.seen), -1)
+        common = np.flatnonzero(held > max(8, n // 20))
         self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), n))
-        for k, term in enumerate(common.tolist()):
-            a, b = self.bounds[term : term + 2]
-            self.matrix[k, self.doc[a:b]] = self.weight[a:b]
-        self.sparse = (held > 1) & (self.row < 0)
-
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all documents for the distinct terms of one of them."""
-        code = self.forward[self.forward_bounds[seed] : self.forward_bounds[seed + 1]]
-        rows = self.row[code]
-        out = self.matrix[rows[rows >= 0]].sum(0) if (rows >= 0).any() else np.zeros(self.n)
-        code = code[self.sparse[code]]
-        if len(code):
-            at = K.expand(self.bounds[code], self.bounds[code + 1] - self.bounds[code])
-            out = out + np.bincount(self.doc[at], self.weight[at], self.n)
+        self.matrix = np.zeros((len(common), n), kind)
+        at = K.expand(self.bounds[common], held[common])
+        self.matrix[np.repeat(np.arange(len(common)), held[common]), self.doc[at]] = self.weight[at]
+
+    def scores(self, distinct: np.ndarray, query: np.ndarray, term: np.ndarray, n: int, step: int = 64) -> np.ndarray:
+        """BM25 of all documents for n queries, whose terms are (query, place in ``distinct``) in the order of queries."""
+        if not len(self.seen) or not len(distinct):
+            return np.zeros((n, self.n), self.kind)
+        place = np.minimum(np.searchsorted(self.seen, distinct), len(self.seen) - 1)
+        code = np.where(self.seen[place] == distinct, place, -1)[term]
+        query, code = query[code >= 0], code[code >= 0]
+        row = self.row[code]
+        wanted = np.zeros((n, len(self.matrix)), self.kind)
+        wanted[query[row >= 0], row[row >= 0]] = 1
+        out = wanted @ self.matrix
+        query, code = query[row < 0], code[row < 0]
+        cuts = np.searchsorted(query, np.arange(0, n + step, step))
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if a < b:
+                own = out[k * step : (k + 1) * step]
+                count = self.bounds[code[a:b] + 1] - self.bounds[code[a:b]]
+                at = K.expand(self.bounds[code[a:b]], count)
+                cell = np.repeat((query[a:b] - k * step) * self.n, count) + self.doc[at]
+                own += np.bincount(cell, self.weight[at], own.size).reshape(own.shape)
         return out
 
 
-def fill(shard: Shard, lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
-    """Packs of (document, first word, words), the seeds in the documents' order."""
-    packs = []
-    for k in np.flatnonzero(lengths >= window).tolist():  # the full windows of a long document are packs of its own
-        packs += [[(k, at, window)] for at in range(0, int(lengths[k]) - window + 1, window)]
-    rest = lengths % window
-    free = rest > 0
-    for seed in range(len(lengths)):
-        if not free[seed]:
-            continue
-        free[seed] = False
-        pack, room = [seed], window - int(rest[seed])
-        fits = free & (rest <= room)
-        if fits.any():
-            scores = np.round(shard.scores(seed), 9)
-            fits &= scores > 0
-            while fits.any():
-                best = int(np.argmax(np.where(fits, scores, -1)))
-                free[best] = fits[best] = False
-                pack.append(best)
-                room -= int(rest[best])
-                fits &= rest <= room
-        packs.append([(k, int(lengths[k] - rest[k]), int(rest[k])) for k in pack])
-    return packs
+def best(query: np.ndarray, rank: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` best of each query: by score, of equal ones the first."""
+    order = np.lexsort((rank, -score, query))
+    query, rank, score = query[order], rank[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < most
+    return query[keep], rank[keep], score[keep]
+
+
+def _class(words: np.ndarray) -> np.ndarray:
+    """Class of sizes: fewer than 64 words, than 128, and so on by powers of two."""
+    return np.clip(np.floor(np.log2(np.maximum(words, 1))).astype(np.int64) - 5, 0, 15)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """``(pack_id, position, id_col, first_word, n_words)``: what each window holds, in order.
 
     Words are [\\p{L}\\p{N}]+ of the lower-cased text. Document frequencies and the mean length are
-    counted over all documents. A document goes to a shard by its rarest shared terms: of
-    the ``RAREST`` of least document frequency (two at least) the one of the
-    smallest hash, so that documents of the same rare terms tend to meet; neighbours in
-    that order fill shards of ``shard`` documents, so the work for a document does not grow with the
-    corpus. Each shard has an inverted index. In the order of ids, each document not yet used is
-    the seed of a window; all its distinct terms are the query, every document of the
-    shard is scored exactly by BM25, and the best unused one that fits (the first, of equal
-    scores to 9 places) is added until none that shares a term does. A document of more words
-    than a window fills windows of its own; what is left over is packed with others.
+    counted over all documents. In the order of ids, each document not yet used is the seed of a
+    window; all its distinct terms are the query, every unused document of the corpus is scored by BM25,
+    and the best that fits (the first, of equal scores to 9 places) is added until none that shares a term does.
+
+    This goes in rounds. The first seeds of the unused documents are sent to all pieces of
+    the index, which score them against all unused documents that fit; the pieces' best ``BEST`` of each
+    class of sizes are merged, and windows are filled from these lists in the order of seeds. A window whose
+    lists end before it is full stays open and asks again in the next round, before new seeds; so only such a window
+    can come after later seeds, for what is beyond its first ``BEST`` neighbours of a class. When at most ``shard``
+    documents are left, and no window is open, lists are complete and the round is exact. The work grows with the square of the corpus.
+    A document of more words than a window fills windows of its own; what is left over is packed with others.
 
     Cases: a null or empty text, or one without words, is in no window; a null id stays
     null; repeated rows are packed each; an empty table gives an empty result; other columns are left out; texts
@@ -145,57 +142,201 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         seen, df = (np.concatenate([read(x[k]) for x in lists]) if lists else np.zeros(0, kind) for k, kind, read in ((0, np.uint64, _running), (1, np.uint32, lambda x: K.unpack(x, np.uint32))))
         lengths, bounds = K.unpack(lengths, np.uint32).astype(np.int64), K.unpack(bounds, np.uint32).astype(np.int64)
         code, tf = K.unpack(code, np.uint32, "zstd").astype(np.int64), K.unpack(tf, np.uint32, "zstd")
-        out: dict[str, list] = {"near": [], "terms": [], "tf": [], "df": []}
-        hashed = K.mix(seen)
+        out: dict[str, list] = {"terms": [], "tf": [], "df": []}
         at = np.flatnonzero(lengths > 0).tolist()
         for k in at:
             own, own_tf = code[bounds[k] : bounds[k + 1]], tf[bounds[k] : bounds[k + 1]]
             shared = df[own] > 1  # a term of one document alone retrieves nothing
             own, own_tf = own[shared], own_tf[shared]
-            rare = own[np.lexsort((hashed[own], df[own]))[:RAREST]]
-            out["near"].append(int(hashed[rare].min() >> np.uint64(1)) if len(rare) else 0)
             out["terms"].append(_deltas(seen[own]))
             out["tf"].append(K.pack(own_tf, "zstd"))
             out["df"].append(K.pack(df[own], "zstd"))
-        return pa.table({"id": _read_ids(ids).take(pa.array(at, pa.int64())), "n": pa.array(lengths[at], pa.int64()), "near": pa.array(out["near"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("terms", "tf", "df")}})
+        return pa.table({"id": _read_ids(ids).take(pa.array(at, pa.int64())), "n": pa.array(lengths[at], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("terms", "tf", "df")}})
 
     made = K.materialise(source.mapInArrow(split, _ROWS))
     n_docs, n_words = made.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    buckets, mean = max(1, n_docs // (2 * shard)), max(1.0, n_words / max(1, n_docs))
-    each = made.groupBy("bucket").applyInArrow(frequencies, _ROWS).groupBy("block").applyInArrow(documents, "id long, n long, near long, terms binary, tf binary, df binary")
-    keys = ["bucket", "near", "id", "n", "terms", "tf"]
-    placed = each.withColumn("bucket", F.pmod(F.xxhash64("near"), F.lit(buckets)).cast("int")).repartition(parts, "bucket").sortWithinPartitions(*keys)
-
-    def pack(batches):
-        held: list[dict] = []
-        number, bucket = 0, None
-
-        def flush():
-            rows = sorted(held, key=lambda r: (r["id"] is not None, r["id"] or 0))
-            lengths = np.array([r["n"] for r in rows], np.int64)
-            lists = [[_running(r["terms"]) for r in rows], *([K.unpack(r[c], np.uint32, "zstd") for r in rows] for c in ("tf", "df"))]
+    mean = max(1.0, n_words / max(1, n_docs))
+    each = made.groupBy("bucket").applyInArrow(frequencies, _ROWS).groupBy("block").applyInArrow(documents, "id long, n long, terms binary, tf binary, df binary")
+    held = K.materialise(each.withColumn("row", F.monotonically_increasing_id()))
+    sent = spark.sparkContext.broadcast(_filled(held, n_docs, mean, window, shard))
+
+    def emit(batches):
+        base, rank, pack, position = sent.value
+        for batch in batches:
+            own = rank[_place(batch, base)]
             out = []
-            for k, one in enumerate(fill(Shard(*lists, lengths, n_docs, mean), lengths, window)):
-                out += [((bucket << 40) + (number << 24) + k, p, rows[d]["id"], a, n) for p, (d, a, n) in enumerate(one)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["pack_id", "position", "id", "first_word", "n_words"])
-
-        for batch in K.slices(batches, "terms", 4_000_000):
-            for row in batch.to_pylist():
-                if held and (row["bucket"] != bucket or len(held) >= shard):
-                    yield flush()
-                    number = number + 1 if row["bucket"] == bucket else 0
-                elif not held:
-                    number = 0
-                bucket = row["bucket"]
-                held.append(row)
-        if held:
-            yield flush()
-
-    out = placed.mapInArrow(pack, "pack_id long, position int, id long, first_word long, n_words long")
+            for i, n, k in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), own.tolist()):
+                out += [((k << 24) + 1 + w, 0, i, w * window, window) for w in range(n // window)]
+                if n % window:
+                    out.append((int(pack[k]) << 24, int(position[k]), i, n - n % window, n % window))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["pack_id", "position", "id", "first_word", "n_words"])
+
+    out = held.select("row", "id", "n").mapInArrow(emit, "pack_id long, position int, id long, first_word long, n_words long")
     return out.select("pack_id", "position", F.col("id").alias(id_col), "first_word", "n_words")
 
 
+def _place(batch: pa.RecordBatch, base: np.ndarray) -> np.ndarray:
+    """Places of rows in the order of the column ``row``, which has the partition in the high bits."""
+    row = batch.column("row").to_numpy()
+    return base[row >> 33] + (row & ((1 << 33) - 1))
+
+
+def _filled(held: DataFrame, n_docs: int, mean: float, window: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First places of partitions, rank of each place in the order of ids, and by rank the seed of the pack and the position in it."""
+    spark = held.sparkSession
+    table = held.select("row", "id", "n").toArrow()
+    row, n = table["row"].to_numpy(), table["n"].to_numpy()
+    order = np.argsort(row)
+    row, n = row[order], n[order]
+    ids = table["id"].combine_chunks().take(pa.array(order))
+    by_id = np.lexsort((row, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)))
+    rank = np.empty(len(row), np.int32)
+    rank[by_id] = np.arange(len(row))
+    base = np.searchsorted(row, np.arange((int(row[-1]) >> 33) + 2 if len(row) else 1) << 33)
+    rest = (n[by_id] % window).astype(np.int32)
+    pack, position = np.full(len(row), -1, np.int32), np.zeros(len(row), np.int32)
+    live = rest > 0
+    placed = spark.sparkContext.broadcast((base, rank, rest))
+    waiting: list[list[int]] = []  # open windows: seed, room, documents
+    while waiting or live.any():
+        left = int(live.sum())
+        least = int(rest[live].min()) if left else window + 1
+        waiting = [w for w in waiting if w[1] >= least]
+        exact = left <= shard and not waiting
+        asked = waiting[:MOST]
+        seeds = np.flatnonzero(live)[: left if exact else max(0, min(max(1, shard // 24, left // 24), MOST - len(asked)))]
+        asked = asked + [[k, window - int(rest[k]), 0] for k in seeds.tolist()]
+        if not asked:
+            break
+        found = _neighbours(held, placed, live, np.array([w[:2] for w in asked], np.int32), n_docs, mean, max(1, left) if exact else BEST, exact)
+        still = []
+        for k, w in enumerate(asked):
+            seed, room, count = w
+            if not count:
+                if not live[seed]:
+                    continue
+                live[seed] = False
+                pack[seed] = seed
+                count = 1
+            ranks, beyond = found(k)
+            for d in ranks:
+                if live[d] and rest[d] <= room:
+                    live[d] = False
+                    pack[d], position[d] = seed, count
+                    room, count = room - int(rest[d]), count + 1
+            if room >= max(least, beyond):
+                still.append([seed, room, count])
+        waiting = still + waiting[MOST:]
+    return base, rank, pack, position
+
+
+def _neighbours(held: DataFrame, placed, live: np.ndarray, asked: np.ndarray, n_docs: int, mean: float, most: int, exact: bool):
+    """A function that gives a query's best ranks that are live, later than its seed and fit, and the least size of a document that its lists may lack.
+
+    ``asked`` has a row (seed's rank, room) for each query.
+    """
+    spark = held.sparkSession
+    number = np.full(len(live), -1, np.int32)
+    number[asked[:, 0]] = np.arange(len(asked))
+    wanted = spark.sparkContext.broadcast(number)
+
+    def terms(batches):
+        base, rank, _ = placed.value
+        for batch in batches:
+            own = wanted.value[rank[_place(batch, base)]]
+            some = pa.array(np.flatnonzero(own >= 0))
+            yield pa.RecordBatch.from_arrays([pa.array(own[own >= 0]), batch.column("terms").take(some)], ["query", "terms"])
+
+    got = held.select("row", "terms").mapInArrow(terms, "query int, terms binary").toArrow().sort_by("query")
+    queries = spark.sparkContext.broadcast((got["terms"].to_pylist(), asked, live))
+
+    def score(batches):
+        base, rank, rest = placed.value
+        lists, asked, live = queries.value
+        blocks: dict[int, tuple] = {}
+        top: dict[int, tuple] = {}
+
+        def block(at):
+            if at not in blocks:
+                own = [_running(x) for x in lists[at : at + QUERIES]]
+                distinct, term = np.unique(np.concatenate(own), return_inverse=True)
+                blocks[at] = distinct, np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]), term.astype(np.int32), len(own)
+            return blocks[at]
+
+        def meet(ranks, rows):
+            kind = np.zeros(len(ranks), np.int64) if exact else _class(rest[ranks])
+            order = np.lexsort((ranks, kind))
+            ranks, kind, rows = ranks[order], kind[order], [rows[k] for k in order.tolist()]
+            piece = Piece([_running(r[0]) for r in rows], *([K.unpack(r[c], np.uint32, "zstd") for r in rows] for c in (1, 2)), np.array([r[3] for r in rows], np.int64), n_docs, mean, float if exact else np.float32)
+            for at in range(0, len(lists), QUERIES):
+                one = block(at)
+                seed, room = asked[at : at + one[3]].T
+                scores = piece.scores(*one)
+                if exact:
+                    scores = np.round(scores, 9)
+                scores[(rest[ranks] > room[:, None]) | (ranks <= seed[:, None])] = 0
+                for c in np.unique(kind).tolist():
+                    low, high = np.searchsorted(kind, [c, c + 1])
+                    own, before = scores[:, low:high], top.get(at * 16 + c)
+                    bar = np.zeros(one[3], scores.dtype)
+                    if before is not None:
+                        full = np.bincount(before[0], minlength=one[3]) >= most
+                        bar[full] = before[2][np.searchsorted(before[0], np.flatnonzero(full), "right") - 1]
+                    elif high - low > most:
+                        bar = np.partition(own, high - low - most, axis=1)[:, high - low - most]
+                    q, d = np.nonzero((own >= bar[:, None]) & (own > 0))
+                    more = q, ranks[low + d], own[q, d]
+                    if before is not None:
+                        more = tuple(np.concatenate(x) for x in zip(before, more))
+                    top[at * 16 + c] = best(*more, most)
+
+        some: list = []
+        for batch in batches:
+            own = rank[_place(batch, base)]
+            at = np.flatnonzero(live[own])
+            columns = [batch.column(c).take(pa.array(at)).to_pylist() for c in ("terms", "tf", "df", "n")]
+            some += zip(own[at].tolist(), zip(*columns))
+            while len(some) >= PIECE:
+                meet(np.array([r for r, _ in some[:PIECE]], np.int32), [x for _, x in some[:PIECE]])
+                del some[:PIECE]
+        if some:
+            meet(np.array([r for r, _ in some], np.int32), [x for _, x in some])
+        for at, found in top.items():
+            yield _found(at, found)
+
+    def merge(group: pa.Table) -> pa.Table:
+        lists = [_split(x) for x in group["payload"].to_pylist()]
+        columns = [np.concatenate([np.frombuffer(x[k], kind) for x in lists]) for k, kind in enumerate((np.int32, np.int32, np.float64 if exact else np.float32))]
+        return pa.Table.from_batches([_found(group["block"][0].as_py(), best(*columns, most))])
+
+    parts = max(1, min(held.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    merged = held.coalesce(parts).mapInArrow(score, "block int, payload binary").groupBy("block").applyInArrow(merge, "block int, payload binary").toArrow()
+    lists = {b: _split(x) for b, x in zip(merged["block"].to_pylist(), merged["payload"].to_pylist())}
+    kind = np.float64 if exact else np.float32
+    lists = {b: (np.frombuffer(x[0], np.int32), np.frombuffer(x[1], np.int32), np.frombuffer(x[2], kind)) for b, x in lists.items()}
+    for x in (wanted, queries):
+        x.destroy()
+
+    def found(k: int) -> tuple[list[int], int]:
+        ranks, scores, least = [np.zeros(0, np.int32)], [np.zeros(0, kind)], 1 << 31
+        for c in range(16):
+            query, rank, score = lists.get((k - k % QUERIES) * 16 + c, (ranks[0],) * 3)
+            a, b = np.searchsorted(query, [k % QUERIES, k % QUERIES + 1])
+            ranks.append(rank[a:b])
+            scores.append(score[a:b])
+            if b - a >= most and not exact:
+                least = min(least, 1 << (c + 5) if c else 1)
+        rank, score = np.concatenate(ranks), np.concatenate(scores)
+        return rank[np.lexsort((rank, -score))].tolist(), least
+
+    return found
+
+
+def _found(at: int, found: tuple) -> pa.RecordBatch:
+    query, rank, score = found
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_join([query.astype(np.int32).tobytes(), rank.astype(np.int32).tobytes(), score.tobytes()])], pa.binary())], ["block", "payload"])
+
+
 def _deltas(ascending: np.ndarray) -> bytes:
     return K.pack(np.diff(ascending, prepend=np.uint64(0)))
 
