@@ -131,8 +131,9 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Da
 
     held = K.materialise(source.mapInArrow(split, _LINES))
     each = held.select("key", F.explode("windows").alias("window"))
-    firsts = each.groupBy("window").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter("owner <> last").select("window", "owner")
-    pairs = K.materialise(each.join(firsts, "window").filter("key <> owner").select("key", "owner").distinct())
+    holders = each.distinct()
+    earlier = holders.select("window", F.col("key").alias("owner"))
+    pairs = K.materialise(holders.join(earlier, "window").filter("owner < key").select("key", "owner").distinct())
     one = held.dropDuplicates(["key"])
     later = pairs.join(one.drop("windows"), "key")
     both = later.join(one.select(F.col("key").alias("owner"), F.col("hashes").alias("other")), "owner")
@@ -156,9 +157,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents are in the order of (id, hash of the text), nulls first. From each line goes the
     shortest run of lines that has ``least`` words (of a long line, the line alone). A run that several
-    documents share pairs each of them with the first that holds it: a rare one finds its
-    pair, and the commonest gives a pair for each document that holds it, never one for any two, so
-    that no cap is needed; and each block of so many words has such a run. Each pair is aligned by
+    documents share pairs each of them with every earlier one that holds it, and each block of
+    so many words has such a run, so no pair that has a block is missed; the pairs of a run grow with
+    the square of the documents that hold it. Each pair is aligned by
     patience diff over the hashes of the lines that both have. Blocks of aligned consecutive lines
     (blank ones don't count) that have at least ``least`` words together are deleted from the
     later document; what is deleted stays where it stood first. ``count`` names a column

@@ -130,6 +130,15 @@ def test_line_dedup_finds_blocks_whose_lines_stood_elsewhere(spark):
     assert got == [(1, f"{a}\nx", 0), (2, f"{b}\ny", 0), (3, f"{a}\n{b}\nz", 0), (4, "q", 2)]
 
 
+def test_line_dedup_aligns_with_every_earlier_holder(spark):
+    """The first holder of both passages has them in another order, a later one has the other passage; and a short line follows a passage only in the second holder."""
+    x, y, a = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("x", 60), ("y", 70), ("a", 20)))
+    docs = [(1, f"{x}\nmid\n{y}"), (2, x), (3, y), (4, f"{y}\nother\n{x}"), (5, f"{a}\np"), (6, f"{a}\nb c\nq"), (7, f"r\n{a}\nb c")]
+    got = _deduped(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == sorted(brute.without_shared_lines(docs))
+    assert got[3] == (4, "other", 2) and got[6] == (7, "r", 2)
+
+
 def test_line_dedup_cases(awkward):
     out = line_dedup(awkward, count="n")
     assert out.columns == [*awkward.columns, "n"]
