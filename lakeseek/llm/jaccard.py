@@ -302,11 +302,11 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
-    """``(doc_a, doc_b, jaccard)`` of all pairs of documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more, doc_a <= doc_b.
+    """``(doc_a, doc_b, jaccard)`` of documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more, doc_a <= doc_b.
 
     Documents of equal sets are taken together: the set's least id stands for it
-    in the pairs with other sets, and is paired with each further id at 1.0. So the
-    result holds every pair, and copies don't multiply it.
+    in the pairs with other sets, and is paired with each further id at 1.0. Pairs
+    that follow from these by equal sets are left out; ``every_pair`` has them too.
 
     A set's prefix under a total order of tokens is so long that two sets of that similarity
     must share a token of it, whatever the order. Under the first, document frequency (counted over all
@@ -326,6 +326,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return near.unionByName(same)
 
 
+def every_pair(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
+    """``ngram_jaccard_join`` with a row for each two documents, also those of equal sets; of n copies n (n - 1) / 2 rows."""
+    sets, pairs = _pairs(docs, id_col, text_col, n, threshold, orders, chunk, False)
+    left, right = (sets.select(F.col("key").alias(c), F.col("ids").alias(f"ids_{c}")) for c in ("a", "b"))
+    near = pairs.select("a", "b", "jaccard").join(left, "a").join(right, "b").select(F.explode("ids_a").alias("x"), "ids_b", "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard")
+    same = sets.select(F.posexplode("ids").alias("p", "x"), "ids").select("x", F.explode(F.expr("slice(ids, p + 2, size(ids) - p - 1)")).alias("y"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(same).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
     """``(drop_id)``: the documents that go when one of each group stays, the one of the least id.
 

@@ -9,7 +9,7 @@ import brute
 from compare import rows
 from lakeseek.llm import registry
 from lakeseek.llm.decontaminate import contamination, decontaminate
-from lakeseek.llm.jaccard import drop_near_duplicates, near_duplicates, ngram_jaccard_join
+from lakeseek.llm.jaccard import drop_near_duplicates, every_pair, near_duplicates, ngram_jaccard_join
 from lakeseek.llm.line_dedup import line_dedup, patience
 
 
@@ -42,6 +42,16 @@ def test_join_is_brute_force(which, request):
     assert want and _near(ngram_jaccard_join(docs)) == want
 
 
+def test_every_pair_has_all_copies(spark):
+    """Three and two copies of two near texts, and two of another: all ten pairs of the near ones and one more."""
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(41))
+    docs = [(1, a), (2, b), (3, a), (4, b), (5, a), (6, "x y z"), (7, "x y z"), (8, "alone here")]
+    got = _near(every_pair(spark.createDataFrame(docs, "doc_id long, text string")))
+    own = [(i, brute.grams(t)) for i, t in docs]
+    want = [(i, j, round(len(x & y) / len(x | y), 9)) for i, x in own for j, y in own if i < j and len(x & y) >= 0.6 * len(x | y)]
+    assert len(want) == 11 and got == sorted(want)
+
+
 @pytest.mark.parametrize("chunk, orders", [(7, 3), (50, 1), (3, 4)])
 def test_pieces_and_orders_change_nothing(copies, chunk, orders):
     assert _near(ngram_jaccard_join(copies, chunk=chunk, orders=orders)) == brute.jaccard_pairs(_pairs(copies))
