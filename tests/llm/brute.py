@@ -74,56 +74,28 @@ def shared_spans(docs: list[tuple], items: list[tuple], least: int = 12) -> list
     return out
 
 
-def patience(a: list, b: list, at: int = 0, to: int = 0) -> list[tuple[int, int]]:
-    """Aligned pairs: equal ends, then the longest chain of items unique in both, and the gaps again."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    out = [(at + k, to + k) for k in range(head)] + [(at + len(a) - 1 - k, to + len(b) - 1 - k) for k in range(tail)]
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    unique = [(x.index(v), y.index(v)) for v in x if x.count(v) == 1 and y.count(v) == 1]
-    best: list = []
-    for k, (i, j) in enumerate(unique):  # longest chains by length, of equal ones the last found smallest end
-        before = [c for c in best if c[-1][1] < j]
-        best.append(max(before, key=len, default=[]) + [(i, j)])
-    if not best:
-        return out
-    chain = max(best, key=len)
-    last = (-1, -1)
-    for i, j in [*chain, (len(x), len(y))]:
-        out += patience(x[last[0] + 1 : i], y[last[1] + 1 : j], at + head + last[0] + 1, to + head + last[1] + 1)
-        if (i, j) != (len(x), len(y)):
-            out.append((at + head + i, to + head + j))
-        last = (i, j)
-    return out
-
-
 def without_shared_lines(docs: list[tuple], least: int = 13) -> list[tuple]:
-    """(id, text, removed lines): each document against every earlier one. Ids are distinct here."""
-    own = {}
-    for i, t in docs:
-        own[i] = [(n, x, len(x.split())) for n, x in enumerate((t or "").split("\n")) if x.strip()]
+    """(id, text, removed lines): each document against every earlier one, every common block of lines. Ids are distinct here."""
+    own = {i: [(n, x, len(x.split())) for n, x in enumerate((t or "").split("\n")) if x.strip()] for i, t in docs}
     out = []
     for i, t in docs:
         gone: set = set()
         for j, _ in docs:
-            if j >= i or not {x for _, x, _ in own[i]} & {x for _, x, _ in own[j]}:
+            if j >= i:
                 continue
-            there, here = {x for _, x, _ in own[j]}, {x for _, x, _ in own[i]}
-            left, right = [n for n, x in enumerate(own[i]) if x[1] in there], [n for n, x in enumerate(own[j]) if x[1] in here]
-            pairs = [(left[p], right[q]) for p, q in sorted(patience([own[i][n][1] for n in left], [own[j][n][1] for n in right]))]
-            at = 0
-            while at < len(pairs):
-                end = at + 1
-                while end < len(pairs) and pairs[end] == (pairs[end - 1][0] + 1, pairs[end - 1][1] + 1):
-                    end += 1
-                block = [p for p, _ in pairs[at:end]]
-                if sum(own[i][p][2] for p in block) >= least:
-                    gone |= {own[i][p][0] for p in block}
-                at = end
+            a, b = own[i], own[j]
+            at: dict = {}
+            for q, (_, x, _) in enumerate(b):
+                at.setdefault(x, []).append(q)
+            for p, (_, x, _) in enumerate(a):
+                for q in at.get(x, ()):
+                    if p and q and a[p - 1][1] == b[q - 1][1]:
+                        continue
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n][1] == b[q + n][1]:
+                        n += 1
+                    if sum(a[p + k][2] for k in range(n)) >= least:
+                        gone |= {a[p + k][0] for k in range(n)}
         text = t if t is None or not gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
         out.append((i, text, len(gone)))
     return out

@@ -149,6 +149,38 @@ def test_line_dedup_aligns_with_every_earlier_holder(spark):
     assert got[3] == (4, "other", 2) and got[6] == (7, "r", 2)
 
 
+def test_line_dedup_takes_tails_moved_and_overlapping_blocks(spark):
+    """A short line after a block that only the second holder has; blocks in another order, doubled, and over each other."""
+    w = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    a, b, c, d, x, y = w("a", 5), w("b", 5), w("c", 5), w("d", 2), w("x", 20), w("y", 30)
+    docs = [(1, f"{a}\n{b}\n{c}"), (2, f"zz\n{a}\n{b}\n{c}\n{d}"), (3, f"qq\n{a}\n{b}\n{c}\n{d}"), (4, f"{x}\nm\n{y}"), (5, f"{y}\n{x}\n{x}\nown")]
+    p, q, r = w("p", 7), w("q", 7), w("r", 7)
+    docs += [(6, f"{p}\n{q}\nbreak\n{q}\n{r}"), (7, f"new\n{p}\n{q}\n{r}\nend")]
+    got = _deduped(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == sorted(brute.without_shared_lines(docs))
+    assert got[2][1] == "qq" and got[4][1] == "own" and got[6][1] == "new\nend"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_of_many_overlapping_holders_is_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(f"{chr(97 + k)}{n}" for n in range(rng.randrange(1, 9))) for k in range(14)]
+    docs = [(k, "\n".join(rng.choice([*pool, "", f"own {k} {n}"]) for n in range(rng.randrange(1, 16)))) for k in range(120)]
+    got = _deduped(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == sorted(brute.without_shared_lines(docs)) and sum(n for *_, n in got) > 50
+
+
+def test_edited_copies_are_told(spark):
+    """A copy with a few words changed is one; a document that has a passage in common is none."""
+    rng = random.Random(2)
+    line = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    own = [line(20) for _ in range(10)]
+    edited = [x.replace(x.split()[3], "changed", 1) if k in (2, 3, 7) else x for k, x in enumerate(own)]
+    docs = [(1, "\n".join(own)), (2, "\n".join(edited)), (3, "\n".join([line(18), *own[4:7], line(22), line(9)])), (4, line(30))]
+    out = line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), copy="again")
+    assert {r.doc_id: r.again for r in out.collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
 def test_line_dedup_cases(awkward):
     out = line_dedup(awkward, count="n")
     assert out.columns == [*awkward.columns, "n"]
