@@ -43,8 +43,8 @@ def needed(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * sizes - 1e-9).astype(np.int64)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
-    """``(key, ids, size, prefix, tokens, dfs)``: the distinct sets that can have a partner.
+def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``(id, hash, key, size)``: the set of each row with an id; ``(key, n_docs, size, prefix, tokens, dfs)``: the distinct sets that can have a partner, with the ids that have them.
 
     tokens are those that some other document has too, in the order (document
     frequency, hash); as a token of one document alone goes before them in every order
@@ -52,7 +52,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
     """
     spark = docs.sparkSession
     parts = K.partitions(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
 
     def split(batches):
         block = K.task_key()
@@ -60,7 +60,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
         for part in K.slices(batches, "text", 4_000_000):
             tokens, offsets = token_sets(K.strings(part.column("text")), n)
             signs = [K.sums(K.mix(tokens ^ s), offsets) for s in _SEEDS[:2]]
-            head = [K.pack(part.column("id").to_numpy()), K.pack(np.diff(offsets).astype(np.uint32)), *(x.tobytes() for x in signs)]
+            head = [K.pack(part.column("id").to_numpy()), K.pack(part.column("hash").to_numpy()), K.pack(np.diff(offsets).astype(np.uint32)), *(x.tobytes() for x in signs)]
             rows = [(block, block % parts, -1, _join(head))]
             order = np.argsort(tokens, kind="stable")
             tokens, doc = tokens[order], K.owner(offsets)[order].astype(np.uint32)
@@ -90,8 +90,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
 
     def prefixes(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group["part"].to_pylist(), group["payload"].to_pylist()), key=lambda x: x[0])
-        ids, sizes, *signs = _split(rows[0][1])
-        ids, sizes = K.unpack(ids, np.int64), K.unpack(sizes, np.uint32).astype(np.int64)
+        ids, texts, sizes, *signs = _split(rows[0][1])
+        ids, texts, sizes = K.unpack(ids, np.int64), K.unpack(texts, np.int64), K.unpack(sizes, np.uint32).astype(np.int64)
         lists = [_split(x) for _, x in rows[1:]]
         join = lambda k, kind: np.concatenate([K.unpack(x[k], kind) for x in lists]) if lists else np.zeros(0, kind)
         tokens = np.concatenate([np.cumsum(K.unpack(x[0], np.uint64), dtype=np.uint64) for x in lists]) if lists else np.zeros(0, np.uint64)
@@ -105,21 +105,25 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
         tokens, doc, df = tokens[order], doc[order], df[order]
         bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
         key = np.frombuffer(signs[0], np.uint64), np.frombuffer(signs[1], np.uint64)
-        at = np.flatnonzero(alive).tolist()
+        pieces = [(K.pack(tokens[bounds[k] : bounds[k + 1]]), K.pack(df[bounds[k] : bounds[k + 1]])) if alive[k] else (None, None) for k in range(len(ids))]
         return pa.table(
             {
-                "id": pa.array(ids[at], pa.int64()),
-                "key": pa.array([int(sizes[k]).to_bytes(4, "big") + int(key[0][k]).to_bytes(8, "big") + int(key[1][k]).to_bytes(8, "big") for k in at], pa.binary()),
-                "size": pa.array(sizes[at].astype(np.int32)),
-                "prefix": pa.array(prefix[at].astype(np.int32)),
-                "tokens": pa.array([K.pack(tokens[bounds[k] : bounds[k + 1]]) for k in at], pa.binary()),
-                "dfs": pa.array([K.pack(df[bounds[k] : bounds[k + 1]]) for k in at], pa.binary()),
+                "id": pa.array(ids),
+                "hash": pa.array(texts),
+                "key": pa.array([int(n).to_bytes(4, "big") + int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big") for n, a, b in zip(sizes, *key)], pa.binary()),
+                "size": pa.array(sizes.astype(np.int32)),
+                "prefix": pa.array(prefix.astype(np.int32)),
+                "tokens": pa.array([x for x, _ in pieces], pa.binary()),
+                "dfs": pa.array([x for _, x in pieces], pa.binary()),
             }
         )
 
     counted = source.mapInArrow(split, _ROWS).groupBy("bucket").applyInArrow(frequencies, _ROWS)
-    alive = counted.groupBy("block").applyInArrow(prefixes, "id long, key binary, size int, prefix int, tokens binary, dfs binary")
-    return K.materialise(alive.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"), F.first("dfs").alias("dfs")))
+    each = K.materialise(counted.groupBy("block").applyInArrow(prefixes, "id long, hash long, key binary, size int, prefix int, tokens binary, dfs binary"))
+    alive = each.filter("tokens IS NOT NULL")
+    held = alive.select("key", "id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
+    one = alive.groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "prefix", "tokens", "dfs")))
+    return each.select("id", "hash", "key", "size"), K.materialise(one.join(held, "key"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -158,7 +162,7 @@ def _placed(sets: DataFrame, chunk: int, threshold: float) -> DataFrame:
     near = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.coalesce(F.try_element_at("parts", F.col("level") + d), F.lit(0))), lambda k: k < F.coalesce(F.try_element_at("parts", F.col("level") + d), F.lit(0))), lambda k: code(F.col("level") + d, k))))
     placed = placed.withColumn("own", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(code(F.col("level"), own)))
     pieces = F.transform(F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(near), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    return placed.withColumn("piece", F.explode(pieces)).select("group", "piece.i", "piece.j", "own", "key", "ids", "size", "prefix", "tokens", "dfs")
+    return placed.withColumn("piece", F.explode(pieces)).select("group", "piece.i", "piece.j", "own", "key", "n_docs", "size", "prefix", "tokens", "dfs")
 
 
 def _compare(rows: list[dict], i: int, j: int, threshold: float, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,12 +266,10 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _pairs(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, orders: int, chunk: int, forest: bool) -> tuple[DataFrame, DataFrame]:
-    """The sets, and the pairs ``(a, b, id_a, id_b, jaccard)`` of them; with ``forest`` only so many that they connect the same."""
-    sets = _sets(docs, id_col, text_col, n, threshold)
-    placed = _placed(sets, chunk, threshold)
+def _compared(sets: DataFrame, chunk: int, threshold: float, orders: int, whole: bool = False) -> DataFrame:
+    """Of each piece's similar sets: rows ``(a, b, jaccard)`` of so many pairs that they connect the same as all (of all, if ``whole``), and ``(a, n_links)`` of each set's similar documents."""
     keys = ["group", "i", "j"]
-    ordered = placed.repartition(K.partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys, "key")
+    ordered = _placed(sets, chunk, threshold).repartition(K.partitions(sets.sparkSession), *keys).sortWithinPartitions(*keys, "key")
 
     def compare(batches):
         held: list[dict] = []
@@ -276,17 +278,19 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float
         def flush():
             if len(held) > 1:
                 left, right, similarity = _compare(held, held[0]["i"], held[0]["j"], threshold, orders)
-                if forest:
+                docs = np.array([r["n_docs"] for r in held])
+                links = np.bincount(left, docs[right], len(held)) + np.bincount(right, docs[left], len(held))
+                out.extend((held[k]["key"], None, None, int(links[k])) for k in np.flatnonzero(links).tolist())
+                if not whole:
                     some = _forest(len(held), left, right)
                     left, right, similarity = left[some], right[some], similarity[some]
-                for a, b, s in zip(left.tolist(), right.tolist(), similarity.tolist()):
-                    out.append((held[a]["key"], held[b]["key"], held[a]["ids"][0], held[b]["ids"][0], s))
+                out.extend((held[a]["key"], held[b]["key"], x, 0) for a, b, x in zip(left.tolist(), right.tolist(), similarity.tolist()))
             held.clear()
 
         def made():
-            columns = list(zip(*out)) if out else [()] * 5
+            columns = list(zip(*out)) if out else [()] * 4
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "id_a", "id_b", "jaccard"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.float64(), pa.int64()))], ["a", "b", "jaccard", "n_links"])
 
         for batch in K.slices(batches, "tokens", 8_000_000):
             for row in batch.to_pylist():
@@ -298,15 +302,22 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float
         flush()
         yield made()
 
-    return sets, ordered.mapInArrow(compare, "a binary, b binary, id_a long, id_b long, jaccard double")
+    return ordered.mapInArrow(compare, "a binary, b binary, jaccard double, n_links long")
+
+
+def _classes(rows: DataFrame, compared: DataFrame, *columns: str) -> DataFrame:
+    """The distinct ``columns`` of the rows with ``key`` and ``group``: the class of similar sets (a set without partners is one)."""
+    label = components(compared.filter("b IS NOT NULL").select("a", "b"))
+    return rows.filter("size > 0").select(*columns, "key").distinct().join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("label", "key")).drop("label")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
-    """``(doc_a, doc_b, jaccard)`` of documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more, doc_a <= doc_b.
+    """``(doc_id, class_id, n_links)`` of each document: its class, and the documents that it is similar to.
 
-    Documents of equal sets are taken together: the set's least id stands for it
-    in the pairs with other sets, and is paired with each further id at 1.0. Pairs
-    that follow from these by equal sets are left out; ``every_pair`` has them too.
+    Two documents are similar if their sets of word n-grams have a Jaccard similarity of ``threshold`` or more.
+    Classes are the connected components of that, named by their least id; ``n_links`` is the number of
+    other documents that are similar to this one, those of the same set with them. So all pairs are
+    counted and those of copies needn't be listed; ``similar_sets`` lists the pairs of different sets.
 
     A set's prefix under a total order of tokens is so long that two sets of that similarity
     must share a token of it, whatever the order. Under the first, document frequency (counted over all
@@ -315,39 +326,47 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others are frequency classes, then different hashes). Candidates are verified
     by their whole sets. Nothing is capped: a big component is cut into pieces, each two of which meet.
 
-    Cases: documents without id or text, or without words, have no partners; one of fewer than n
-    words has all of them as its gram; repeated rows (one id, one set) count once, while
-    one id with several sets can be paired with itself; an empty table gives an
-    empty result; other columns are left out; texts of any length are compared whole.
+    Cases: rows without id are left out; a document without text or words is a class of its own without
+    links; one of fewer than n words has all of them as its gram; repeated rows (one id, one set) are one
+    document, while one id with several sets has a row for each and can be linked with itself; an empty table
+    gives an empty result; other columns are left out; texts of any length are compared whole.
     """
-    sets, pairs = _pairs(docs, id_col, text_col, n, threshold, orders, chunk, False)
-    near = pairs.select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"), "jaccard")
-    same = sets.filter(F.size("ids") > 1).select(F.element_at("ids", 1).alias("doc_a"), F.explode(F.slice("ids", 2, F.size("ids") - 1)).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
-
-
-def every_pair(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
-    """``ngram_jaccard_join`` with a row for each two documents, also those of equal sets; of n copies n (n - 1) / 2 rows."""
-    sets, pairs = _pairs(docs, id_col, text_col, n, threshold, orders, chunk, False)
-    left, right = (sets.select(F.col("key").alias(c), F.col("ids").alias(f"ids_{c}")) for c in ("a", "b"))
-    near = pairs.select("a", "b", "jaccard").join(left, "a").join(right, "b").select(F.explode("ids_a").alias("x"), "ids_b", "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard")
-    same = sets.select(F.posexplode("ids").alias("p", "x"), "ids").select("x", F.explode(F.expr("slice(ids, p + 2, size(ids) - p - 1)")).alias("y"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
-    """``(drop_id)``: the documents that go when one of each group stays, the one of the least id.
-
-    Groups are the connected components of ``ngram_jaccard_join``. Rows of one id are one document here.
+    rows, sets = _sets(docs, id_col, text_col, n, threshold)
+    compared = K.materialise(_compared(sets, chunk, threshold, orders))
+    classed = _classes(rows, compared, "id")
+    least = classed.groupBy("group").agg(F.min("id").alias("class_id"))
+    links = compared.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("other"))
+    with_words = (
+        classed.join(least, "group")
+        .join(sets.select("key", "n_docs").join(links, "key", "left"), "key", "left")
+        .select(F.col("id").alias("doc_id"), "class_id", (F.coalesce(F.col("n_docs") - 1, F.lit(0)) + F.coalesce("other", F.lit(0))).alias("n_links"))
+    )
+    without = rows.filter("size = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")).distinct()
+    return with_words.unionByName(without).withColumnRenamed("doc_id", id_col)
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_a, doc_b, jaccard)``: all pairs of different similar sets, each named by the least id that has it, doc_a <= doc_b; see ``ngram_jaccard_join``."""
+    rows, sets = _sets(docs, id_col, text_col, n, threshold)
+    first = rows.groupBy("key").agg(F.min("id").alias("id"))
+    left, right = (first.select(F.col("key").alias(c), F.col("id").alias(f"id_{c}")) for c in ("a", "b"))
+    pairs = _compared(sets, chunk, threshold, orders, whole=True).filter("b IS NOT NULL")
+    return pairs.join(left, "a").join(right, "b").select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"), "jaccard")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS, chunk: int = CHUNK) -> DataFrame:
+    """One document of each class of similar ones, that of the least (id, hash of the text); columns stay as they are.
+
+    A document is what has one id and one text, nulls being equal: of repeated rows one stays (any of them, if their other columns
+    differ), and of the texts of one id each is judged by itself. Documents without id, text or words are similar to none;
+    see ``ngram_jaccard_join`` for the other cases.
     """
-    sets, pairs = _pairs(docs, id_col, text_col, n, threshold, orders, chunk, True)
-    label = components(pairs.select("a", "b"))
-    each = sets.select("key", F.explode("ids").alias("id")).join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("label", "key"))
-    first = each.groupBy("group").agg(F.min("id").alias("first"))
-    return each.join(first, "group").filter("id <> first").select(F.col("id").alias("drop_id")).distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those of ``near_duplicates``, their columns as they are."""
-    gone = near_duplicates(docs, id_col, text_col, **options)
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["drop_id"], "left_anti")
+    rows, sets = _sets(docs, id_col, text_col, n, threshold)
+    compared = K.materialise(_compared(sets, chunk, threshold, orders))
+    classed = _classes(rows, compared, "id", "hash").withColumn("doc", F.struct("id", "hash"))
+    least = classed.groupBy("group").agg(F.min("doc").alias("first"))
+    own_id, own_hash, gone_id, gone_hash = (K.fresh(docs.columns, c) for c in ("__id", "__hash", "__gone_id", "__gone_hash"))
+    gone = classed.join(least, "group").filter("doc <> first").select(F.col("id").alias(gone_id), F.col("hash").alias(gone_hash))
+    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_hash: F.xxhash64(F.col(text_col))})
+    left = marked.join(gone.hint("shuffle_hash"), (F.col(own_id) == F.col(gone_id)) & (F.col(own_hash) == F.col(gone_hash)), "left_anti")
+    return left.dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)

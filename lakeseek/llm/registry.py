@@ -97,18 +97,22 @@ def _license_sql() -> str:
 
 _SQL = {
     "op4_ngram_jaccard_join": """
-        WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
         ds AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
                    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS grams
                FROM dw WHERE len(w) > 0),
-        sets AS (SELECT list(DISTINCT doc_id ORDER BY doc_id) AS ids, grams, row_number() OVER () AS s FROM ds GROUP BY grams),
+        sets AS (SELECT count(DISTINCT doc_id) AS n_docs, min(doc_id) AS least, grams, row_number() OVER () AS s FROM ds WHERE doc_id IS NOT NULL GROUP BY grams),
         g AS (SELECT s, unnest(grams) AS gram FROM sets),
-        pair AS (SELECT x.s AS a, y.s AS b, count(*) AS common FROM g x JOIN g y ON x.gram = y.gram AND x.s < y.s GROUP BY x.s, y.s),
-        near AS (SELECT l.ids[1] AS x, r.ids[1] AS y, CAST(common AS DOUBLE) / (len(l.grams) + len(r.grams) - common) AS jaccard
-                 FROM pair JOIN sets l ON l.s = a JOIN sets r ON r.s = b)
-        SELECT least(x, y) AS doc_a, greatest(x, y) AS doc_b, jaccard FROM near WHERE jaccard >= 0.6
+        common AS (SELECT x.s AS a, y.s AS b, count(*) AS n FROM g x JOIN g y ON x.gram = y.gram AND x.s <> y.s GROUP BY x.s, y.s),
+        near AS (SELECT a, b, r.n_docs FROM common JOIN sets l ON l.s = a JOIN sets r ON r.s = b
+                 WHERE CAST(n AS DOUBLE) / (len(l.grams) + len(r.grams) - n) >= 0.6),
+        reach AS (SELECT s AS a, s AS b FROM sets UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+        class AS (SELECT a AS s, min(least) AS class_id FROM reach JOIN sets ON sets.s = reach.b GROUP BY a),
+        links AS (SELECT a AS s, sum(n_docs) AS n FROM near GROUP BY a)
+        SELECT DISTINCT doc_id, class_id, CAST(n_docs - 1 + coalesce(links.n, 0) AS BIGINT) AS n_links
+        FROM ds JOIN sets USING (grams) JOIN class USING (s) LEFT JOIN links USING (s)
         UNION ALL
-        SELECT ids[1] AS doc_a, unnest(ids[2:]) AS doc_b, CAST(1 AS DOUBLE) AS jaccard FROM sets WHERE len(ids) > 1
+        SELECT DISTINCT doc_id, doc_id AS class_id, CAST(0 AS BIGINT) AS n_links FROM dw WHERE doc_id IS NOT NULL AND coalesce(len(w), 0) = 0
     """,
     "op5_decontaminate": """
         WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),

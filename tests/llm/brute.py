@@ -21,38 +21,61 @@ def grams(text: str | None, n: int = 3) -> set:
     return {tuple(w)} if len(w) < n else {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
 
 
-def jaccard_pairs(docs: list[tuple], threshold: float = 0.6) -> dict:
-    """Pairs of distinct (id, set) rows; the operator's rows follow from the sets' least ids."""
+def _similar(docs: list, threshold: float) -> tuple[dict, list]:
+    """Documents by their set, and the pairs of similar different sets."""
     sets = collections.defaultdict(set)
-    for i, t in docs:
-        if i is not None and grams(t):
-            sets[frozenset(grams(t))].add(i)
-    out, keys = [], list(sets)
+    for doc, t in docs:
+        if grams(t):
+            sets[frozenset(grams(t))].add(doc)
+    keys, pairs = list(sets), []
     for k, a in enumerate(keys):
-        ids = sorted(sets[a])
-        out += [(ids[0], x, 1.0) for x in ids[1:]]
         for b in keys[k + 1 :]:
             j = len(a & b) / len(a | b)
             if j >= threshold - 1e-9:
-                x, y = sorted((ids[0], min(sets[b])))
-                out.append((x, y, j))
-    return sorted((x, y, round(j, 9)) for x, y, j in out)
+                pairs.append((a, b, j))
+    return sets, pairs
 
 
-def keep_one(docs: list[tuple], threshold: float = 0.6) -> set:
-    """Ids that go when one document of each group stays."""
-    parent: dict = {}
+def _classes(sets: dict, pairs: list) -> dict:
+    """Least document of the class of each set."""
+    parent = {a: a for a in sets}
 
     def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
+        while parent[x] is not x:
             x = parent[x]
         return x
 
-    for a, b, _ in jaccard_pairs(docs, threshold):
-        a, b = sorted((find(a), find(b)))
-        parent[b] = a
-    return {x for x in parent if find(x) != x}
+    for a, b, _ in pairs:
+        parent[find(a)] = find(b)
+    least: dict = {}
+    for a, docs in sets.items():
+        least[find(a)] = min(least.get(find(a), min(docs)), min(docs))
+    return {a: least[find(a)] for a in sets}
+
+
+def similar_sets(docs: list[tuple], threshold: float = 0.6) -> list[tuple]:
+    """Pairs of different sets, by their least ids."""
+    sets, pairs = _similar([x for x in docs if x[0] is not None], threshold)
+    return sorted((*sorted((min(sets[a]), min(sets[b]))), round(j, 9)) for a, b, j in pairs)
+
+
+def jaccard_rows(docs: list[tuple], threshold: float = 0.6) -> list[tuple]:
+    """(id, class, links) of each (id, set)."""
+    docs = [x for x in docs if x[0] is not None]
+    sets, pairs = _similar(docs, threshold)
+    least = _classes(sets, pairs)
+    links = {a: len(ids) - 1 for a, ids in sets.items()}
+    for a, b, _ in pairs:
+        links[a], links[b] = links[a] + len(sets[b]), links[b] + len(sets[a])
+    out = [(i, least[a], links[a]) for a, ids in sets.items() for i in ids]
+    return sorted(out + [(i, i, 0) for i in {i for i, t in docs if not grams(t)}])
+
+
+def keep_one(docs: list[tuple], threshold: float = 0.6) -> list[tuple]:
+    """The distinct (id, text) of which one of each class stays, the one of the least id and ``order`` of the text."""
+    sets, pairs = _similar([((i, t), t) for i, t in set(docs) if i is not None], threshold)
+    least = _classes(sets, pairs)
+    return [x for x in set(docs) if x[0] is None or not grams(x[1]) or least[frozenset(grams(x[1]))] == x]
 
 
 def shared_spans(docs: list[tuple], items: list[tuple], least: int = 12) -> list[tuple]:

@@ -9,7 +9,7 @@ import brute
 from compare import rows
 from lakeseek.llm import registry
 from lakeseek.llm.decontaminate import contamination, decontaminate
-from lakeseek.llm.jaccard import drop_near_duplicates, every_pair, near_duplicates, ngram_jaccard_join
+from lakeseek.llm.jaccard import drop_near_duplicates, ngram_jaccard_join, similar_sets
 from lakeseek.llm.line_dedup import line_dedup, patience
 
 
@@ -38,32 +38,46 @@ def copies(spark):
 @pytest.mark.parametrize("which", ["documents", "awkward", "copies"])
 def test_join_is_brute_force(which, request):
     docs = request.getfixturevalue(which)
-    want = brute.jaccard_pairs(_pairs(docs))
-    assert want and _near(ngram_jaccard_join(docs)) == want
+    want = brute.jaccard_rows(_pairs(docs))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_jaccard_join(docs).collect())
+    assert any(n for *_, n in want) and got == want
 
 
-def test_every_pair_has_all_copies(spark):
-    """Three and two copies of two near texts, and two of another: all ten pairs of the near ones and one more."""
+def test_join_is_sql(spark, sf_dir, duck):
+    key = "op4_ngram_jaccard_join"
+    got = registry.queries()[key](spark, sf_dir).toPandas()
+    assert got.n_links.max() > 0 and rows(got) == rows(duck.execute(registry.oracle_sql()[key]).fetchdf())
+
+
+def test_links_count_all_copies(spark):
+    """Three and two copies of two near texts, and two of another; one id with two texts that are near."""
     a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(41))
-    docs = [(1, a), (2, b), (3, a), (4, b), (5, a), (6, "x y z"), (7, "x y z"), (8, "alone here")]
-    got = _near(every_pair(spark.createDataFrame(docs, "doc_id long, text string")))
-    own = [(i, brute.grams(t)) for i, t in docs]
-    want = [(i, j, round(len(x & y) / len(x | y), 9)) for i, x in own for j, y in own if i < j and len(x & y) >= 0.6 * len(x | y)]
-    assert len(want) == 11 and got == sorted(want)
+    docs = [(1, a), (2, b), (3, a), (4, b), (5, a), (6, "x y z"), (7, "x y z"), (8, "alone here"), (9, None)]
+    got = sorted(tuple(r) for r in ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 1, 4), (5, 1, 4), (6, 6, 1), (7, 6, 1), (8, 8, 0), (9, 9, 0)]
+    got = sorted(tuple(r) for r in ngram_jaccard_join(spark.createDataFrame([(1, a), (1, b), (1, b)], "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1)]
 
 
 @pytest.mark.parametrize("chunk, orders", [(7, 3), (50, 1), (3, 4)])
 def test_pieces_and_orders_change_nothing(copies, chunk, orders):
-    assert _near(ngram_jaccard_join(copies, chunk=chunk, orders=orders)) == brute.jaccard_pairs(_pairs(copies))
+    assert _near(similar_sets(copies, chunk=chunk, orders=orders)) == brute.similar_sets(_pairs(copies))
 
 
 def test_one_of_each_group_stays(copies, awkward):
     for docs in (copies, awkward):
-        gone = brute.keep_one(_pairs(docs))
-        assert {r.drop_id for r in near_duplicates(docs, chunk=20).collect()} == gone
-        left = drop_near_duplicates(docs)
-        assert left.columns == docs.columns
-        assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(i or -1 for i, _ in _pairs(docs) if i not in gone)
+        left = drop_near_duplicates(docs, chunk=20)
+        assert left.columns == docs.columns and set(map(tuple, left.collect())) <= set(map(tuple, docs.collect()))
+        key = lambda x: (x[0] or -1, x[1] or "")
+        assert sorted(_pairs(left), key=key) == sorted(brute.keep_one(_pairs(docs)), key=key)
+
+
+def test_texts_and_not_ids_are_dropped(spark):
+    """A text isn't dropped because another of its id is; of repeated rows one stays."""
+    t, u, v = (" ".join(f"{c}{k}" for k in range(20)) for c in "tuv")
+    docs = [(1, t), (5, t), (5, u), (7, v), (7, v), (None, v), (None, v), (9, None), (9, None)]
+    left = drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(_pairs(left), key=repr) == sorted([(1, t), (5, u), (7, v), (None, v), (9, None)], key=repr)
 
 
 def test_join_of_nothing(awkward):
