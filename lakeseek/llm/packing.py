@@ -1,4 +1,4 @@
-"""Lexical retrieval packing: BM25 neighbours out of a sharded inverted index over the whole corpus fill a seed document's window."""
+"""Lexical retrieval packing: a sharded BM25 inverted index gives each seed document its neighbours, which fill its windows."""
 
 from __future__ import annotations
 
@@ -10,45 +10,111 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .token_counts import _ids, _join, _read_ids, _split
 
-#: Words of a window, documents that are left when the rest is packed in one exact round, BM25's constants.
-WINDOW, SHARD, K1, B = 2048, 1500, 1.2, 0.75
-#: Documents of a piece of the index, queries scored at once, best neighbours of a query in each class of sizes, and queries of a round at most.
-PIECE, QUERIES, BEST, MOST = 8192, 512, 16, 32768
-
-_ROWS = "block long, bucket int, part int, n_docs long, n_words long, payload binary"
-
-
-class Piece:
+#: Words of a window; a document is a seed if its id is divisible by this; BM25's constants.
+WINDOW, EVERY, K1, B = 2048, 20, 1.2, 0.75
+#: Documents of a shard of the index, seeds that are scored at once, and bytes of packed seeds that are sent to the tasks at once.
+SHARD, QUERIES, ROUND_BYTES = 8192, 256, 24_000_000
+#: Documents of one seed that are packed in one go; of more, parts are packed by themselves.
+GROUP = 8192
+#: Relative difference up to which two float32 scores are the same.
+NEAR = 1e-5
+
+_ROWS = "block long, bucket int, part int, payload binary"
+_BLOCKS = "block long, kind int, n_docs long, n_words long, payload binary"
+_NEAREST = "block long, row int, id long, n long, seed_id long, seed_block long, seed_row int, score double"
+
+
+class Seeds:
+    """The queries: each seed's distinct terms that some other document has, in the order of (id, place)."""
+
+    def __init__(self, payloads: list[tuple[int, bytes]], n_docs: int, mean: float):
+        ids, blocks, rows, sizes, terms, weights = [], [], [], [], [], []
+        for block, payload in payloads:
+            own, row, lengths, bounds, code, tf, seen, df = _split(payload)
+            bounds, code, seen = K.unpack(bounds, np.uint32).astype(np.int64), K.unpack(code, np.uint32), _running(seen)
+            ids.append(K.unpack(own, np.int64))
+            rows.append(K.unpack(row, np.uint32).astype(np.int64))
+            blocks.append(np.full(len(ids[-1]), block))
+            sizes.append(np.diff(bounds))
+            terms.append(seen[code])
+            each = np.repeat(K.unpack(lengths, np.uint32).astype(np.int64), sizes[-1])
+            weights.append(_weights(K.unpack(tf, np.uint32), K.unpack(df, np.uint32)[code], each, n_docs, mean))
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        self.id, self.block, self.row, size, term, weight = (join(x, k) for x, k in ((ids, np.int64), (blocks, np.int64), (rows, np.int64), (sizes, np.int64), (terms, np.uint64), (weights, float)))
+        order = np.lexsort((self.row, self.block, self.id))
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        own = K.sums(weight, bounds)
+        self.id, self.block, self.row, size = self.id[order], self.block[order], self.row[order], size[order]
+        self.scale = 1 / np.sqrt(np.maximum(own[order], 1e-9))
+        term = term[K.expand(bounds[:-1][order], size)]
+        self.bounds = np.concatenate([[0], np.cumsum(size)])
+        self.term = term
+        self.blocks = []
+        for at in range(0, len(order), QUERIES):
+            last = min(len(order), at + QUERIES)
+            distinct, code = np.unique(term[self.bounds[at] : self.bounds[last]], return_inverse=True)
+            self.blocks.append((at, distinct, np.repeat(np.arange(last - at), size[at:last]), code.astype(np.int32), last - at))
+
+
+def _weights(tf: np.ndarray, df: np.ndarray, length: np.ndarray, n_docs: int, mean: float) -> np.ndarray:
+    """What a term of that frequency adds to the BM25 score of a document of that length."""
+    idf = np.log((n_docs - df.astype(float) + 0.5) / (df + 0.5) + 1)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+class Shard:
     """An inverted index of some documents, with the corpus's own term statistics."""
 
-    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], df: list[np.ndarray], lengths: np.ndarray, n_docs: int, mean: float, kind):
-        n = len(terms)
-        doc = np.repeat(np.arange(n), np.array([len(x) for x in terms], np.int64))
-        flat_tf, flat_df = (np.concatenate(x).astype(float) for x in (tf, df))
-        self.seen, code = np.unique(np.concatenate(terms), return_inverse=True)
-        idf = np.log((n_docs - flat_df + 0.5) / (flat_df + 0.5) + 1)
-        weight = idf * flat_tf * (K1 + 1) / (flat_tf + K1 * (1 - B + B * lengths[doc] / mean))
+    def __init__(self, payloads: list[tuple[int, bytes]], n_docs: int, mean: float):
+        ids, lengths, blocks, rows, dictionaries, parts, n = [], [], [], [], [], [], 0
+        for block, payload in payloads:
+            own, size, bounds, code, tf, seen, df = _split(payload)
+            size, bounds = K.unpack(size, np.uint32).astype(np.int64), K.unpack(bounds, np.uint32).astype(np.int64)
+            code, tf, seen, df = K.unpack(code, np.uint32, "zstd"), K.unpack(tf, np.uint32, "zstd"), _running(seen), K.unpack(df, np.uint32)
+            doc = K.owner(bounds)
+            keep = df[code] > 1  # a term of one document alone retrieves nothing
+            code, tf, doc = code[keep], tf[keep], doc[keep]
+            ids.append(_read_ids(own))
+            lengths.append(size)
+            blocks.append(np.full(len(size), block))
+            rows.append(np.arange(len(size)))
+            dictionaries.append(seen)
+            parts.append((code, (doc + n).astype(np.int32), _weights(tf, df[code], size[doc], n_docs, mean)))
+            n += len(size)
+        self.n, self.ids = n, pa.concat_arrays(ids)
+        self.length, self.block, self.row = np.concatenate(lengths), np.concatenate(blocks), np.concatenate(rows)
+        self.seen = np.unique(np.concatenate(dictionaries))
+        code = np.concatenate([np.searchsorted(self.seen, d)[c].astype(np.int32) for d, (c, _, _) in zip(dictionaries, parts)])
+        doc, weight = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
+        del parts, dictionaries
+        by_doc = np.lexsort((code, doc))
+        self.own_code, self.own_weight = code[by_doc], weight[by_doc]
+        self.own_bounds = np.searchsorted(doc[by_doc], np.arange(n + 1))
         order = np.argsort(code, kind="stable")
-        self.n, self.kind, self.doc, self.weight = n, kind, doc[order], weight[order]
+        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.bounds = np.searchsorted(code[order], np.arange(len(self.seen) + 1))
         held = np.diff(self.bounds)
         # Postings of terms that many documents hold are kept as rows of a matrix.
-        self.row = np.full(len(self.seen), -1)
+        self.common = np.full(len(self.seen), -1)
         common = np.flatnonzero(held > max(8, n // 20))
-        self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), n), kind)
+        self.common[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n), np.float32)
         at = K.expand(self.bounds[common], held[common])
         self.matrix[np.repeat(np.arange(len(common)), held[common]), self.doc[at]] = self.weight[at]
 
-    def scores(self, distinct: np.ndarray, query: np.ndarray, term: np.ndarray, n: int, step: int = 64) -> np.ndarray:
+    def codes(self, terms: np.ndarray) -> np.ndarray:
+        """The shard's code of each term, -1 for those that it lacks."""
+        if not len(self.seen):
+            return np.full(len(terms), -1)
+        place = np.minimum(np.searchsorted(self.seen, terms), len(self.seen) - 1)
+        return np.where(self.seen[place] == terms, place, -1)
+
+    def scores(self, distinct: np.ndarray, query: np.ndarray, term: np.ndarray, n: int, step: int = 16) -> np.ndarray:
         """BM25 of all documents for n queries, whose terms are (query, place in ``distinct``) in the order of queries."""
-        if not len(self.seen) or not len(distinct):
-            return np.zeros((n, self.n), self.kind)
-        place = np.minimum(np.searchsorted(self.seen, distinct), len(self.seen) - 1)
-        code = np.where(self.seen[place] == distinct, place, -1)[term]
+        code = self.codes(distinct)[term]
         query, code = query[code >= 0], code[code >= 0]
-        row = self.row[code]
-        wanted = np.zeros((n, len(self.matrix)), self.kind)
+        row = self.common[code]
+        wanted = np.zeros((n, len(self.matrix)), np.float32)
         wanted[query[row >= 0], row[row >= 0]] = 1
         out = wanted @ self.matrix
         query, code = query[row < 0], code[row < 0]
@@ -56,48 +122,46 @@ class Piece:
         for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             if a < b:
                 own = out[k * step : (k + 1) * step]
-                count = self.bounds[code[a:b] + 1] - self.bounds[code[a:b]]
-                at = K.expand(self.bounds[code[a:b]], count)
-                cell = np.repeat((query[a:b] - k * step) * self.n, count) + self.doc[at]
-                own += np.bincount(cell, self.weight[at], own.size).reshape(own.shape)
+                begin = self.bounds[code[a:b]]
+                count = self.bounds[code[a:b] + 1] - begin
+                at = K.expand(begin, count)
+                cell = self.doc.take(at) + np.repeat((query[a:b] - k * step) * self.n, count)
+                own += np.bincount(cell, self.weight.take(at), own.size).reshape(own.shape)
         return out
 
-
-def best(query: np.ndarray, rank: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``most`` best of each query: by score, of equal ones the first."""
-    order = np.lexsort((rank, -score, query))
-    query, rank, score = query[order], rank[order], score[order]
-    keep = np.arange(len(query)) - np.searchsorted(query, query) < most
-    return query[keep], rank[keep], score[keep]
-
-
-def _class(words: np.ndarray) -> np.ndarray:
-    """Class of sizes: fewer than 64 words, than 128, and so on by powers of two."""
-    return np.clip(np.floor(np.log2(np.maximum(words, 1))).astype(np.int64) - 5, 0, 15)
-
-
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """``(pack_id, position, id_col, first_word, n_words)``: what each window holds, in order.
-
-    Words are [\\p{L}\\p{N}]+ of the lower-cased text. Document frequencies and the mean length are
-    counted over all documents. In the order of ids, each document not yet used is the seed of a
-    window; all its distinct terms are the query, every unused document of the corpus is scored by BM25,
-    and the best that fits (the first, of equal scores to 9 places) is added until none that shares a term does.
-
-    This goes in rounds. The first seeds of the unused documents are sent to all pieces of
-    the index, which score them against all unused documents that fit; the pieces' best ``BEST`` of each
-    class of sizes are merged, and windows are filled from these lists in the order of seeds. A window whose
-    lists end before it is full stays open and asks again in the next round, before new seeds; so only such a window
-    can come after later seeds, for what is beyond its first ``BEST`` neighbours of a class. When at most ``shard``
-    documents are left, and no window is open, lists are complete and the round is exact. The work grows with the square of the corpus.
-    A document of more words than a window fills windows of its own; what is left over is packed with others.
-
-    Cases: a null or empty text, or one without words, is in no window; a null id stays
-    null; repeated rows are packed each; an empty table gives an empty result; other columns are left out; texts
-    of any length are packed whole, each word once.
-    """
-    spark = docs.sparkSession
-    parts = K.partitions(spark)
+    def nearest(self, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
+        """The seed for whose terms each document scores most, by the root of what the seed itself scores, or -1; and that score."""
+        best, which = np.zeros(self.n, np.float32), np.full(self.n, -1)
+        for at, *block in seeds.blocks:
+            scores = self.scores(*block)
+            scores *= seeds.scale[at : at + block[-1], None].astype(np.float32)
+            most = scores.max(0)
+            better = np.flatnonzero(most > best * np.float32(1 + NEAR))
+            if len(better):
+                first = (scores[:, better] >= most[better] * np.float32(1 - NEAR)).argmax(0)
+                best[better], which[better] = most[better], at + first
+        # The score is summed again in the order of terms, so that it doesn't depend on how documents are cut into shards.
+        score, wanted = np.zeros(self.n), np.zeros(len(self.seen) + 1, bool)
+        order = np.argsort(which, kind="stable")
+        cuts = np.flatnonzero(np.diff(which[order], prepend=-2))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), self.n]):
+            seed = which[order[a]]
+            if seed < 0:
+                continue
+            code = self.codes(seeds.term[seeds.bounds[seed] : seeds.bounds[seed + 1]])
+            wanted[code] = True
+            wanted[-1] = False
+            docs = order[a:b]
+            count = self.own_bounds[docs + 1] - self.own_bounds[docs]
+            at = K.expand(self.own_bounds[docs], count)
+            score[docs] = K.sums(self.own_weight[at] * wanted[self.own_code[at]], np.concatenate([[0], np.cumsum(count)]))
+            wanted[code] = False
+        return which, score
+
+
+def _index(docs: DataFrame, id_col: str, text_col: str, every: int) -> DataFrame:
+    """Blocks of documents with their dictionaries and the terms' document frequencies (kind 0), and the seeds among them (kind 1)."""
+    parts = K.partitions(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def split(batches):
@@ -112,229 +176,162 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
             df = np.bincount(code, minlength=len(seen)).astype(np.uint32)
             head = [_ids(part.column("id")), K.pack(np.diff(offsets).astype(np.uint32)), K.pack(bounds.astype(np.uint32)), K.pack(code.astype(np.uint32), "zstd"), K.pack(tf.astype(np.uint32), "zstd")]
-            rows = [(block, block % parts, -1, part.num_rows, int(offsets[-1]), _join(head))]
+            rows = [(block, block % parts, -1, _join(head))]
             cut = np.searchsorted(seen, edges)
             for k in range(parts):
                 a, b = cut[k], cut[k + 1]
                 if a < b:
-                    rows.append((block, k, k, 0, 0, _join([_deltas(seen[a:b]), K.pack(df[a:b])])))
+                    rows.append((block, k, k, _join([_deltas(seen[a:b]), K.pack(df[a:b])])))
             yield _batch(rows)
             block += 1
 
     def frequencies(group: pa.Table) -> pa.Table:
         blocks, marks, payloads = (group[c].to_pylist() for c in ("block", "part", "payload"))
         own = [(k, *_split(payloads[k])) for k in range(len(blocks)) if marks[k] >= 0]
-        rows = [(blocks[k], 0, -1, 0, 0, payloads[k]) for k in range(len(blocks)) if marks[k] < 0]
+        rows = [(blocks[k], 0, -1, payloads[k]) for k in range(len(blocks)) if marks[k] < 0]
         if own:
             terms = [_running(x) for _, x, _ in own]
             seen, code = np.unique(np.concatenate(terms), return_inverse=True)
             total = np.bincount(code, np.concatenate([K.unpack(x, np.uint32) for _, _, x in own])).astype(np.uint32)
             at = 0
             for (k, packed, _), mine in zip(own, terms):
-                rows.append((blocks[k], 0, marks[k], 0, 0, _join([packed, K.pack(total[code[at : at + len(mine)]])])))
+                rows.append((blocks[k], 0, marks[k], _join([packed, K.pack(total[code[at : at + len(mine)]])])))
                 at += len(mine)
         return pa.Table.from_batches([_batch(rows)])
 
-    def documents(group: pa.Table) -> pa.Table:
+    def assemble(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group["part"].to_pylist(), group["payload"].to_pylist()), key=lambda x: x[0])
         ids, lengths, bounds, code, tf = _split(rows[0][1])
         lists = [_split(x) for _, x in rows[1:]]
-        seen, df = (np.concatenate([read(x[k]) for x in lists]) if lists else np.zeros(0, kind) for k, kind, read in ((0, np.uint64, _running), (1, np.uint32, lambda x: K.unpack(x, np.uint32))))
-        lengths, bounds = K.unpack(lengths, np.uint32).astype(np.int64), K.unpack(bounds, np.uint32).astype(np.int64)
-        code, tf = K.unpack(code, np.uint32, "zstd").astype(np.int64), K.unpack(tf, np.uint32, "zstd")
-        out: dict[str, list] = {"terms": [], "tf": [], "df": []}
-        at = np.flatnonzero(lengths > 0).tolist()
-        for k in at:
-            own, own_tf = code[bounds[k] : bounds[k + 1]], tf[bounds[k] : bounds[k + 1]]
-            shared = df[own] > 1  # a term of one document alone retrieves nothing
-            own, own_tf = own[shared], own_tf[shared]
-            out["terms"].append(_deltas(seen[own]))
-            out["tf"].append(K.pack(own_tf, "zstd"))
-            out["df"].append(K.pack(df[own], "zstd"))
-        return pa.table({"id": _read_ids(ids).take(pa.array(at, pa.int64())), "n": pa.array(lengths[at], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in ("terms", "tf", "df")}})
-
-    made = K.materialise(source.mapInArrow(split, _ROWS))
-    n_docs, n_words = made.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    mean = max(1.0, n_words / max(1, n_docs))
-    each = made.groupBy("bucket").applyInArrow(frequencies, _ROWS).groupBy("block").applyInArrow(documents, "id long, n long, terms binary, tf binary, df binary")
-    held = K.materialise(each.withColumn("row", F.monotonically_increasing_id()))
-    sent = spark.sparkContext.broadcast(_filled(held, n_docs, mean, window, shard))
-
-    def emit(batches):
-        base, rank, pack, position = sent.value
-        for batch in batches:
-            own = rank[_place(batch, base)]
-            out = []
-            for i, n, k in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), own.tolist()):
-                out += [((k << 24) + 1 + w, 0, i, w * window, window) for w in range(n // window)]
-                if n % window:
-                    out.append((int(pack[k]) << 24, int(position[k]), i, n - n % window, n % window))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["pack_id", "position", "id", "first_word", "n_words"])
-
-    out = held.select("row", "id", "n").mapInArrow(emit, "pack_id long, position int, id long, first_word long, n_words long")
-    return out.select("pack_id", "position", F.col("id").alias(id_col), "first_word", "n_words")
-
-
-def _place(batch: pa.RecordBatch, base: np.ndarray) -> np.ndarray:
-    """Places of rows in the order of the column ``row``, which has the partition in the high bits."""
-    row = batch.column("row").to_numpy()
-    return base[row >> 33] + (row & ((1 << 33) - 1))
-
-
-def _filled(held: DataFrame, n_docs: int, mean: float, window: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First places of partitions, rank of each place in the order of ids, and by rank the seed of the pack and the position in it."""
-    spark = held.sparkSession
-    table = held.select("row", "id", "n").toArrow()
-    row, n = table["row"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(row)
-    row, n = row[order], n[order]
-    ids = table["id"].combine_chunks().take(pa.array(order))
-    by_id = np.lexsort((row, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)))
-    rank = np.empty(len(row), np.int32)
-    rank[by_id] = np.arange(len(row))
-    base = np.searchsorted(row, np.arange((int(row[-1]) >> 33) + 2 if len(row) else 1) << 33)
-    rest = (n[by_id] % window).astype(np.int32)
-    pack, position = np.full(len(row), -1, np.int32), np.zeros(len(row), np.int32)
-    live = rest > 0
-    placed = spark.sparkContext.broadcast((base, rank, rest))
-    waiting: list[list[int]] = []  # open windows: seed, room, documents
-    while waiting or live.any():
-        left = int(live.sum())
-        least = int(rest[live].min()) if left else window + 1
-        waiting = [w for w in waiting if w[1] >= least]
-        exact = left <= shard and not waiting
-        asked = waiting[:MOST]
-        seeds = np.flatnonzero(live)[: left if exact else max(0, min(max(1, shard // 24, left // 24), MOST - len(asked)))]
-        asked = asked + [[k, window - int(rest[k]), 0] for k in seeds.tolist()]
-        if not asked:
-            break
-        found = _neighbours(held, placed, live, np.array([w[:2] for w in asked], np.int32), n_docs, mean, max(1, left) if exact else BEST, exact)
-        still = []
-        for k, w in enumerate(asked):
-            seed, room, count = w
-            if not count:
-                if not live[seed]:
-                    continue
-                live[seed] = False
-                pack[seed] = seed
-                count = 1
-            ranks, beyond = found(k)
-            for d in ranks:
-                if live[d] and rest[d] <= room:
-                    live[d] = False
-                    pack[d], position[d] = seed, count
-                    room, count = room - int(rest[d]), count + 1
-            if room >= max(least, beyond):
-                still.append([seed, room, count])
-        waiting = still + waiting[MOST:]
-    return base, rank, pack, position
-
-
-def _neighbours(held: DataFrame, placed, live: np.ndarray, asked: np.ndarray, n_docs: int, mean: float, most: int, exact: bool):
-    """A function that gives a query's best ranks that are live, later than its seed and fit, and the least size of a document that its lists may lack.
-
-    ``asked`` has a row (seed's rank, room) for each query.
+        seen = np.concatenate([_running(x) for x, _ in lists]) if lists else np.zeros(0, np.uint64)
+        df = np.concatenate([K.unpack(x, np.uint32) for _, x in lists]) if lists else np.zeros(0, np.uint32)
+        size = K.unpack(lengths, np.uint32).astype(np.int64)
+        block, made = group["block"][0].as_py(), [(0, len(size), int(size.sum()), _join([ids, lengths, bounds, code, tf, _deltas(seen), K.pack(df, "lz4")]))]
+        at, own = K.unpack(bounds, np.uint32).astype(np.int64), _read_ids(ids)
+        number = own.fill_null(1).to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False) & (number % every == 0) & (size > 0))
+        if len(some):
+            count = at[some + 1] - at[some]
+            where = K.expand(at[some], count)
+            own_code, own_tf = K.unpack(code, np.uint32, "zstd")[where], K.unpack(tf, np.uint32, "zstd")[where]
+            keep = df[own_code] > 1
+            used, own_code = np.unique(own_code[keep], return_inverse=True)
+            places = np.concatenate([[0], np.cumsum(K.sums(keep.astype(np.int64), np.concatenate([[0], np.cumsum(count)])))])
+            pieces = [K.pack(x) for x in (number[some], some.astype(np.uint32), size[some].astype(np.uint32), places.astype(np.uint32), own_code.astype(np.uint32), own_tf[keep])]
+            made.append((1, 0, 0, _join([*pieces, _deltas(seen[used]), K.pack(df[used])])))
+        kinds, n_docs, n_words, payloads = map(list, zip(*made))
+        return pa.table({"block": [block] * len(made), "kind": pa.array(kinds, pa.int32()), "n_docs": pa.array(n_docs, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "payload": pa.array(payloads, pa.binary())})
+
+    return K.materialise(source.mapInArrow(split, _ROWS).groupBy("bucket").applyInArrow(frequencies, _ROWS).groupBy("block").applyInArrow(assemble, _BLOCKS))
+
+
+def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, shard: int = SHARD, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """``(block, row, id, n, seed_id, seed_block, seed_row, score)`` of each document with words: its n words, and the seed whose neighbour it is.
+
+    The seeds (each document whose id is divisible by ``every``) are the queries: all distinct terms of their whole texts. Every
+    shard of the index scores all of its documents for all seeds by BM25, exactly and with the statistics of the whole
+    corpus. A document is the neighbour of the seed for which its score, divided by the root of the seed's own
+    score, is the highest (of scores that are equal up to ``NEAR``, the first in the order of ids); a seed is its own. One that shares no term
+    with a seed has none. Seeds go to the tasks in rounds of about ``round_bytes``.
     """
-    spark = held.sparkSession
-    number = np.full(len(live), -1, np.int32)
-    number[asked[:, 0]] = np.arange(len(asked))
-    wanted = spark.sparkContext.broadcast(number)
+    spark = docs.sparkSession
+    made = _index(docs, id_col, text_col, every)
+    zero = F.lit(0).cast("long")
+    n_docs, n_words, seed_bytes = made.agg(*(F.coalesce(F.sum(x), zero) for x in (F.col("n_docs"), F.col("n_words"), F.when(F.col("kind") == 1, F.length("payload"))))).first()
+    mean, rounds = max(1.0, n_words / max(1, n_docs)), max(1, -(-seed_bytes // round_bytes))
+    number = F.pmod(F.xxhash64("block"), F.lit(rounds))
+    folder = K.shared_path(spark, "nearest")
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast([(r.block, bytes(r.payload)) for r in made.filter("kind = 1").filter(number == k).select("block", "payload").collect()])
+
+        def score(batches, sent=sent):
+            seeds, some, n = None, [], 0
+
+            def found():
+                index = Shard(some, n_docs, mean)
+                which, score = index.nearest(seeds)
+                alive = np.flatnonzero(index.length > 0)
+                seed = which[alive]
+                of = lambda x, kind: pa.array((x[seed] if len(x) else seed).astype(kind), mask=seed < 0)
+                columns = [pa.array(index.block[alive]), pa.array(index.row[alive].astype(np.int32)), index.ids.take(pa.array(alive)), pa.array(index.length[alive]), of(seeds.id, np.int64), of(seeds.block, np.int64), of(seeds.row, np.int32)]
+                scaled = score[alive] * (seeds.scale[seed] if len(seeds.scale) else 0)
+                return pa.RecordBatch.from_arrays([*columns, pa.array(np.where(seed < 0, 0.0, np.round(scaled, 6)))], ["block", "row", "id", "n", "seed_id", "seed_block", "seed_row", "score"])
+
+            for batch in batches:
+                for block, payload, size in zip(*(batch.column(c).to_pylist() for c in ("block", "payload", "n_docs"))):
+                    seeds = seeds or Seeds(sent.value, n_docs, mean)
+                    some.append((block, payload))
+                    n += size
+                    if n >= shard:
+                        yield found()
+                        some, n = [], 0
+            if some:
+                yield found()
+
+        made.filter("kind = 0").select("block", "payload", "n_docs").mapInArrow(score, _NEAREST).write.mode("append").parquet(folder)
+        sent.destroy()
+    each = spark.read.schema(_NEAREST).parquet(folder)
+    if rounds > 1:
+        order = F.struct("score", -F.col("seed_id"), -F.col("seed_block"), -F.col("seed_row"))
+        each = each.groupBy("block", "row").agg(*(F.max_by(c, order).alias(c) for c in ("id", "n", "seed_id", "seed_block", "seed_row", "score"))).select("block", "row", "id", "n", "seed_id", "seed_block", "seed_row", "score")
+    own = F.col("id").isNotNull() & (F.pmod("id", F.lit(every)) == 0)
+    return each.withColumns({"score": F.when(own, float("inf")).otherwise(F.col("score")), "seed_id": F.when(own, F.col("id")).otherwise(F.col("seed_id")), "seed_block": F.when(own, F.col("block")).otherwise(F.col("seed_block")), "seed_row": F.when(own, F.col("row")).otherwise(F.col("seed_row"))})
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, every: int = EVERY, group: int = GROUP, **options) -> DataFrame:
+    """``(pack_id, position, id_col, first_word, n_words, seed_id)``: what each window holds, in order.
 
-    def terms(batches):
-        base, rank, _ = placed.value
-        for batch in batches:
-            own = wanted.value[rank[_place(batch, base)]]
-            some = pa.array(np.flatnonzero(own >= 0))
-            yield pa.RecordBatch.from_arrays([pa.array(own[own >= 0]), batch.column("terms").take(some)], ["query", "terms"])
-
-    got = held.select("row", "terms").mapInArrow(terms, "query int, terms binary").toArrow().sort_by("query")
-    queries = spark.sparkContext.broadcast((got["terms"].to_pylist(), asked, live))
-
-    def score(batches):
-        base, rank, rest = placed.value
-        lists, asked, live = queries.value
-        blocks: dict[int, tuple] = {}
-        top: dict[int, tuple] = {}
-
-        def block(at):
-            if at not in blocks:
-                own = [_running(x) for x in lists[at : at + QUERIES]]
-                distinct, term = np.unique(np.concatenate(own), return_inverse=True)
-                blocks[at] = distinct, np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]), term.astype(np.int32), len(own)
-            return blocks[at]
-
-        def meet(ranks, rows):
-            kind = np.zeros(len(ranks), np.int64) if exact else _class(rest[ranks])
-            order = np.lexsort((ranks, kind))
-            ranks, kind, rows = ranks[order], kind[order], [rows[k] for k in order.tolist()]
-            piece = Piece([_running(r[0]) for r in rows], *([K.unpack(r[c], np.uint32, "zstd") for r in rows] for c in (1, 2)), np.array([r[3] for r in rows], np.int64), n_docs, mean, float if exact else np.float32)
-            for at in range(0, len(lists), QUERIES):
-                one = block(at)
-                seed, room = asked[at : at + one[3]].T
-                scores = piece.scores(*one)
-                if exact:
-                    scores = np.round(scores, 9)
-                scores[(rest[ranks] > room[:, None]) | (ranks <= seed[:, None])] = 0
-                for c in np.unique(kind).tolist():
-                    low, high = np.searchsorted(kind, [c, c + 1])
-                    own, before = scores[:, low:high], top.get(at * 16 + c)
-                    bar = np.zeros(one[3], scores.dtype)
-                    if before is not None:
-                        full = np.bincount(before[0], minlength=one[3]) >= most
-                        bar[full] = before[2][np.searchsorted(before[0], np.flatnonzero(full), "right") - 1]
-                    elif high - low > most:
-                        bar = np.partition(own, high - low - most, axis=1)[:, high - low - most]
-                    q, d = np.nonzero((own >= bar[:, None]) & (own > 0))
-                    more = q, ranks[low + d], own[q, d]
-                    if before is not None:
-                        more = tuple(np.concatenate(x) for x in zip(before, more))
-                    top[at * 16 + c] = best(*more, most)
-
-        some: list = []
+    Words are [\\p{L}\\p{N}]+ of the lower-cased text. Document frequencies and the mean length are
+    counted over all documents. Each document whose id is divisible by ``every`` is a seed. A sharded inverted index scores every document of the
+    corpus for all seeds, and each goes to the seed that it is nearest to (``nearest_seeds``); so each is used once. The seed opens
+    its first window, and its neighbours, nearest first, are added greedily: each to that window of the seed with the least room that
+    is enough for it (of equal ones the last added to), or to a new one. Documents without a seed are packed by themselves in the order of ids.
+    Of a seed with more than ``group`` neighbours, and of the documents without one, parts by hash are packed apart, so that no task holds them all.
+    A document of more words than a window fills windows of its own; what is left over is packed with others.
+
+    The work of scoring grows with the documents times the seeds.
+
+    Cases: a null or empty text, or one without words, is in no window; a null id stays
+    null and is no seed; rows of one id, and repeated rows, are packed each; of equal scores the least id goes first; an empty table gives an
+    empty result; other columns are left out; texts of any length are scored and packed whole, each word once.
+    """
+    seed = ["seed_block", "seed_row"]
+    near = nearest_seeds(docs, id_col, text_col, every, **options).withColumns({c: F.coalesce(c, F.lit(-1)) for c in seed})
+    big = near.groupBy(*seed).agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") > group)
+    salted = near.join(big, seed, "left").withColumn("salt", F.when(F.col("all").isNull(), 0).otherwise(F.pmod(F.xxhash64("block", "row"), F.ceil(F.col("all") / group)).cast("int")))
+    keys = [*seed, "salt"]
+    ordered = salted.repartition(K.partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys, F.desc("score"), F.asc_nulls_first("id"), "n", "block", "row")
+
+    def fill(batches):
+        pack, now, rooms, mask = K.task_key(), None, {}, 0
         for batch in batches:
-            own = rank[_place(batch, base)]
-            at = np.flatnonzero(live[own])
-            columns = [batch.column(c).take(pa.array(at)).to_pylist() for c in ("terms", "tf", "df", "n")]
-            some += zip(own[at].tolist(), zip(*columns))
-            while len(some) >= PIECE:
-                meet(np.array([r for r, _ in some[:PIECE]], np.int32), [x for _, x in some[:PIECE]])
-                del some[:PIECE]
-        if some:
-            meet(np.array([r for r, _ in some], np.int32), [x for _, x in some])
-        for at, found in top.items():
-            yield _found(at, found)
-
-    def merge(group: pa.Table) -> pa.Table:
-        lists = [_split(x) for x in group["payload"].to_pylist()]
-        columns = [np.concatenate([np.frombuffer(x[k], kind) for x in lists]) for k, kind in enumerate((np.int32, np.int32, np.float64 if exact else np.float32))]
-        return pa.Table.from_batches([_found(group["block"][0].as_py(), best(*columns, most))])
-
-    parts = max(1, min(held.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
-    merged = held.coalesce(parts).mapInArrow(score, "block int, payload binary").groupBy("block").applyInArrow(merge, "block int, payload binary").toArrow()
-    lists = {b: _split(x) for b, x in zip(merged["block"].to_pylist(), merged["payload"].to_pylist())}
-    kind = np.float64 if exact else np.float32
-    lists = {b: (np.frombuffer(x[0], np.int32), np.frombuffer(x[1], np.int32), np.frombuffer(x[2], kind)) for b, x in lists.items()}
-    for x in (wanted, queries):
-        x.destroy()
-
-    def found(k: int) -> tuple[list[int], int]:
-        ranks, scores, least = [np.zeros(0, np.int32)], [np.zeros(0, kind)], 1 << 31
-        for c in range(16):
-            query, rank, score = lists.get((k - k % QUERIES) * 16 + c, (ranks[0],) * 3)
-            a, b = np.searchsorted(query, [k % QUERIES, k % QUERIES + 1])
-            ranks.append(rank[a:b])
-            scores.append(score[a:b])
-            if b - a >= most and not exact:
-                least = min(least, 1 << (c + 5) if c else 1)
-        rank, score = np.concatenate(ranks), np.concatenate(scores)
-        return rank[np.lexsort((rank, -score))].tolist(), least
-
-    return found
-
-
-def _found(at: int, found: tuple) -> pa.RecordBatch:
-    query, rank, score = found
-    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_join([query.astype(np.int32).tobytes(), rank.astype(np.int32).tobytes(), score.tobytes()])], pa.binary())], ["block", "payload"])
+            out = []
+            for key, i, n, of in zip(zip(*(batch.column(c).to_pylist() for c in keys)), *(batch.column(c).to_pylist() for c in ("id", "n", "seed_id"))):
+                if key != now:
+                    now, rooms, mask = key, {}, 0  # room -> windows that have it, and a bit for each such room
+                for w in range(n // window):
+                    out.append((pack, 0, i, w * window, window, of))
+                    pack += 1
+                rest = n % window
+                if not rest:
+                    continue
+                fits = mask >> rest
+                if fits:
+                    room = rest + (fits & -fits).bit_length() - 1
+                    one, position = rooms[room].pop()
+                    if not rooms[room]:
+                        mask ^= 1 << room
+                else:
+                    room, one, position = window, pack, 0
+                    pack += 1
+                out.append((one, position, i, n - rest, rest, of))
+                if room > rest:
+                    rooms.setdefault(room - rest, []).append((one, position + 1))
+                    mask |= 1 << (room - rest)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["pack_id", "position", "id", "first_word", "n_words", "seed_id"])
+
+    out = ordered.select(*keys, "id", "n", "seed_id").mapInArrow(fill, "pack_id long, position int, id long, first_word long, n_words long, seed_id long")
+    return out.select("pack_id", "position", F.col("id").alias(id_col), "first_word", "n_words", F.col("seed_id").alias("seed_id" if id_col != "seed_id" else "seed_id_"))
 
 
 def _deltas(ascending: np.ndarray) -> bytes:
@@ -346,6 +343,5 @@ def _running(packed: bytes) -> np.ndarray:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * 6
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["block", "bucket", "part", "n_docs", "n_words", "payload"])
+    columns = list(zip(*rows)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "bucket", "part", "payload"])

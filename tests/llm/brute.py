@@ -124,31 +124,44 @@ def without_shared_lines(docs: list[tuple], least: int = 13) -> list[tuple]:
     return out
 
 
-def packs(docs: list[tuple], window: int, k1: float = 1.2, b: float = 0.75) -> list[list[tuple]]:
-    """Windows of (id, first word, words), by BM25 over all documents; for as many as one shard holds."""
+def nearest(docs: list[tuple], every: int = 20, k1: float = 1.2, b: float = 0.75) -> list[tuple]:
+    """(id, words, seed or None, score) of each document, by BM25 over all; ids are distinct here."""
     rows = sorted(((i, words(t)) for i, t in docs if words(t)), key=lambda r: (r[0] is not None, r[0] or 0))
-    n, mean = len(docs), sum(len(w) for _, w in rows) / max(1, len(docs))
-    tf = [collections.Counter(w) for _, w in rows]
-    df = collections.Counter(t for c in tf for t in c)
-
-    def score(q, d):
-        total = 0.0
-        for t in tf[q]:
-            if df[t] > 1 and t in tf[d]:
-                total += math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * tf[d][t] * (k1 + 1) / (tf[d][t] + k1 * (1 - b + b * len(rows[d][1]) / mean))
-        return round(total, 9)
-
+    n, mean = len(docs), max(1, sum(len(w) for _, w in rows) / max(1, len(docs)))
+    tf = {i: collections.Counter(w) for i, w in rows}
+    df = collections.Counter(t for c in tf.values() for t in c)
+    weight = {i: {t: math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * f * (k1 + 1) / (f + k1 * (1 - b + b * sum(c.values()) / mean)) for t, f in c.items() if df[t] > 1} for i, c in tf.items()}
+    seeds = [i for i, _ in rows if i is not None and i % every == 0]
     out = []
     for i, w in rows:
-        out += [[(i, at, window)] for at in range(0, len(w) - window + 1, window)]
-    rest = {k: len(w) % window for k, (_, w) in enumerate(rows) if len(w) % window}
-    while rest:
-        seed = min(rest)
-        pack, room = [(seed, rest[seed])], window - rest.pop(seed)
-        ranked = sorted(((-score(seed, d), d) for d in rest if score(seed, d) > 0))
-        for _, d in ranked:
-            if rest[d] <= room:
-                room -= rest[d]
-                pack.append((d, rest.pop(d)))
-        out.append([(rows[d][0], len(rows[d][1]) - size, size) for d, size in pack])
+        if i in seeds:
+            out.append((i, len(w), i, math.inf))
+            continue
+        scores = [(sum(x for t, x in weight[i].items() if t in weight[s]) / math.sqrt(max(1e-9, sum(weight[s].values()))), s) for s in seeds]
+        most = max((x for x, _ in scores), default=0)
+        out.append((i, len(w), *(next((s, round(x, 6)) for x, s in scores if x >= most * (1 - 1e-5)) if most > 0 else (None, 0.0))))
+    return out
+
+
+def packs(docs: list[tuple], window: int, every: int = 20) -> list[list[tuple]]:
+    """Windows of (id, first word, words)."""
+    out, by_seed = [], collections.defaultdict(list)
+    for i, n, seed, score in nearest(docs, every):
+        out += [[(i, at, window)] for at in range(0, n - window + 1, window)]
+        if n % window:
+            by_seed[seed].append((-score, (i is not None, i or 0), n, i))
+    for own in by_seed.values():
+        bins: list = []
+        for _, _, n, i in sorted(own):
+            rest = n % window
+            fits = [(w[0], -w[1], k) for k, w in enumerate(bins) if w[0] >= rest]
+            if fits:
+                w = bins[min(fits)[2]]
+            else:
+                w = [window, 0, []]
+                bins.append(w)
+            w[0] -= rest
+            w[2].append((i, n - rest, rest))
+            w[1] = sum(len(x[2]) for x in bins)  # when it was last added to
+        out += [w[2] for w in bins]
     return out

@@ -1,13 +1,12 @@
 """Retrieval packing and the corpus pipeline."""
 
 import collections
-import math
 
 import pytest
 
 import brute
 import corpus_pipeline
-from lakeseek.llm.packing import pack_documents
+from lakeseek.llm.packing import nearest_seeds, pack_documents
 from lakeseek.llm.quality import quality
 
 
@@ -23,15 +22,23 @@ def _packs(frame):
     return sorted(out.values(), key=key)
 
 
-@pytest.mark.parametrize("window", [2048, 300])
-def test_packs_are_brute_force(documents, window):
+@pytest.mark.parametrize("window, shard, round_bytes", [(2048, 8192, 24_000_000), (300, 40, 5_000)])
+def test_packs_are_brute_force(documents, window, shard, round_bytes):
     key = lambda p: [(True, x) for x in p]
-    assert _packs(pack_documents(documents, window=window)) == sorted(brute.packs(_pairs(documents), window), key=key)
+    assert _packs(pack_documents(documents, window=window, shard=shard, round_bytes=round_bytes)) == sorted(brute.packs(_pairs(documents), window), key=key)
 
 
-@pytest.mark.parametrize("shard", [1500, 3])
-def test_each_word_is_packed_once(awkward, shard):
-    packs = _packs(pack_documents(awkward, window=64, shard=shard))
+@pytest.mark.parametrize("shard, round_bytes", [(8192, 24_000_000), (50, 20_000)])
+def test_every_document_goes_to_its_nearest_seed(documents, shard, round_bytes):
+    """Exact, so the recall is 1: over several shards and rounds of seeds."""
+    got = sorted((r.id, r.n, r.seed_id, r.score) for r in nearest_seeds(documents, shard=shard, round_bytes=round_bytes).collect())
+    want = sorted(brute.nearest(_pairs(documents)))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 2e-6 or x[3] == y[3] for x, y in zip(got, want))
+
+
+@pytest.mark.parametrize("every, group", [(20, 8192), (2, 3), (1000, 4)])
+def test_each_word_is_packed_once(awkward, every, group):
+    packs = _packs(pack_documents(awkward, window=64, every=every, group=group))
     assert all(sum(n for *_, n in p) <= 64 for p in packs)
     got = collections.Counter()
     for p in packs:
@@ -45,39 +52,11 @@ def test_each_word_is_packed_once(awkward, shard):
 
 
 def test_neighbours_share_windows(spark):
-    """Documents of one subject are packed together rather than with those of another, also over shards."""
-    docs = [(k, " ".join(f"subject{k % 20}x{(k + n) % 30}" for n in range(25))) for k in range(400)]
-    for shard in (1500, 60):
-        packs = _packs(pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), window=100, shard=shard))
-        assert sum(len({i % 20 for i, _, _ in p}) == 1 for p in packs) >= 0.9 * len(packs)
-
-
-def test_neighbours_are_those_of_the_whole_corpus(documents):
-    """In a corpus of many rounds, windows hold what greedy filling by global BM25 takes of the documents that earlier windows left: recall of 0.9."""
-    docs = [(i, t) for i, t in _pairs(documents) if brute.words(t)]
-    tf = {i: collections.Counter(brute.words(t)) for i, t in docs}
-    df = collections.Counter(t for c in tf.values() for t in c)
-    size = {i: sum(c.values()) for i, c in tf.items()}
-    n, mean = documents.count(), sum(size.values()) / documents.count()
-
-    def score(q, d):
-        both = [t for t in tf[q] if df[t] > 1 and t in tf[d]]
-        return round(sum(math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * tf[d][t] * 2.2 / (tf[d][t] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for t in both), 9)
-
-    rest = {i: k % 1000 for i, k in size.items() if k % 1000}
-    packs = [p for p in _packs(pack_documents(documents, window=1000, shard=24)) if p[0][2] < 1000]
-    hits = total = 0
-    for p in packs:
-        seed = p[0][0]
-        room, want = 1000 - rest.pop(seed), []
-        for _, d in sorted((-score(seed, d), d) for d in rest if score(seed, d) > 0):
-            if rest[d] <= room:
-                room -= rest[d]
-                want.append(d)
-        hits, total = hits + len({d for d, _, _ in p[1:]} & set(want)), total + len(want)
-        for d, _, _ in p[1:]:
-            del rest[d]
-    assert not rest and total > 50 and hits >= 0.9 * total
+    """Documents of one subject are packed together rather than with those of another, over shards and parts of groups."""
+    docs = [(k, " ".join(f"subject{k % 19}x{(k + n) % 30}" for n in range(25))) for k in range(400)]
+    for options in ({}, {"shard": 60, "group": 10}):
+        packs = _packs(pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), window=100, **options))
+        assert all(len({i % 19 for i, _, _ in p}) == 1 for p in packs)
 
 
 def test_pipeline_is_brute_force(spark, sf_dir, documents):
@@ -86,8 +65,7 @@ def test_pipeline_is_brute_force(spark, sf_dir, documents):
     kept = {r.doc_id for r in quality(documents, labels).filter("keep").collect()}
     docs = sorted((i, t) for i, t in _pairs(documents) if i in kept)
     docs = [(i, t) for i, t, n in brute.without_shared_lines(docs) if not n or t.strip()]
-    gone = brute.keep_one(docs)
-    docs = [(i, t) for i, t in docs if i not in gone]
+    docs = brute.keep_one(docs)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaks = {r[0] for r in brute.shared_spans(docs, items)}
     docs = [(i, t) for i, t in docs if i not in leaks]
