@@ -17,14 +17,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole store in one table: its chunks, recipes and manifest."""
-    from .token_store import token_store
+    """The whole store in one table, as it was written: its chunks, recipes and manifest, each verified."""
+    from .token_store import token_store, verify
 
-    store = token_store(_table(spark, sf_dir, "documents"))
-    none = F.lit(None)
-    chunks = store.chunks.select(F.lit("chunk").alias("kind"), none.cast("long").alias("doc_id"), "digest", "n_tokens", F.lit(1).cast("long").alias("n_chunks"), "payload", none.cast("boolean").alias("verified"))
+    store = verify(token_store(_table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("long")
+    chunks = store.chunks.select(F.lit("chunk").alias("kind"), none.alias("doc_id"), "digest", "n_tokens", F.lit(1).cast("long").alias("n_chunks"), "payload", "verified")
     recipes = store.recipes.select(F.lit("recipe").alias("kind"), F.col("id").alias("doc_id"), "digest", "n_tokens", "n_chunks", "payload", "verified")
-    manifest = store.manifest.select(F.lit("manifest").alias("kind"), none.cast("long").alias("doc_id"), "digest", "n_tokens", none.cast("long").alias("n_chunks"), "payload", none.cast("boolean").alias("verified"))
+    manifest = store.manifest.select(F.lit("manifest").alias("kind"), none.alias("doc_id"), "digest", "n_tokens", none.alias("n_chunks"), "payload", "verified")
     return chunks.unionByName(recipes).unionByName(manifest)
 
 
