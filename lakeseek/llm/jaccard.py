@@ -140,19 +140,45 @@ def _placed(sets: DataFrame, chunk: int, threshold: float) -> DataFrame:
     """
 
     def prefix_tokens(batches):
+        """Each token's least set of the batch, and edges from it to the batch's others that hold the token."""
+        for batch in K.slices(batches, "tokens", 8_000_000):
+            lists = [K.unpack(x, np.uint64)[:p] for x, p in zip(batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist())]
+            token = np.concatenate(lists).view(np.int64)
+            node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in lists])
+            order = np.lexsort((node, token))
+            token, node = token[order], node[order]
+            first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+            least = np.repeat(node[first], np.diff(np.concatenate([first, [len(token)]])))
+            edges = np.unique(np.stack([least, node], 1)[least != node], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token[first], edges[:, 0]])), pa.array(np.concatenate([np.full(len(first), False), np.full(len(edges), True)])), pa.array(np.concatenate([node[first], edges[:, 1]]))], ["at", "edge", "node"])
+
+    def stars(batches):
+        """Edges from the least set of each token to the others, and those that are edges already."""
+        last = None
         for batch in batches:
-            tokens = [K.unpack(x, np.uint64)[:p] for x, p in zip(batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist())]
-            each = np.array([len(x) for x in tokens], np.int64)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column("key").take(pa.array(np.repeat(np.arange(len(each)), each)))], ["token", "key"])
-
-    each = K.materialise(sets.select("key", "prefix", "tokens").mapInArrow(prefix_tokens, "token long, key binary"))
-    least = each.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z")
-    edges = each.join(least.select("token", "a"), "token").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
-    label = K.materialise(components(edges).select(F.col("node").alias("key"), F.col("label").alias("group")))
+            at, edge, node = batch.column("at").to_numpy(), batch.column("edge").to_numpy(zero_copy_only=False), batch.column("node").to_numpy()
+            if not len(at):
+                continue
+            a = at.copy()
+            tokens = np.flatnonzero(~edge)
+            if len(tokens):
+                own = at[tokens]
+                first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+                least = node[tokens][first]
+                if last and last[0] == own[0]:
+                    least[0] = last[1]  # the token goes on from the batch before
+                a[tokens] = np.repeat(least, np.diff(np.concatenate([first, [len(own)]])))
+                last = (own[-1], a[tokens[-1]])
+            some = a != node
+            yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(node[some])], ["a", "b"])
+
+    # 64-bit hashes stand for the sets here; should two have the same one, their components are compared as one.
+    numbered = sets.withColumn("node", F.xxhash64("key"))
+    each = numbered.select("node", "prefix", "tokens").mapInArrow(prefix_tokens, "at long, edge boolean, node long").repartition(K.partitions(sets.sparkSession), "edge", "at").sortWithinPartitions("edge", "at", "node")
+    label = K.materialise(components(each.mapInArrow(stars, "a long, b long")).select("node", F.col("label").alias("group")))
     # Sizes of partners differ by a factor of 1 / threshold at most, so their classes by one.
     level = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
-    labelled = sets.join(label, "key").withColumn("level", level)
+    labelled = numbered.join(label, "node").withColumn("level", level)
     counts = labelled.groupBy("group", "level").agg(F.count(F.lit(1)).alias("n"))
     # One row for each component; a component has few classes.
     plan = counts.groupBy("group").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("n") / chunk).cast("int")))).alias("parts"))
