@@ -11,6 +11,8 @@ from . import kernels as K
 
 #: Hashed features, labelled rows that the model is fitted on at most, and the probability of good quality from which a document is kept.
 BITS, SAMPLE, KEEP = 18, 4000, 0.5
+#: Fixed thresholds of the probability; a document's grade is how many of them it reaches.
+GRADES = (0.1, 0.5, 0.9)
 #: Length of the character grams.
 CHARS = 3
 _FIT_CHARS = 300_000
@@ -93,8 +95,19 @@ def margins(texts: pa.Array, model: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def fit(texts: pa.Array, good: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Weights, constant, and slope and shift of the calibration, in one array.
+def sparse(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of the texts with those of one index added up: text, index, weight, in that order."""
+    size, parts, first = 1 << bits, [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))], 0
+    for part in K.slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", _FIT_CHARS):
+        own, own_weight, offsets = features(part.column("text"), bits)
+        both, at = np.unique(K.owner(offsets) * size + own, return_inverse=True)
+        parts.append(((both // size + first).astype(np.int32), (both % size).astype(np.int32), np.bincount(at, own_weight, len(both)).astype(np.float32)))
+        first += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def fit(text: np.ndarray, index: np.ndarray, weight: np.ndarray, good: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Weights, constant, and slope and shift of the calibration, in one array, of rows of ``sparse`` features.
 
     Three quarters of the rows fit the weights (full-batch Adagrad, both classes of the
     same total weight), the others the calibration (Platt scaling). With one class or no rows
@@ -107,14 +120,6 @@ def fit(texts: pa.Array, good: np.ndarray, bits: int = BITS) -> np.ndarray:
     held = np.arange(n) % 4 == 3
     if good[held].all() or not good[held].any() or good[~held].all() or not good[~held].any():
         held[:] = False
-    parts, first = [], 0
-    for part in K.slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", _FIT_CHARS):
-        own, own_weight, offsets = features(part.column("text"), bits)
-        both, at = np.unique(K.owner(offsets) * size + own, return_inverse=True)
-        parts.append(((both // size + first).astype(np.int32), (both % size).astype(np.int32), np.bincount(at, own_weight, len(both)).astype(np.float32)))
-        first += part.num_rows
-    text, index, weight = (np.concatenate(x) for x in zip(*parts))
-    del parts
     own = ~held[text]
     index_fit, weight_fit, text_fit = index[own], weight[own], text[own]
     y = good.astype(np.float64)
@@ -162,26 +167,38 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id", sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
-    """Fit on at most ``sample`` labelled documents, those of the smallest hash of their id; one task does it and sends the weights back."""
+    """Fit on at most ``sample`` labelled rows (a label with its document), those of the least hash of the id.
+
+    The tasks that read the texts hash their features; one task gets these, at most 2^bits numbers of a row
+    however long its text is, and sends the weights back.
+    """
     seed = 17
-    picked = (
-        labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-        .filter("id IS NOT NULL AND label IS NOT NULL")
-        .orderBy(F.xxhash64("id", F.lit(seed)), "id", "label")
-        .limit(sample)
-    )
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(picked), "id")
+    order = (F.xxhash64("id", F.lit(seed)), "id", "label")
+    picked = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL").orderBy(*order).limit(sample)
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    # At most ``sample`` labels are broadcast, and as many of their rows go on, should ids be repeated.
+    rows = known.join(F.broadcast(picked), "id").orderBy(*order, F.xxhash64("text")).limit(sample)
+
+    def hashed(batches):
+        for part in K.slices(batches, "text", _FIT_CHARS):
+            text, index, weight = sparse(K.strings(part.column("text")), bits)
+            bounds = np.searchsorted(text, np.arange(part.num_rows + 1)).tolist()
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), part.column("hash"), cut(index), cut(weight)], ["id", "label", "hash", "index", "weight"])
 
     def one(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("id", "ascending"), ("label", "ascending"), ("text", "ascending")]).slice(0, 2 * sample)
-        rng = np.random.default_rng(seed).permutation(rows.num_rows)
-        rows = rows.take(pa.array(rng))
-        texts = K.strings(rows["text"].combine_chunks())
-        model = fit(texts, rows["label"].to_numpy() > 0, bits)
+        rows = group.sort_by([("id", "ascending"), ("label", "ascending"), ("hash", "ascending")])
+        rows = rows.take(pa.array(np.random.default_rng(seed).permutation(rows.num_rows)))
+        index = [np.frombuffer(x, np.int32) for x in rows["index"].to_pylist()]
+        weight = np.concatenate([np.frombuffer(x, np.float32) for x in rows["weight"].to_pylist()])
+        text = np.repeat(np.arange(len(index), dtype=np.int32), [len(x) for x in index])
+        model = fit(text, np.concatenate(index), weight, rows["label"].to_numpy() > 0, bits)
         return pa.table({"model": pa.array([model.tobytes()], pa.binary())})
 
-    sent = rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(one, "model binary").collect()
-    return np.frombuffer(sent[0].model, np.float32) if sent else fit(pa.array([], pa.large_string()), np.zeros(0, bool), bits)
+    made = rows.select("id", "label", F.xxhash64("text").alias("hash"), "text").repartition(K.partitions(docs.sparkSession)).mapInArrow(hashed, "id long, label int, hash long, index binary, weight binary")
+    sent = made.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(one, "model binary").collect()
+    none = np.zeros(0, np.int32)
+    return np.frombuffer(sent[0].model, np.float32) if sent else fit(none, none, none.astype(np.float32), np.zeros(0, bool), bits)
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, out: str = "p_quality", **options) -> DataFrame:
@@ -213,10 +230,11 @@ def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return docs.withColumn(out, F.arrow_udf(score, "double")(F.col(text_col).cast("string")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options) -> DataFrame:
-    """``(id_col, p_quality, keep)`` of each document; see ``with_quality``."""
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, grades: tuple[float, ...] = GRADES, **options) -> DataFrame:
+    """``(id_col, p_quality, keep, grade)`` of each document: whether its probability reaches ``keep``, and how many of the fixed ``grades`` it reaches (of equal to one, it does); see ``with_quality``."""
     own = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text"))
-    return with_quality(own, labels, id_col, "__text", **options).select(id_col, "p_quality", (F.col("p_quality") >= keep).alias("keep"))
+    grade = sum((F.col("p_quality") >= g).cast("int") for g in grades) if grades else F.lit(0)
+    return with_quality(own, labels, id_col, "__text", **options).select(id_col, "p_quality", (F.col("p_quality") >= keep).alias("keep"), grade.alias("grade"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **options) -> DataFrame:

@@ -165,3 +165,76 @@ def packs(docs: list[tuple], window: int, every: int = 20) -> list[list[tuple]]:
             w[1] = sum(len(x[2]) for x in bins)  # when it was last added to
         out += [w[2] for w in bins]
     return out
+
+
+M64 = 1 << 64
+
+
+def _span(values: list[int]) -> int:
+    """The polynomial hash of the kernels, in integers."""
+    total = 0
+    for k, x in enumerate(values):
+        v = (x + 0x632BE5AB) * 0xC2B2AE3D27D4EB4F % M64
+        total += (v ^ v >> 29) * pow(0x9E3779B97F4A7C15, k, M64)
+    return _mix((total + len(values)) % M64)
+
+
+def _mix(x: int) -> int:
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % M64
+    return x ^ x >> 32
+
+
+def quality_features(text: str, bits: int) -> dict[int, float]:
+    """Words, word pairs and character grams of one text by hashed index."""
+    own = [_span([ord(c) for c in w]) for w in WORD.findall(text)]
+    pairs = [_mix((a * 0xBF58476D1CE4E5B9 + b) % M64) for a, b in zip(own, own[1:])]
+    out: dict[int, float] = collections.defaultdict(float)
+    for h in [*set(own), *set(pairs)]:
+        out[h % (1 << bits)] += 1 / len(own)
+    if again := sum(a == b for a, b in zip(own, own[1:])):
+        out[0x2A5A5 % (1 << bits)] += again / len(own)
+    for k in range(len(text) - 2):
+        g = 0
+        for c in text[k : k + 3]:
+            g = (g * 0x9E3779B1 + ord(c)) % (1 << 32)
+        out[g * 0x85EBCA6B % (1 << 32) >> 32 - bits] += 1 / (len(text) - 2)
+    return dict(out)
+
+
+def quality_model(rows: list[tuple], bits: int):
+    """A function from a text to its probability: logistic regression by Adagrad on three quarters of (text, good), Platt scaling on the rest."""
+    each = [quality_features(t, bits) for t, _ in rows]
+    good = [bool(g) for _, g in rows]
+    fits = [k % 4 != 3 for k in range(len(rows))]
+    n_up, n_down = (sum(f and g is up for f, g in zip(fits, good)) for up in (True, False))
+    w, constant, seen, seen_constant = [0.0] * (1 << bits), 0.0, [1e-12] * (1 << bits), 1e-12
+    margin = lambda x: sum(w[k] * v for k, v in x.items()) + constant
+    sigmoid = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    for _ in range(120):
+        error = [(sigmoid(margin(x)) - g) * (0.5 / (n_up if g else n_down)) if f else 0.0 for x, g, f in zip(each, good, fits)]
+        slope = [1e-7 * x for x in w]
+        for x, e in zip(each, error):
+            for k, v in x.items():
+                slope[k] += e * v
+        for k, g in enumerate(slope):
+            seen[k] += g * g
+            w[k] -= 0.3 * 10 * g / math.sqrt(seen[k])
+        seen_constant += sum(error) ** 2
+        constant -= 0.3 * sum(error) / math.sqrt(seen_constant)
+    z = [(margin(x), g) for x, g, f in zip(each, good, fits) if not f]
+    up = sum(g for _, g in z)
+    target = [(up + 1) / (up + 2) if g else 1 / (len(z) - up + 2) for _, g in z]
+    mean = sum(x for x, _ in z) / len(z)
+    scale = max(1e-9, math.sqrt(sum((x - mean) ** 2 for x, _ in z) / len(z)))
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = [sigmoid(a * x / scale + b) for x, _ in z]
+        ga, gb = sum((q - t) * x / scale for q, t, (x, _) in zip(p, target, z)), sum(q - t for q, t in zip(p, target))
+        haa, hab, hbb = (sum(q * (1 - q) * (x / scale) ** e for q, (x, _) in zip(p, z)) + (1e-6 if e != 1 else 0) for e in (2, 1, 0))
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        a, b = a - da, b - db
+        if max(abs(da), abs(db)) < 1e-8:
+            break
+    return lambda t: sigmoid(a / scale * margin(quality_features(t, bits)) + b) if WORD.search(t or "") else 0.0

@@ -10,6 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+import brute
 from compare import rows
 from lakeseek.llm import registry
 from lakeseek.llm import secrets as S
@@ -30,10 +31,41 @@ def test_quality_on_held_out_labels(spark):
     assert abs(got.p_quality.mean() - got.quality.mean()) < 0.05
 
 
+def test_quality_is_brute_force(spark):
+    """Features, fitting, calibration and scores of a small model in plain Python, on the rows in the operator's order."""
+    rng = random.Random(8)
+    good, bad = ([f"{c}{k}" for k in range(60)] for c in "ab")
+    rows = [(k, " ".join(rng.choice(good if rng.random() < (0.7 if k % 2 else 0.3) else bad) for _ in range(rng.randrange(4, 30))) + (" Ünï, x x x" if k % 5 == 0 else ""), k % 2) for k in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r.doc_id: (r.p_quality, r.grade, r.keep) for r in quality(docs, labels, bits=9).collect()}
+    ordered = [rows[k][1:] for k in np.random.default_rng(17).permutation(len(rows))]
+    model = brute.quality_model(ordered, 9)
+    assert all(abs(got[i][0] - model(t)) < 1e-4 for i, t, _ in rows) and len({p for p, *_ in got.values()}) > 50
+    assert all(grade == (p >= 0.1) + (p >= 0.5) + (p >= 0.9) and keep == (p >= 0.5) for p, grade, keep in got.values())
+
+
+def test_quality_sample_bounds_the_labelled_rows(spark):
+    """Of repeated labels and ids, and of more labels than ``sample``, so many rows are fitted on; the share of good labels shows it."""
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 3 + [(2, 1)], "doc_id long, quality int")
+    for sample, p in ((5, 6 / 7), (1000, 152 / 153)):
+        assert {round(r.p_quality, 4) for r in quality(docs, labels, sample=sample).collect()} == {round(p, 4)}
+
+
+def test_quality_ties_at_the_threshold(spark):
+    """A probability that equals the threshold is kept."""
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = sorted(tuple(r) for r in quality(docs, none, keep=0.5).collect())
+    assert got == [(1, 0.5, True, 2), (2, 0.0, False, 0)]
+    assert [r.doc_id for r in quality_filter(docs, none, keep=0.5).collect()] == [1]
+
+
 def test_quality_cases(spark, awkward):
     labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (8, 0, 0), (9, 0, 0), (None, 1, 0), (2, None, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality(awkward, labels)
-    assert got.columns == ["doc_id", "p_quality", "keep"] and got.count() == awkward.count()
+    assert got.columns == ["doc_id", "p_quality", "keep", "grade"] and got.count() == awkward.count()
     p = collections.defaultdict(set)
     for r in got.collect():
         p[r.doc_id].add(r.p_quality)
