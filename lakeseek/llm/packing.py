@@ -13,7 +13,11 @@ from .token_counts import _ids, _join, _read_ids, _split
 #: Words of a window; a document is a seed if its id is divisible by this; BM25's constants.
 WINDOW, EVERY, K1, B = 2048, 20, 1.2, 0.75
 #: Documents of a shard of the index, seeds that are scored at once, and bytes of packed seeds that are sent to the tasks at once.
-SHARD, QUERIES, ROUND_BYTES = 8192, 256, 24_000_000
+SHARD, QUERIES, ROUND_BYTES = 16_384, 256, 40_000_000
+#: A term that more than one document of so many in a shard has is kept as a row of a matrix.
+COMMON = 20
+#: Postings from which a term's are taken as a slice.
+LONG = 30
 #: Documents of one seed that are packed in one go; of more, parts are packed by themselves.
 GROUP = 8192
 #: Relative difference up to which two float32 scores are the same.
@@ -48,6 +52,13 @@ class Seeds:
         self.scale = 1 / np.sqrt(np.maximum(own[order], 1e-9))
         term = term[K.expand(bounds[:-1][order], size)]
         self.bounds = np.concatenate([[0], np.cumsum(size)])
+        # Of seeds of the same terms and scale, the first is as near to any document as the others.
+        alike = np.stack([K.sums(K.mix(term), self.bounds), K.sums(K.mix(~term), self.bounds), self.scale.view(np.uint64)], 1)
+        once = np.sort(np.unique(alike, axis=0, return_index=True)[1])
+        self.id, self.block, self.row, self.scale = self.id[once], self.block[once], self.row[once], self.scale[once]
+        term, size = term[K.expand(self.bounds[once], size[once])], size[once]
+        order = once
+        self.bounds = np.concatenate([[0], np.cumsum(size)])
         self.term = term
         self.blocks = []
         for at in range(0, len(order), QUERIES):
@@ -87,16 +98,16 @@ class Shard:
         code = np.concatenate([np.searchsorted(self.seen, d)[c].astype(np.int32) for d, (c, _, _) in zip(dictionaries, parts)])
         doc, weight = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
         del parts, dictionaries
-        by_doc = np.lexsort((code, doc))
-        self.own_code, self.own_weight = code[by_doc], weight[by_doc]
-        self.own_bounds = np.searchsorted(doc[by_doc], np.arange(n + 1))
+        # Documents come one after the other, each with its terms in order.
+        self.own_code, self.own_weight = code, weight
+        self.own_bounds = np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(code, kind="stable")
         self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.bounds = np.searchsorted(code[order], np.arange(len(self.seen) + 1))
         held = np.diff(self.bounds)
         # Postings of terms that many documents hold are kept as rows of a matrix.
         self.common = np.full(len(self.seen), -1)
-        common = np.flatnonzero(held > max(8, n // 20))
+        common = np.flatnonzero(held > max(8, n // COMMON))
         self.common[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), n), np.float32)
         at = K.expand(self.bounds[common], held[common])
@@ -109,7 +120,7 @@ class Shard:
         place = np.minimum(np.searchsorted(self.seen, terms), len(self.seen) - 1)
         return np.where(self.seen[place] == terms, place, -1)
 
-    def scores(self, distinct: np.ndarray, query: np.ndarray, term: np.ndarray, n: int, step: int = 16) -> np.ndarray:
+    def scores(self, distinct: np.ndarray, query: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """BM25 of all documents for n queries, whose terms are (query, place in ``distinct``) in the order of queries."""
         code = self.codes(distinct)[term]
         query, code = query[code >= 0], code[code >= 0]
@@ -118,15 +129,23 @@ class Shard:
         wanted[query[row >= 0], row[row >= 0]] = 1
         out = wanted @ self.matrix
         query, code = query[row < 0], code[row < 0]
-        cuts = np.searchsorted(query, np.arange(0, n + step, step))
-        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if a < b:
-                own = out[k * step : (k + 1) * step]
-                begin = self.bounds[code[a:b]]
-                count = self.bounds[code[a:b] + 1] - begin
-                at = K.expand(begin, count)
-                cell = self.doc.take(at) + np.repeat((query[a:b] - k * step) * self.n, count)
-                own += np.bincount(cell, self.weight.take(at), own.size).reshape(own.shape)
+        # Long postings are cheaper as slices, short ones by an index of their places.
+        begin, count = self.bounds[code], self.bounds[code + 1] - self.bounds[code]
+        long = count > LONG
+        for some in (long, ~long):
+            cuts = np.searchsorted(query[some], np.arange(n + 1))
+            first, size = begin[some], count[some]
+            at = None if some is long else K.expand(first, size)
+            ends = np.concatenate([[0], np.cumsum(size)])[cuts].tolist()
+            low, high = first.tolist(), (first + size).tolist()
+            cuts = cuts.tolist()
+            docs, weights = (None, None) if at is None else (self.doc.take(at), self.weight.take(at))
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b and at is None:
+                    spans = [slice(x, y) for x, y in zip(low[a:b], high[a:b])]
+                    out[k] += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
+                elif a < b:
+                    out[k] += np.bincount(docs[ends[k] : ends[k + 1]], weights[ends[k] : ends[k + 1]], self.n)
         return out
 
     def nearest(self, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
