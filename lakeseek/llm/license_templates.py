@@ -1,4 +1,7 @@
-"""Public licence notices that the licence scan looks for."""
+"""Public licence notices, and whole public licences (``license_texts.json``), that the licence scan looks for."""
+
+import json
+from pathlib import Path
 
 TEMPLATES: dict[str, str] = {
     "all-rights-reserved": "All rights reserved.",
@@ -61,3 +64,5 @@ TEMPLATES: dict[str, str] = {
         "non-commercial, and by any means."
     ),
 }
+
+TEMPLATES |= json.loads((Path(__file__).parent / "license_texts.json").read_text())

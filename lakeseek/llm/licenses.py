@@ -18,8 +18,6 @@ SHINGLE, CONTAINMENT = 3, 0.8
 MISS, ROWS = 0.01, 2
 #: Longest window in shingles; a longer template is retrieved by any of its parts of that length.
 LONGEST = 32
-#: Templates of up to so many shingles must be held wholly: notices of a line differ from each other by a word.
-SHORT = 16
 
 
 def settings(containment: float = CONTAINMENT, miss: float = MISS) -> dict[int, tuple[int, int, int]]:
@@ -34,7 +32,7 @@ def settings(containment: float = CONTAINMENT, miss: float = MISS) -> dict[int,
     out = {size: (1, 1, 1) for size in (1, 2, 3, 4)}
     for size in (8, 16, LONGEST):
         part = size // 2 + 1
-        kept = part if size <= SHORT else containment * part
+        kept = containment * part
         j = kept / (size + part - kept)
         out[size] = (size // 4, ROWS, math.ceil(math.log(miss) / math.log(1 - j**ROWS)))
     return out
@@ -42,7 +40,7 @@ def settings(containment: float = CONTAINMENT, miss: float = MISS) -> dict[int,
 
 def needed(size: int, containment: float = CONTAINMENT) -> int:
     """Shingles that a text must hold of a template of that many."""
-    return size if size <= SHORT else math.ceil(containment * size)
+    return math.ceil(round(containment * size, 9))
 
 
 class Templates:
@@ -144,11 +142,11 @@ class Templates:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """``(id_col, license, n_shared, containment)``: the templates of whose word trigrams a document holds a share of ``containment`` at least (all, for one of up to ``SHORT``).
+    """``(id_col, license, n_shared, containment)``: the templates of whose word trigrams a document holds a share of ``containment`` at least ; one rule for notices of a line and for whole licences.
 
     Overlapping windows of each text's trigrams have MinHash signatures in bands (``settings``
     derives stride and bands from the similarity that a match has with its best
-    window, so that at most ``MISS`` of matching windows are missed; an exact copy of
+    window, so that at most ``MISS`` of matching windows are missed; a template of
     up to 4 trigrams is never missed). Bands in common with a template retrieve it, and its
     trigrams are then counted exactly in the document. The templates are a fixed list.
 
@@ -159,12 +157,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     listed = {k: v for k, v in (TEMPLATES if templates is None else templates).items() if v}
     made: list[Templates] = []
+    sent = docs.sparkSession.sparkContext.broadcast(listed)  # a fixed list
 
     def scan(batches):
         if not made:
-            made.append(Templates(listed, containment))
+            made.append(Templates(sent.value, containment))
         for part in K.slices(batches, "text"):
-            rows = made[0].matches(K.strings(part.column("text"))) if listed else []
+            rows = made[0].matches(K.strings(part.column("text"))) if made[0].names else []
             text, template, common, size = map(list, zip(*rows)) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays(
                 [part.column("id").take(pa.array(text, pa.int64())), pa.array([made[0].names[k] for k in template], pa.string()), pa.array(common, pa.int64()), pa.array([c / n for c, n in zip(common, size)], pa.float64())],

@@ -78,7 +78,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     from .license_templates import TEMPLATES
-    from .licenses import CONTAINMENT, SHORT
+    from .licenses import CONTAINMENT
 
     values = ",\n".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
     return f"""
@@ -91,7 +91,7 @@ def _license_sql() -> str:
         hit AS (SELECT doc_id, license, count(*) AS n_shared FROM ds JOIN ts USING (shingle) GROUP BY doc_id, license)
         SELECT doc_id, license, n_shared, CAST(n_shared AS DOUBLE) / n AS containment
         FROM hit JOIN size USING (license)
-        WHERE CASE WHEN n <= {SHORT} THEN n_shared = n ELSE n_shared >= ceil({CONTAINMENT} * n) END
+        WHERE n_shared >= ceil(round({CONTAINMENT} * n, 9))
     """
 
 

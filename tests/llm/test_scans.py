@@ -174,21 +174,27 @@ def test_licence_cases(spark, awkward):
     got = {(r.doc_id, r.license) for r in license_scan(frame).collect()}
     assert want <= got and (None, next(iter(TEMPLATES))) in got and not any(i in (5000, 5001, 5002) for i, _ in got)
     assert license_scan(frame.limit(0)).count() == 0 and license_scan(frame, templates={"none": "", "short": "a b"}).count() == 0
-    assert license_scan(awkward).count() >= 0
+    assert {(r.doc_id, r.license) for r in license_scan(awkward).collect()} == _held([(r.doc_id, r.text or '') for r in awkward.collect()]) == set()
 
 
-def test_licences_with_words_changed(spark):
-    """Of copies of which one word in forty is another, those that hold enough are found: recall of 0.9 against exact containment."""
+def _held(docs, least=0.8):
+    gram = lambda t: {tuple(w[k : k + 3]) for w in [regex.findall(r"[\p{L}\p{N}]+", t.lower())] for k in range(len(w) - 2)}
+    own = {k: gram(v) for k, v in TEMPLATES.items() if gram(v)}
+    return {(i, k) for i, t in docs for g in [gram(t)] for k, v in own.items() if len(v & g) >= math.ceil(round(least * len(v), 9))}
+
+
+@pytest.mark.parametrize("long", [True, False])
+def test_licences_with_words_changed(spark, long):
+    """Of copies of which some words are others, those that hold enough are found: recall of 0.9 against exact containment, for whole licences and for notices."""
     rng = random.Random(6)
-    long = {k: v for k, v in TEMPLATES.items() if len(v.split()) > 60}
-    docs = [(n, " ".join("changed" if rng.random() < 0.025 else w for w in v.split())) for n, v in enumerate([*long.values()] * 10)]
+    some = {k: v for k, v in TEMPLATES.items() if (len(v.split()) > 60) == long}
+    docs = [(n, "so it begins " + " ".join("changed" if rng.random() < (0.03 if long else 0.02) else w for w in v.split()) + " and goes on") for n, v in enumerate([*some.values()] * (6 if long else 20))]
     found = {(r.doc_id, r.license) for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    gram = lambda t: {tuple(w[k : k + 3]) for w in [regex.findall(r"[\p{L}\p{N}]+", t.lower())] for k in range(len(w) - 2)}
-    want = {(i, k) for i, t in docs for k, v in TEMPLATES.items() if gram(v) and len(gram(v) & gram(t)) >= (len(gram(v)) if len(gram(v)) <= 16 else 0.8 * len(gram(v)))}
-    assert want and found <= want and len(found) >= 0.9 * len(want)
+    want = _held(docs)
+    exact = _held(docs, 1.0)
+    assert len(want) > len(exact) > 0 and found <= want and len(found) >= 0.9 * len(want)
 
 
-@pytest.mark.parametrize("key", ["op6_quality_rules", "op7_secret_scan"])
-def test_queries_cover_all_documents(spark, sf_dir, documents, key):
-    got = registry.queries()[key](spark, sf_dir)
-    assert got.count() == documents.count() if key.startswith("op6") else got.select("doc_id").exceptAll(documents.select("doc_id")).count() >= 0
+def test_query_of_quality_covers_all_documents(spark, sf_dir, documents):
+    got = registry.queries()["op6_quality_rules"](spark, sf_dir)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in documents.collect())
