@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,18 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Characters of a candidate at least, rate of false discoveries, and the level at which the battery rejects randomness.
-LEAST, RATE, LEVEL = 16, 0.01, 0.001
+LEAST, RATE, LEVEL = 16, 0.01, 0.005
+#: Bits that a uniformly random string of a candidate's encoding and length has at least: fewer are no key, and too few for the tests (16 digits have 53, 20 have 66).
+BITS = 64
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets in the order in which they are tried; the first that holds all characters is the candidate's encoding.
 ALPHABETS = {
+    "decimal": _DIGIT,
     "hex": _DIGIT + "abcdef",
     "HEX": _DIGIT + "ABCDEF",
+    "lower": _LOWER,
+    "upper": _UPPER,
     "base32": _UPPER + "234567",
     "base36": _DIGIT + _LOWER,
     "BASE36": _DIGIT + _UPPER,
@@ -27,7 +33,13 @@ ALPHABETS = {
     "base64url": _UPPER + _LOWER + _DIGIT + "-_",
     "token": _UPPER + _LOWER + _DIGIT + "+/-_",
 }
-_FOLDED = ("hex", "HEX", "base32", "base36", "BASE36")  # of one case: letters count as text whatever their case there
+#: Encodings of one case: a run that separators cut into parts of one of these is one string (a UUID is 32 hexadecimal digits).
+_JOINED = ("decimal", "hex", "HEX", "lower", "upper", "base32", "base36", "BASE36")
+#: What a character counts for in the corpus's text before any is read: letters as prose has them, the other symbols rarely.
+_PRIOR = {c: 1000.0 * f for c, f in zip(_LOWER, (0.08, 0.015, 0.03, 0.04, 0.12, 0.02, 0.02, 0.055, 0.07, 0.003, 0.008, 0.04, 0.025, 0.07, 0.075, 0.02, 0.002, 0.06, 0.065, 0.09, 0.03, 0.01, 0.02, 0.003, 0.02, 0.002))}
+
+
+_PARTS = re.compile("[^-_]+")
 
 
 def _sf_normal(z: np.ndarray) -> np.ndarray:
@@ -80,18 +92,20 @@ def not_text(counts: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return np.clip(_sf_chi(chi, np.full(len(n), size - 1.0), var), 1e-300, 1)
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, rate: float = RATE, level: float = LEVEL) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, rate: float = RATE, level: float = LEVEL, bits: int = BITS) -> DataFrame:
     """``(id_col, start, end, encoding, p_random, p_text)`` of each string found to be a secret (places are code points).
 
-    Candidates are the runs of at least ``least`` characters of [A-Za-z0-9+/_-] that
-    are not all digits, all lower-case or a capitalised word. A candidate's encoding is the smallest
-    alphabet that holds it. Under that alphabet a chi-squared test of uniformity, a
+    In each run of at least ``least`` characters of [A-Za-z0-9+/_-], these are candidates: the run, or where hyphens and underlines cut it into
+    parts of one encoding of a single case, the parts together; and each part of at least ``least`` characters, so that a prefix is
+    left aside. A candidate's encoding is the smallest alphabet that holds it, and there it must have ``bits``. Nothing else keeps a string from the
+    tests. Under its alphabet a chi-squared test of uniformity, a
     runs test and a serial-correlation test are combined (Fisher); a candidate that they reject at
     ``level`` is not random. Of the others a chi-squared test against the character frequencies of
-    the whole corpus gives the p-value that text looks like that; within the
+    the text around all candidates of the corpus (over all 64 symbols, so that digits are rare) gives the p-value that text looks like that; within the
     candidates of an encoding and a length class (powers of two) the Benjamini-Hochberg
     rule at ``rate`` takes those that are not text. p-values are taken up to a grid of
-    1/20 of a decade, so the histogram that gives the rule's thresholds stays small.
+    1/20 of a decade, so the histogram that gives the rule's thresholds stays small. Of the candidates of one run that are found, the one of
+    the least p_text is returned (of equal ones the first, then the longest).
 
     Cases: a null or empty text has no candidates; a null id stays null; repeated rows and repeated
     strings are each tested and returned; an empty table gives an empty result; other
@@ -102,38 +116,42 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def find(batches):
+        run = K.task_key()
         for part in K.slices(batches, "text"):
-            yield _candidates(part, least)
+            out, run = _candidates(part, least, bits, run)
+            yield out
 
-    found = K.materialise(source.mapInArrow(find, "id long, start long, end long, encoding int, value string, seen array<bigint>"))
+    found = K.materialise(source.mapInArrow(find, "id long, run long, start long, end long, encoding int, value string, seen array<bigint>"))
     seen = found.filter("seen IS NOT NULL").select(F.posexplode("seen").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
-    frequency = np.zeros(128)
-    for r in seen:
-        frequency[r.k] = r.n
+    counted = {chr(r.k): r.n for r in seen}
+    symbols = ALPHABETS["token"]
+    frequency = np.array([counted.get(c, 0) + _PRIOR.get(c, _PRIOR.get(c.lower(), 100.0) / 20 if c.isalpha() else 5.0) for c in symbols])
 
     def test(batches):
+        whole = np.zeros(256, np.int64)
+        whole[[ord(c) for c in symbols]] = np.arange(len(symbols))
         for b in batches:
             code = b.column("encoding").to_numpy()
-            random, text = np.ones(len(code)), np.ones(len(code))
+            random = np.ones(len(code))
             raw, offsets = K.utf8(K.strings(b.column("value")))
             raw = np.frombuffer(raw, np.uint8)
+            counts = np.bincount(K.owner(offsets) * len(symbols) + whole[raw], minlength=len(code) * len(symbols)).reshape(-1, len(symbols))
+            text = not_text(counts, frequency) if len(code) else np.ones(0)
             for k in np.unique(code):
                 rows = np.flatnonzero(code == k)
                 alphabet = ALPHABETS[names[k]]
                 lut = np.zeros(256, np.int64)
                 lut[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
                 each = np.diff(offsets)[rows]
-                uniform, runs, serial, counts = battery(lut[raw[K.expand(offsets[rows], each)]], np.concatenate([[0], np.cumsum(each)]), len(alphabet))
+                uniform, runs, serial, _ = battery(lut[raw[K.expand(offsets[rows], each)]], np.concatenate([[0], np.cumsum(each)]), len(alphabet))
                 random[rows] = fisher(uniform, runs, serial)
-                own = np.array([frequency[ord(c)] + (frequency[ord(c.swapcase())] if names[k] in _FOLDED and c.isalpha() else 0) for c in alphabet])
-                text[rows] = not_text(counts, own)
             size = np.floor(np.log2(np.maximum(1, np.diff(offsets)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("id", "start", "end", "encoding")), pa.array(size), pa.array(random), pa.array(text), pa.array(np.floor(np.minimum(-np.log10(text), 290) * 20).astype(np.int32))],
-                ["id", "start", "end", "encoding", "size", "p_random", "p_text", "grid"],
+                [*(b.column(c) for c in ("id", "run", "start", "end", "encoding")), pa.array(size), pa.array(random), pa.array(text), pa.array(np.floor(np.minimum(-np.log10(text), 290) * 20).astype(np.int32))],
+                ["id", "run", "start", "end", "encoding", "size", "p_random", "p_text", "grid"],
             )
 
-    tested = found.filter("seen IS NULL").select("id", "start", "end", "encoding", "value").mapInArrow(test, "id long, start long, end long, encoding int, size int, p_random double, p_text double, grid int")
+    tested = found.filter("seen IS NULL").select("id", "run", "start", "end", "encoding", "value").mapInArrow(test, "id long, run long, start long, end long, encoding int, size int, p_random double, p_text double, grid int")
     stratum = ["encoding", "size"]
     counted = tested.filter(F.col("p_random") >= level).groupBy(*stratum, "grid").agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy(*stratum).orderBy(F.desc("grid"))
@@ -146,12 +164,14 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # At most one row for each encoding and power of two.
     flagged = tested.filter(F.col("p_random") >= level).join(F.broadcast(limits), stratum).filter(F.col("grid") >= F.col("limit"))
+    fields = ["id", "start", "end", "encoding", "p_random", "p_text"]
+    one = flagged.groupBy("run").agg(F.min(F.struct("p_text", "start", (-F.col("end")).alias("last"), F.struct(*fields).alias("row"))).alias("least")).select("least.row.*")
     named = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("encoding") + 1)
-    return flagged.select(F.col("id").alias(id_col), "start", "end", named.alias("encoding"), "p_random", "p_text")
+    return one.select(F.col("id").alias(id_col), "start", "end", named.alias("encoding"), "p_random", "p_text")
 
 
-def _candidates(part: pa.RecordBatch, least: int) -> pa.RecordBatch:
-    """A slice's candidates, and one row of how often it has each ASCII character."""
+def _candidates(part: pa.RecordBatch, least: int, bits: int, run: int) -> tuple[pa.RecordBatch, int]:
+    """A slice's candidates, with the number of their run, and one row of how often it has each ASCII character outside of them; the next run's number."""
     cp, offsets = K.codepoints(K.strings(part.column("text")))
     if "secret" not in K._LUT:
         lut = np.zeros(0x110000, np.uint8)
@@ -162,16 +182,33 @@ def _candidates(part: pa.RecordBatch, least: int) -> pa.RecordBatch:
     starts, ends = starts[long], ends[long]
     text = np.searchsorted(offsets, starts, "right") - 1
     rows = []
-    sets = [(k, set(a)) for k, a in enumerate(ALPHABETS.values())]
-    for a, b, t in zip(starts.tolist(), ends.tolist(), text.tolist()):
-        value = cp[a:b].tobytes().decode("utf-32-le")
-        if value.isdigit() or value[1:].islower() and value.isalpha():
-            continue
+    sets = [(k, name in _JOINED, math.log2(len(a)), set(a)) for k, (name, a) in enumerate(ALPHABETS.items())]
+
+    def add(t, a, b, value):
         symbols = set(value)
-        rows.append((t, a - int(offsets[t]), b - int(offsets[t]), next(k for k, s in sets if symbols <= s), value))
-    t, a, b, k, v = zip(*rows) if rows else ([],) * 5
+        k, _, each, _ = next(x for x in sets if symbols <= x[3])
+        if len(value) >= least and len(value) * each >= bits:
+            rows.append((t, run, a, b, k, value))
+
+    for a, b, t in zip(starts.tolist(), ends.tolist(), text.tolist()):
+        value, at = cp[a:b].tobytes().decode("utf-32-le"), a - int(offsets[t])
+        parts = [m.span() for m in _PARTS.finditer(value)]
+        joined = "".join(value[x:y] for x, y in parts)
+        symbols = set(joined)
+        if len(parts) > 1 and any(single and symbols <= own for _, single, _, own in sets):
+            add(t, at + parts[0][0], at + parts[-1][1], joined)
+        else:
+            add(t, at, at + len(value), value)
+        if len(joined) < len(value):
+            for x, y in parts:
+                add(t, at + x, at + y, value[x:y])
+        run += 1
+    t, r, a, b, k, v = zip(*rows) if rows else ([],) * 6
     ids = part.column("id").take(pa.array(t, pa.int64()))
-    seen = np.bincount(cp[cp < 128], minlength=128)
+    outside = np.bincount(cp[cp < 128], minlength=128)
+    taken = cp[K.expand(starts, ends - starts)]
+    seen = outside - np.bincount(taken[taken < 128], minlength=128)
     one = lambda array, kind: pa.concat_arrays([pa.array(array, kind), pa.nulls(1, kind)])
     lists = pa.array([*([None] * len(rows)), seen.tolist()], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), one(a, pa.int64()), one(b, pa.int64()), one(k, pa.int32()), one(v, pa.string()), lists], ["id", "start", "end", "encoding", "value", "seen"])
+    columns = [pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), one(r, pa.int64()), one(a, pa.int64()), one(b, pa.int64()), one(k, pa.int32()), one(v, pa.string()), lists]
+    return pa.RecordBatch.from_arrays(columns, ["id", "run", "start", "end", "encoding", "value", "seen"]), run

@@ -77,48 +77,58 @@ def test_quality_cases(spark, awkward):
     assert none == {0.5}
 
 
-def _secrets(docs: list[tuple], least: int = 16, rate: float = 0.01, level: float = 0.001) -> set:
+def _secrets(docs: list[tuple], least: int = 16, rate: float = 0.01, level: float = 0.005, bits: int = 64) -> set:
     """Each candidate's tests in plain Python, and the false-discovery rule by sorting."""
-    seen = collections.Counter(c for _, t in docs for c in t or "")
     erfc = lambda x: 0.5 * math.erfc(x / math.sqrt(2))
 
     def tail(x, mean, var):
         df = 2 * mean**2 / var
         return min(1, max(1e-300, erfc((np.cbrt(x / mean) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))))
 
-    found = []
+    infer = lambda v: next(k for k, a in S.ALPHABETS.items() if set(v) <= set(a))
+    seen: collections.Counter = collections.Counter()
+    candidates, run = [], 0
     for i, text in docs:
+        last = 0
         for m in regex.finditer(r"[A-Za-z0-9+/_-]{%d,}" % least, text or ""):
-            v = m.group()
-            if v.isdigit() or v.isalpha() and v[1:].islower():
-                continue
-            name, alphabet = next((k, a) for k, a in S.ALPHABETS.items() if set(v) <= set(a))
-            n, size = len(v), len(alphabet)
-            codes = [alphabet.index(c) for c in v]
-            count = collections.Counter(codes)
-            uniform = tail(sum(x * x for x in count.values()) * size / n - n, size - 1, 2 * (size - 1) * (n - 1) / n)
-            share = (size - size // 2) / size
-            p = 2 * share * (1 - share)
-            turns = sum((a >= size // 2) != (b >= size // 2) for a, b in zip(codes, codes[1:]))
-            runs = max(1e-300, 2 * erfc(abs(turns - (n - 1) * p) / math.sqrt((n - 1) * p * (1 - p))))
-            level_of = [c - (size - 1) / 2 for c in codes]
-            serial = max(1e-300, 2 * erfc(abs(sum(a * b for a, b in zip(level_of, level_of[1:]))) / math.sqrt((n - 1) * ((size**2 - 1) / 12) ** 2)))
-            half = -sum(math.log(min(1, x)) for x in (uniform, runs, serial))
-            random_p = math.exp(-half) * (1 + half + half**2 / 2)
-            if random_p < level:
-                continue
-            f = [seen[c] + (seen[c.swapcase()] if name in S._FOLDED and c.isalpha() else 0) for c in alphabet]
-            q = [0.9 * x / max(sum(f), 1) + 0.1 / size for x in f]
-            q = [x / sum(q) for x in q]
-            chi = sum(count[k] ** 2 / q[k] for k in range(size)) / n - n
-            text_p = tail(chi, size - 1, 2 * (size - 1) + (sum(1 / x for x in q) - size**2 - 2 * size + 2) / n)
-            found.append((name, int(math.log2(n)), math.floor(min(-math.log10(text_p), 290) * 20), (i, m.start(), m.end(), name)))
-    out = set()
+            seen.update(text[last : m.start()])
+            last, parts = m.end(), [(x.start() + m.start(), x.end() + m.start(), x.group()) for x in regex.finditer("[^-_]+", m.group())]
+            joined = "".join(x[2] for x in parts)
+            one = len(parts) > 1 and any(set(joined) <= set(S.ALPHABETS[k]) for k in S._JOINED)
+            own = [(parts[0][0], parts[-1][1], joined)] if one else [(m.start(), m.end(), m.group())]
+            own += parts if len(joined) < len(m.group()) else []
+            candidates += [(run, i, a, b, infer(v), v) for a, b, v in own if len(v) >= least and len(v) * math.log2(len(S.ALPHABETS[infer(v)])) >= bits]
+            run += 1
+        seen.update((text or "")[last:])
+    symbols = S.ALPHABETS["token"]
+    f = [seen[c] + (S._PRIOR[c] if c in S._PRIOR else S._PRIOR[c.lower()] / 20 if c.isalpha() else 5) for c in symbols]
+    q = [0.9 * x / sum(f) + 0.1 / len(f) for x in f]
+    found = []
+    for run, i, a, b, name, v in candidates:
+        alphabet = S.ALPHABETS[name]
+        n, size = len(v), len(alphabet)
+        codes, count = [alphabet.index(c) for c in v], collections.Counter(v)
+        uniform = tail(sum(x * x for x in count.values()) * size / n - n, size - 1, 2 * (size - 1) * (n - 1) / n)
+        share = (size - size // 2) / size
+        p = 2 * share * (1 - share)
+        turns = sum((x >= size // 2) != (y >= size // 2) for x, y in zip(codes, codes[1:]))
+        runs = max(1e-300, 2 * erfc(abs(turns - (n - 1) * p) / math.sqrt((n - 1) * p * (1 - p))))
+        level_of = [c - (size - 1) / 2 for c in codes]
+        serial = max(1e-300, 2 * erfc(abs(sum(x * y for x, y in zip(level_of, level_of[1:]))) / math.sqrt((n - 1) * ((size**2 - 1) / 12) ** 2)))
+        half = -sum(math.log(min(1, x)) for x in (uniform, runs, serial))
+        if math.exp(-half) * (1 + half + half**2 / 2) < level:
+            continue
+        chi = sum(count[c] ** 2 / x for c, x in zip(symbols, q)) / n - n
+        text_p = tail(chi, len(q) - 1, 2 * (len(q) - 1) + (sum(1 / x for x in q) - len(q) ** 2 - 2 * len(q) + 2) / n)
+        found.append((name, int(math.log2(n)), math.floor(min(-math.log10(text_p), 290) * 20), run, (text_p, a, -b, (i, a, b, name))))
+    out: dict = {}
     for stratum in {x[:2] for x in found}:
-        own = sorted((x for x in found if x[:2] == stratum), key=lambda x: -x[2])
+        own = [x for x in found if x[:2] == stratum]
         ok = [x[2] for x in own if 10 ** (-x[2] / 20) <= rate * sum(y[2] >= x[2] for y in own) / len(own)]
-        out |= {x[3] for x in own if ok and x[2] >= min(ok)}
-    return out
+        for x in own:
+            if ok and x[2] >= min(ok):
+                out[x[3]] = min(out.get(x[3], x[4]), x[4])
+    return {x[3] for x in out.values()}
 
 
 def _planted() -> tuple[list[tuple], list[tuple]]:
@@ -150,6 +160,24 @@ def test_secret_scan_is_brute_force(spark):
     assert secret_scan(frame.limit(0)).count() == 0
 
 
+def test_secrets_of_every_encoding(spark):
+    """Keys of digits or of letters of one case, a UUID, a key with a prefix, and one alone in its corpus are found; counters and words aren't."""
+    rng = random.Random(1)
+    key = lambda kind, n: "".join(rng.choice(kind) for _ in range(n))
+    words = "the and of with from that which have this some over where then there about people world house water through".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    uuid = "-".join(key("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+    keys = [key(string.ascii_lowercase, 48), key(string.digits, 40), uuid, "key_" + key(string.ascii_letters + string.digits, 32), key("0123456789ABCDEF", 40), key(string.ascii_letters + string.digits + "-_", 44)]
+    docs = [(k, f"{prose(40)} {x} {prose(40)}") for k, x in enumerate(keys)]
+    docs += [(100 + k, f"{prose(60)} {x} {prose(9)}") for k, x in enumerate(["12345678901234567890123", "a" * 30, "aB" * 20, "1234567812345678", "thewordswithoutanyspacesinbetween", "a-phrase-with-hyphens-between-its-words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])]
+    got = secret_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end, r.encoding) for r in got} == _secrets(docs)
+    assert {r.doc_id for r in got} == set(range(len(keys)))
+    assert all(dict(docs)[r.doc_id][r.start : r.end] in (keys[r.doc_id], keys[r.doc_id].removeprefix("key_")) for r in got)
+    alone = [(1, "a1f09c37be52d8461fb9e0c7a35d2846")]
+    assert secret_scan(spark.createDataFrame(alone, "doc_id long, text string")).count() == 1 == len(_secrets(alone))
+
+
 def test_secret_scan_of_documents(documents):
     docs = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     assert {(r.doc_id, r.start, r.end, r.encoding) for r in secret_scan(documents).collect()} == _secrets(docs)
