@@ -281,13 +281,14 @@ def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     seeds = seeds or Seeds(sent.value, n_docs, mean)
                     some.append((block, payload))
                     n += size
-                    if n >= shard:
+                    if n >= 2 * shard:
                         yield found()
                         some, n = [], 0
             if some:
                 yield found()
 
-        made.filter("kind = 0").select("block", "payload", "n_docs").mapInArrow(score, _NEAREST).write.mode("append").parquet(folder)
+        # A task holds a shard or, as partitions vary, up to two.
+        made.filter("kind = 0").select("block", "payload", "n_docs").coalesce(max(1, -(-n_docs // shard))).mapInArrow(score, _NEAREST).write.mode("append").parquet(folder)
         sent.destroy()
     each = spark.read.schema(_NEAREST).parquet(folder)
     if rounds > 1:
