@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -72,10 +73,19 @@ def pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]), per_text
 
 
+def ship(spark, path: str) -> None:
+    """Send the vocabulary's file to all executors, which needn't have it at that path."""
+    spark.sparkContext.addFile(path)
+
+
 @lru_cache(2)
 def encoding(path: str):
     import tiktoken
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -227,14 +227,17 @@ def task_key() -> int:
 
 
 def ensure_checkpoint_dir(spark) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` has set; where neither is (tests), and all runs on this machine, one of our own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = f"file://{tempfile.gettempdir()}/lakeseek-checkpoints-{os.getuid()}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -247,3 +250,9 @@ def materialise(df):
 def shared_path(spark, name: str) -> str:
     """A fresh folder for a written table in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark, path: str) -> None:
+    """Delete a written table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

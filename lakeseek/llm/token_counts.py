@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from . import bpe
 from . import kernels as K
 
+#: Distinct pre-tokens whose counts a task keeps at most.
+KNOWN = 2_000_000
+
 _ROWS = "block long, bucket int, part int, payload binary"
 
 
@@ -31,6 +34,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     parts = K.partitions(spark)
+    bpe.ship(spark, ranks)
     buckets = buckets or parts
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -67,6 +71,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     for word in _words(payload):
                         n = known.get(word)
                         if n is None:
+                            if len(known) >= KNOWN:
+                                known.clear()  # what comes again is counted again
                             n = known[word] = len(one(word))
                         counts.append(n)
                     payload = K.pack(np.array(counts, np.uint32))

@@ -87,6 +87,7 @@ def token_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text of any length is cut the same way.
     """
     spark = docs.sparkSession
+    bpe.ship(spark, ranks)
     wide = np.dtype("<u4") if bpe.encoding(ranks).n_vocab > 65536 else np.dtype("<u2")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 

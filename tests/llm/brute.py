@@ -124,6 +124,33 @@ def without_shared_lines(docs: list[tuple], least: int = 13) -> list[tuple]:
     return out
 
 
+def edited_copies(docs: list[tuple], share: float = 0.75) -> set:
+    """Ids of documents that are told to be edited copies of the first holder of some run of their lines, or that have the same lines as an earlier one."""
+    from lakeseek.llm.line_dedup import edited_copy, patience
+
+    import numpy as np
+
+    own = {i: [(x, len(x.split())) for x in (t or "").split("\n") if x.strip()] for i, t in docs}
+    runs = lambda a: {tuple(a[p:q]) for p in range(len(a)) for q in range(p + 1, len(a) + 1) if sum(n for _, n in a[p:q]) >= 13 and (sum(n for _, n in a[p + 1 : q]) < 13 or sum(n for _, n in a[p : q - 1]) < 13)}
+    of = {i: runs(a) for i, a in own.items()}
+    first: dict = {}
+    for i in sorted(of):
+        for r in of[i]:
+            first.setdefault(r, i)
+    out = set()
+    for i, a in own.items():
+        for j in {first[r] for r in of[i]} - {i}:
+            b = own[j]
+            if j < i:
+                left = [k for k, x in enumerate(a) if x in b]
+                right = [k for k, x in enumerate(b) if x in a]
+                pairs = patience([a[k] for k in left], [b[k] for k in right])
+                x, y = (np.array([side[p[n]] for p in pairs], np.int64) for n, side in ((0, left), (1, right)))
+                if a == b or edited_copy(np.array([n for _, n in a]), np.array([n for _, n in b]), x, y, share):
+                    out.add(i)
+    return out
+
+
 def nearest(docs: list[tuple], every: int = 20, k1: float = 1.2, b: float = 0.75) -> list[tuple]:
     """(id, words, seed or None, score) of each document, by BM25 over all; ids are distinct here."""
     rows = sorted(((i, words(t)) for i, t in docs if words(t)), key=lambda r: (r[0] is not None, r[0] or 0))

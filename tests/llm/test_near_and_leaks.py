@@ -89,8 +89,8 @@ def test_leaks_are_sql(spark, sf_dir, duck):
     assert len(got) and rows(got) == rows(duck.execute(registry.oracle_sql()["op5_decontaminate"]).fetchdf())
 
 
-@pytest.mark.parametrize("broadcast_words", [2_000_000, 0])
-def test_every_long_shared_span_is_found(spark, broadcast_words):
+@pytest.mark.parametrize("broadcast_bytes", [16_000_000, 0])
+def test_every_long_shared_span_is_found(spark, broadcast_bytes):
     """Spans of every length around the guarantee, at both ends and between, with repeats; by broadcast and by shuffle."""
     rng = random.Random(5)
     items = [(k, " ".join(rng.choice("abcdefgh") + str(rng.randrange(3 if k == 0 else 40)) for _ in range(60))) for k in range(4)]
@@ -104,24 +104,37 @@ def test_every_long_shared_span_is_found(spark, broadcast_words):
     docs += [(100, None), (101, ""), (102, items[1][1] + " " + items[1][1]), (None, items[2][1])]
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, spans string, key string")
     benchmark = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id, r.doc_word, r.item_word, r.n_words) for r in contamination(frame, benchmark, broadcast_words=broadcast_words).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id, r.doc_word, r.item_word, r.n_words) for r in contamination(frame, benchmark, broadcast_bytes=broadcast_bytes).collect())
     want = sorted((i if i is not None else -1, *rest) for i, *rest in brute.shared_spans(docs, items))
     assert want and got == want
-    clean = decontaminate(frame, benchmark, broadcast_words=broadcast_words)
+    clean = decontaminate(frame, benchmark, broadcast_bytes=broadcast_bytes)
     assert clean.columns == frame.columns
     hit = {r[0] for r in want}
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in docs if i is not None and i not in hit)
-    assert contamination(frame, benchmark.limit(0), broadcast_words=broadcast_words).count() == 0
-    assert decontaminate(frame.limit(0), benchmark, broadcast_words=broadcast_words).count() == 0
+    assert contamination(frame, benchmark.limit(0), broadcast_bytes=broadcast_bytes).count() == 0
+    assert decontaminate(frame.limit(0), benchmark, broadcast_bytes=broadcast_bytes).count() == 0
 
 
 def test_leaks_with_clashing_names(awkward, spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    for words in (2_000_000, 0):
-        left = decontaminate(awkward, benchmark, broadcast_words=words)
+    for size in (16_000_000, 0):
+        left = decontaminate(awkward, benchmark, broadcast_bytes=size)
         assert left.columns == awkward.columns and left.exceptAll(awkward).isEmpty() and left.count() == awkward.count()
 
 
+@pytest.mark.parametrize("broadcast_bytes", [16_000_000, 0])
+def test_leaks_of_long_and_repeated_rows(spark, broadcast_bytes):
+    """A span in the middle of a very long text, repeated documents, and an item that stands there twice."""
+    item = " ".join(f"leak{k}" for k in range(30))
+    long = " ".join(f"w{k % 7919}" for k in range(80_000))
+    docs = [(1, f"{long} {item} {long}"), (2, item), (2, item), (3, long), (4, "中" * 300_000)]
+    items = [(7, item), (7, item), (8, "other words " * 10)]
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in contamination(frame, benchmark, broadcast_bytes=broadcast_bytes).collect())
+    assert got == sorted([(1, 7, 80_000, 0, 30)] * 2 + [(2, 7, 0, 0, 30)] * 4)
+    assert sorted(r.doc_id for r in decontaminate(frame, benchmark, broadcast_bytes=broadcast_bytes).collect()) == [3, 4]
+
+
 def _deduped(frame):
     return sorted((r.doc_id, r.text, r.n) for r in line_dedup(frame.select("doc_id", "text"), count="n").collect())
 

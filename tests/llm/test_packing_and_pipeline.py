@@ -6,6 +6,7 @@ import pytest
 
 import brute
 import corpus_pipeline
+from pyspark.sql import functions as F
 from lakeseek.llm.packing import nearest_seeds, pack_documents
 from lakeseek.llm.quality import quality
 
@@ -64,7 +65,9 @@ def test_pipeline_is_brute_force(spark, sf_dir, documents):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     kept = {r.doc_id for r in quality(documents, labels).filter("keep").collect()}
     docs = sorted((i, t) for i, t in _pairs(documents) if i in kept)
-    docs = [(i, t) for i, t, n in brute.without_shared_lines(docs) if not n or t.strip()]
+    copies = brute.edited_copies(docs)
+    assert copies
+    docs = [(i, t) for i, t, n in brute.without_shared_lines(docs) if i not in copies and (not n or t.strip())]
     docs = brute.keep_one(docs)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaks = {r[0] for r in brute.shared_spans(docs, items)}
@@ -80,7 +83,12 @@ def test_stages_keep_columns_and_cases(spark, sf_dir, awkward):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
-        docs.sparkSession.catalog.clearCache()
+    packed = corpus_pipeline.packing_stage(spark, docs.withColumns({"seed_id": F.lit("x"), "pack_id": F.lit("y"), "score": F.lit("z")}), sf_dir)
+    assert packed.columns == ["pack_id", "position", "doc_id", "first_word", "n_words", "seed_id"]
+    assert sum(r.n_words for r in packed.collect()) == sum(len(brute.words(t)) for _, t in _pairs(docs))
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), sf_dir).count() == 0
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir)
+    assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(i or -1 for i, _ in brute.keep_one(_pairs(docs)))
     deduped = corpus_pipeline.line_dedup_stage(spark, docs, sf_dir)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in deduped.collect())
     # What no line was taken from stays, empty or not.
