@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +66,26 @@ def type_mask_of(token: str) -> int:
     return sum(bit for pattern, bit in _CLASSES if re.search(pattern, token))
 
 
+def file_tokens(text: Column, path: str) -> Column:
+    """Tokens of the text by a tokenizer's file, which is sent to the executors."""
+    import os
+
+    from pyspark.sql import SparkSession
+
+    SparkSession.getActiveSession().sparkContext.addFile(path)
+    name, made = os.path.basename(path), []
+
+    def f(column: pa.Array) -> pa.Array:
+        from pyspark import SparkFiles
+        from tokenizers import Tokenizer
+
+        if not made:
+            made.append(Tokenizer.from_file(SparkFiles.get(name)))
+        return pa.array([None if x is None else made[0].encode(x, add_special_tokens=False).tokens for x in column.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(f, "array<string>")(text)
+
+
 def superset_masks(mask: int) -> list[int]:
     """All masks that have every class of ``mask``: tokens that may contain such a string."""
     return [m for m in range(64) if m & mask == mask]

@@ -46,11 +46,6 @@ def nearest(vector: Column, centroids: list[list[float]], n: int = 1) -> Column:
     return F.arrow_udf(f, "array<int>")(vector)
 
 
-def pair_l2(a: Column, b: Column) -> Column:
-    """Distance between two vector columns, JVM-side."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
-
-
 def cosine(a: Column, query: list[float]) -> Column:
     q = np.asarray(query, np.float64)
 

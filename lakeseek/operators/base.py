@@ -5,13 +5,19 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Candidate blocks beyond which a scan is cheaper than reading them one by one.
 BRUTE_FORCE_THRESHOLD = 1000
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """The rows with an ``index_id``; those that have none are one index's."""
+    return rows if "index_id" in rows.columns else rows.withColumn("index_id", F.lit("one"))
+
+
 class SearchIndex(ABC):
-    """An index over one column. Rows are ``(file_path, row_index, uid, <column>)``.
+    """An index over one column. Rows are ``(index_id, file_path, row_index, uid, <column>)``: those of several indexes are built in one pass.
 
     ``candidates`` may give more blocks than match, never fewer; ``verify`` decides on the rows' own values.
     """
@@ -19,13 +25,15 @@ class SearchIndex(ABC):
     name: str
     ranked = False
     stride = 1
+    #: Whether ``verify`` prefers rows of the last files, so that a scan for k rows may stop at them.
+    newest_first = False
 
     def __init__(self, column: str, brute_force_threshold: int = BRUTE_FORCE_THRESHOLD):
         self.column, self.brute_force_threshold = column, brute_force_threshold
 
     @abstractmethod
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
-        """The index's tables by name."""
+        """The tables by name, each with the ``index_id`` of its rows."""
 
     @abstractmethod
     def candidates(self, tables: dict[str, DataFrame], query) -> DataFrame | None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from .base import SearchIndex
+from ..sources.storage import workspace
+from .base import SearchIndex, named
 
 
 def term_frequencies(docs: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
@@ -48,6 +50,31 @@ def embedding_expansion(vocabulary: DataFrame, query_vector: list[float], n: int
     return vocabulary.select("term", cosine(F.col("embedding"), query_vector).alias("weight")).orderBy(F.desc("weight"), "term").limit(n)
 
 
+class EmbeddingExpansion:
+    """Expands a query by the n terms of the vocabulary that are most like it, by ``embed``: a function from a list of texts to vectors.
+
+    The terms' vectors are made where the vocabulary is, and kept as a table at ``cache`` if it is named.
+    """
+
+    def __init__(self, embed, n: int = 20, cache: str | None = None):
+        self.embed, self.n, self.cache = embed, n, cache
+
+    def __call__(self, vocabulary: DataFrame, query: str) -> DataFrame:
+        from ..sources import storage
+
+        embed, spark = self.embed, vocabulary.sparkSession
+
+        def vectors(terms: pa.Array) -> pa.Array:
+            return pa.array([[float(x) for x in v] for v in embed(terms.to_pylist())], pa.list_(pa.float64()))
+
+        known = vocabulary.select("term").distinct().withColumn("embedding", F.arrow_udf(vectors, "array<double>")("term"))
+        if self.cache:
+            if not storage.exists(spark, f"{self.cache}/_SUCCESS"):
+                known.write.mode("overwrite").parquet(self.cache)
+            known = spark.read.parquet(self.cache)
+        return embedding_expansion(known, [float(x) for x in embed([query])[0]], self.n)
+
+
 def rank_rows(docs: DataFrame, keys: list[str], tokens: Column, query: str | dict[str, float], k: int | None, stats: DataFrame | None = None) -> DataFrame:
     """``(keys, score)`` of the rows with a query term, by corpus-wide BM25; the best k, ties by key.
 
@@ -80,17 +107,28 @@ class Bm25Index(SearchIndex):
         self.stride, self.quality, self.tokenizer = stride, quality, tokenizer
 
     def tokens(self, column: Column) -> Column:
+        """Words by the tokenizer: a regular expression, or the path of a tokenizer's file (its tokens of the lower-cased text)."""
+        if self.tokenizer.endswith(".json"):
+            return T.file_tokens(F.lower(column), self.tokenizer)
         return F.regexp_extract_all(F.lower(column), F.lit(self.tokenizer), F.lit(0))
 
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
-        docs = rows.filter(F.col(self.column).isNotNull())
-        tf = term_frequencies(docs, ["file_path", "uid", "row_index"], self.tokens(F.col(self.column)))
-        stats = corpus_stats(docs, self.tokens(F.col(self.column)))
-        factor = tf.crossJoin(F.broadcast(stats)).withColumn("factor", S.tf_factor(F.col("tf"), F.col("length"), F.col("avgdl")))
-        pages = factor.groupBy("term", "file_path", "uid").agg(S.quantise(F.max("factor")).alias("score"))
+        """The texts are tokenised once, into a table in the shared folder from which the index's three are made."""
+        rows = named(rows)
+        spark = rows.sparkSession
+        words = rows.filter(F.col(self.column).isNotNull()).select("index_id", "file_path", "uid", "row_index", self.tokens(F.col(self.column)).alias("words"))
+        each = words.select("index_id", "file_path", "uid", "row_index", F.size("words").cast("long").alias("length"), F.posexplode_outer("words").alias("pos", "term"))
+        # A row has its terms' postings together already, so they are counted where they are.
+        path = workspace(spark, "terms")
+        each.groupBy("index_id", "file_path", "uid", "row_index", "term").agg(F.count("pos").alias("tf"), F.first("length").alias("length"), F.coalesce(F.min("pos") == 0, F.lit(True)).alias("first")).write.parquet(path)
+        made = spark.read.parquet(path)
+        stats = made.filter("first").groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
+        tf = made.filter("term IS NOT NULL")
+        factor = tf.join(stats, "index_id").withColumn("factor", S.tf_factor(F.col("tf"), F.col("length"), F.col("avgdl")))
+        pages = factor.groupBy("index_id", "term", "file_path", "uid").agg(S.quantise(F.max("factor")).alias("score"))
         return {
-            "postings": pages.repartitionByRange("term").sortWithinPartitions("term", "file_path", "uid"),
-            "frequencies": document_frequencies(tf).repartitionByRange("term").sortWithinPartitions("term"),
+            "postings": pages.repartitionByRange("index_id", "term").sortWithinPartitions("index_id", "term"),
+            "frequencies": tf.groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("index_id", "term").sortWithinPartitions("index_id", "term"),
             "stats": stats.withColumn("tokenizer", F.lit(self.tokenizer)),
         }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .base import SearchIndex
+from .base import SearchIndex, named
 
 #: Distinct tokens from which a symbol-class type has a partition of its own, and lines from which a token counts as dictionary.
 TYPE_TOKENS, DICTIONARY_LINES = 1000, 1000
@@ -47,23 +47,28 @@ def fill_timestamps(lines: DataFrame, order: str, ts: str, group: str | None = N
 
 
 class LogIndex(SearchIndex):
-    """Templates, and variable tokens partitioned by type; a query of one word is looked up in both."""
+    """Templates, and variable tokens partitioned by type; a query of one word is looked up in both.
 
-    name = "logs"
+    Lines that the query matches as a regular expression are found; with ``exact``, those that have it as a word.
+    """
+
+    name, newest_first = "logs", True
 
     def __init__(self, column: str, stride: int = 1, type_tokens: int = TYPE_TOKENS, dictionary_lines: int = DICTIONARY_LINES, exact: bool = False, **options):
         super().__init__(column, **options)
         self.stride, self.type_tokens, self.dictionary_lines, self.exact = stride, type_tokens, dictionary_lines, exact
 
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
+        rows = named(rows)
         lines = rows.withColumn("line", F.col(self.column))
-        postings = token_postings(lines, ["file_path", "uid"]).distinct()
-        types = split_types(postings, self.type_tokens).select("mask", "own")
-        tagged = postings.join(F.broadcast(types), "mask").withColumn("mask", F.when(F.col("own"), F.col("mask")).otherwise(-1)).drop("own")
-        common = tagged.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.dictionary_lines).select("token")
+        postings = token_postings(lines, ["index_id", "file_path", "uid"]).distinct()
+        types = postings.groupBy("index_id", "mask").agg((F.count_distinct("token") > self.type_tokens).alias("own"))
+        tagged = postings.join(types, ["index_id", "mask"]).withColumn("mask", F.when(F.col("own"), F.col("mask")).otherwise(-1)).drop("own")
+        common = tagged.groupBy("index_id", "token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.dictionary_lines).select("index_id", "token")
+        template = lines.select("index_id", T.template(T.clean_line(F.col("line"))).alias("text")).filter("text IS NOT NULL").distinct()
         return {
-            "tokens": tagged.join(common, "token", "left_anti").repartitionByRange("mask", "token").sortWithinPartitions("mask", "token"),
-            "dictionary": common.select(F.col("token").alias("text")).unionByName(templates(lines).select(F.col("template").alias("text"))),
+            "tokens": tagged.join(common, ["index_id", "token"], "left_anti").repartitionByRange("index_id", "mask", "token").sortWithinPartitions("index_id", "mask", "token"),
+            "dictionary": common.select("index_id", F.col("token").alias("text")).unionByName(template),
         }
 
     def candidates(self, tables: dict[str, DataFrame], query: str) -> DataFrame | None:
@@ -80,7 +85,8 @@ class LogIndex(SearchIndex):
         return found.filter(match).select("file_path", "uid").distinct()
 
     def verify(self, rows: DataFrame, query: str, k: int | None) -> DataFrame:
-        found = rows.filter(F.col(self.column).rlike(query))
+        line = F.col(self.column)
+        found = rows.filter(F.array_contains(T.words(T.clean_line(line)), query) if self.exact else line.rlike(query))
         return found.orderBy(F.desc("file_path"), "row_index").limit(k) if k is not None else found
 
     def merge(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -58,7 +58,3 @@ def sample_rows(rows: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
 def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int = 1) -> DataFrame:
     """n rows without replacement, with probability by weight: the least of -ln(u) / w."""
     return rows.filter(F.col(weight) > 0).withColumn("__u", -F.log(F.rand(seed)) / F.col(weight)).orderBy("__u").limit(n).drop("__u")
-
-
-def shuffled(rows: DataFrame, seed: int = 1) -> DataFrame:
-    return rows.orderBy(F.rand(seed))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ngrams as N
 from ..functions import text as T
-from .base import SearchIndex
+from .base import SearchIndex, named
 
 
 def substring_scan(rows: DataFrame, column: str, query: str, k: int | None = None) -> DataFrame:
@@ -31,9 +31,13 @@ class SubstringIndex(SearchIndex):
         self.stride, self.gram = stride, gram
 
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
-        normal = rows.select("file_path", "uid", T.normalise(F.col(self.column)).alias("text"))
-        grams = N.gram_postings(normal, ["file_path", "uid"], self.gram).distinct()
-        return {"postings": grams.repartitionByRange("gram").sortWithinPartitions("gram", "file_path", "uid")}
+        rows = named(rows)
+        normal = rows.select("index_id", "file_path", "uid", T.normalise(F.col(self.column)).alias("text"))
+        grams = N.gram_postings(normal, ["index_id", "file_path", "uid"], self.gram)
+        if self.stride > 1:
+            grams = grams.distinct()  # a row's grams are distinct already
+        # By hash and not by ranges: no job for samples, and the page statistics of the sorted files prune all the same. Common grams are split.
+        return {"postings": grams.repartition("index_id", "gram", F.pmod("uid", F.lit(8))).sortWithinPartitions("index_id", "gram")}
 
     def candidates(self, tables: dict[str, DataFrame], query: str) -> DataFrame | None:
         wanted = N.query_codes(T.normalise_query(query), self.gram)
@@ -44,7 +48,7 @@ class SubstringIndex(SearchIndex):
 
 
 class TokenSubstringIndex(SearchIndex):
-    """Distinct words by block; a query's inner words are whole words of any match, its first and last may be cut."""
+    """Distinct words, and pairs of consecutive words, by block; a query's inner words are whole words of any match, its first and last may be cut."""
 
     name = "substring_token"
 
@@ -53,15 +57,22 @@ class TokenSubstringIndex(SearchIndex):
         self.stride = stride
 
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
-        each = rows.filter(F.col(self.column).isNotNull()).select("file_path", "uid", F.explode(F.array_distinct(T.tokens(F.col(self.column)))).alias("term")).distinct()
-        return {"postings": each.repartitionByRange("term").sortWithinPartitions("term", "file_path", "uid")}
+        rows = named(rows)
+        words = rows.filter(F.col(self.column).isNotNull()).select("index_id", "file_path", "uid", T.tokens(F.col(self.column)).alias("words"))
+        pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array())
+        each = words.select("index_id", "file_path", "uid", F.explode(F.array_union("words", pairs)).alias("term"))
+        if self.stride > 1:
+            each = each.distinct()
+        return {"postings": each.repartitionByRange("index_id", "term").sortWithinPartitions("index_id", "term")}
 
     def candidates(self, tables: dict[str, DataFrame], query: str) -> DataFrame | None:
         import regex
 
         found = list(regex.finditer(T.TOKEN, query.lower()))
         whole = [m.group() for m in found if m.start() > 0 and m.end() < len(query.lower())]
-        return holding_all(tables["postings"], "term", sorted(set(whole)), ["file_path", "uid"]) if whole else None
+        # Consecutive words of the query are consecutive in a match.
+        wanted = {f"{a} {b}" for a, b in zip(whole, whole[1:])} or set(whole)
+        return holding_all(tables["postings"], "term", sorted(wanted), ["file_path", "uid"]) if wanted else None
 
     def verify(self, rows: DataFrame, query: str, k: int | None) -> DataFrame:
         return substring_scan(rows, self.column, query, k)

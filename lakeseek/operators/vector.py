@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .base import SearchIndex
+from .base import SearchIndex, named
+
+
+def distance(column: Column, query: list[float], metric: str = "l2") -> Column:
+    """Distance to a constant vector: Euclidean (l2), or one minus the cosine."""
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"no such metric: {metric}")
+    return F.sqrt(V.l2_squared(column, query)) if metric == "l2" else 1 - V.cosine(column, query)
 
 
-def knn_scan(rows: DataFrame, column: str, query: list[float], k: int, keys: list[str]) -> DataFrame:
+def knn_scan(rows: DataFrame, column: str, query: list[float], k: int, keys: list[str], metric: str = "l2") -> DataFrame:
     """The k rows of least distance, ties by key; one pass, and k rows from each task."""
-    near = rows.withColumn("distance", F.round(F.sqrt(V.l2_squared(F.col(column), query)), 6)).filter("distance IS NOT NULL")
+    near = rows.withColumn("distance", F.round(distance(F.col(column), query, metric), 6)).filter("distance IS NOT NULL")
     return near.orderBy("distance", *keys).limit(k)
 
 
@@ -107,17 +116,27 @@ def kmeans(points: DataFrame, k: int, rounds: int = 10, seed: int = 7) -> list[l
 
 
 class IvfPqIndex(SearchIndex):
-    """Codes by nearest centroid. ``candidates`` probes the nearest lists, takes the best ``refine`` of each by quantised distance; ``verify`` ranks exactly."""
+    """Codes by nearest centroid. ``candidates`` probes the nearest lists of each part, takes the best ``refine`` of each list by quantised distance; ``verify`` ranks exactly.
+
+    A part is what was trained together: the files of one build. Its centroids and codebooks keep its number through compaction, so
+    merged indexes are searched as before. With as many probes as lists and as large a ``refine`` as lists are long, the result is exact.
+    """
 
     name, ranked = "vector", True
 
-    def __init__(self, column: str, rows_per_centroid: int = 1000, subspaces: int = 16, bits: int = 6, probes: int = 8, refine: int = 100, sample: int = 20_000, seed: int = 7, **options):
+    def __init__(self, column: str, rows_per_centroid: int = 1000, subspaces: int = 16, bits: int = 6, probes: int = 16, refine: int = 100, sample: int = 20_000, seed: int = 7, metric: str = "l2", **options):
         super().__init__(column, **options)
+        self.metric = metric
         self.rows_per_centroid, self.subspaces, self.bits, self.probes, self.refine, self.sample, self.seed = rows_per_centroid, subspaces, bits, probes, refine, sample, seed
 
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
+        rows = named(rows)
         spark = rows.sparkSession
-        points = rows.filter(F.col(self.column).isNotNull()).withColumn("vector", F.col(self.column))
+        vector = F.col(self.column)
+        if self.metric == "cosine":  # of vectors of length 1, the nearest have the greatest cosine
+            norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+            vector = F.transform(vector, lambda x: (x / norm).cast("double"))
+        points = rows.filter(F.col(self.column).isNotNull()).withColumn("vector", vector)
         n = points.count()
         centroids = kmeans(points, max(1, round(n / self.rows_per_centroid)), seed=self.seed)
         books = self._codebooks(points)
@@ -126,11 +145,14 @@ class IvfPqIndex(SearchIndex):
         def encode(column: pa.Array) -> pa.Array:
             return pa.array([x.tobytes() for x in _encode(V._matrix(column), sent.value)], pa.binary())
 
-        codes = assign(points, centroids).select("file_path", "uid", "row_index", F.col("nearest")[0].alias("centroid"), F.arrow_udf(encode, "binary")("vector").alias("code"))
+        part = uuid.uuid4().hex
+        codes = assign(points, centroids).select("index_id", F.lit(part).alias("part"), "file_path", "uid", "row_index", F.col("nearest")[0].alias("centroid"), F.arrow_udf(encode, "binary")("vector").alias("code"))
+        of = rows.select("index_id").distinct()
+        each = lambda values, schema: spark.createDataFrame(values, schema).withColumn("part", F.lit(part)).crossJoin(of)  # noqa: E731  (a few rows for each index)
         return {
-            "codes": codes.repartition("centroid").sortWithinPartitions("centroid"),
-            "centroids": spark.createDataFrame([(i, c) for i, c in enumerate(centroids)], "centroid int, vector array<double>"),
-            "codebooks": spark.createDataFrame([(i, b.ravel().tolist(), b.shape[0]) for i, b in enumerate(books)], "subspace int, book array<double>, n int"),
+            "codes": codes.repartition("index_id", "centroid").sortWithinPartitions("index_id", "centroid"),
+            "centroids": each([(i, c) for i, c in enumerate(centroids)], "centroid int, vector array<double>"),
+            "codebooks": each([(i, b.ravel().tolist(), b.shape[0]) for i, b in enumerate(books)], "subspace int, book array<double>, n int"),
         }
 
     def _codebooks(self, points: DataFrame) -> list[np.ndarray]:
@@ -151,15 +173,19 @@ class IvfPqIndex(SearchIndex):
 
     def candidates(self, tables: dict[str, DataFrame], query: list[float]) -> DataFrame:
         q = np.asarray(query, np.float64)
-        lists = tables["centroids"].withColumn("d", V.l2_squared(F.col("vector"), query)).orderBy("d", "index_id", "centroid").limit(self.probes).collect()
+        if self.metric == "cosine":
+            q = q / max(1e-12, float(np.linalg.norm(q)))
+        known = tables["centroids"].dropDuplicates(["part", "centroid"]).withColumn("d", V.l2_squared(F.col("vector"), q.tolist()))
+        nearest = Window.partitionBy("part").orderBy("d", "centroid")
+        lists = known.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= self.probes).select("part", "centroid")
         books: dict[str, list[np.ndarray]] = {}
-        for r in tables["codebooks"].orderBy("index_id", "subspace").collect():
-            books.setdefault(r.index_id, []).append(np.array(r.book).reshape(r.n, -1))
+        for r in tables["codebooks"].dropDuplicates(["part", "subspace"]).orderBy("part", "subspace").collect():
+            books.setdefault(r.part, []).append(np.array(r.book).reshape(r.n, -1))
         tables_of = {i: _distance_table(q, b) for i, b in books.items()}
 
-        def distance(ids: pa.Array, codes: pa.Array) -> pa.Array:
+        def distance(parts: pa.Array, codes: pa.Array) -> pa.Array:
             out = np.zeros(len(codes))
-            names, raw = np.array(ids.to_pylist()), codes.to_pylist()
+            names, raw = np.array(parts.to_pylist()), codes.to_pylist()
             for i, table in tables_of.items():
                 at = np.flatnonzero(names == i)
                 if len(at):
@@ -167,18 +193,12 @@ class IvfPqIndex(SearchIndex):
                     out[at] = sum(t[c[:, s]] for s, t in enumerate(table))
             return pa.array(out)
 
-        wanted = [(F.col("index_id") == r.index_id) & (F.col("centroid") == r.centroid) for r in lists]
-        if not wanted:
-            return tables["codes"].limit(0).select("file_path", "uid", "row_index")
-        probe = wanted[0]
-        for w in wanted[1:]:
-            probe = probe | w
-        scored = tables["codes"].filter(F.col("centroid").isin([r.centroid for r in lists])).filter(probe).withColumn("d", F.arrow_udf(distance, "double")("index_id", "code"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("index_id", "centroid").orderBy("d", "file_path", "row_index"))).filter(F.col("rank") <= self.refine)
-        return ranked.orderBy("d", "file_path", "row_index").limit(self.refine * max(1, self.probes // 4)).select("file_path", "uid", "row_index")
+        scored = tables["codes"].join(lists, ["part", "centroid"], "left_semi").withColumn("d", F.arrow_udf(distance, "double")("part", "code"))
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("part", "centroid").orderBy("d", "file_path", "row_index"))).filter(F.col("rank") <= self.refine)
+        return ranked.select("file_path", "uid", "row_index")
 
     def verify(self, rows: DataFrame, query: list[float], k: int | None) -> DataFrame:
-        near = rows.withColumn("distance", F.round(F.sqrt(V.l2_squared(F.col(self.column), query)), 6)).filter("distance IS NOT NULL")
+        near = rows.withColumn("distance", F.round(distance(F.col(self.column), query, self.metric), 6)).filter("distance IS NOT NULL")
         return near.orderBy("distance", "file_path", "row_index").limit(k) if k is not None else near
 
 

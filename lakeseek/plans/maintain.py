@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +31,22 @@ def pack_files(files: list[tuple[str, int]], threshold: int = BINPACK_ROWS) -> l
 
 
 def pack_groups(files: DataFrame, order: list[str], count: str, threshold: int = BINPACK_ROWS) -> DataFrame:
-    """The same as a column ``bin``, numbered from 0: one fold over the ordered list."""
-    listed = files.agg(F.sort_array(F.collect_list(F.struct(*order, F.col(count).alias("__n"), F.struct(*files.columns).alias("__row")))).alias("rows"))
-    start = F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(threshold + 1).cast("long").alias("size"), F.array().cast("array<bigint>").alias("bins"))
+    """The same as a column ``bin``, numbered from 0: one pass over the ordered list, a row for each file, in one task that holds a number."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", bin long"
 
-    def step(a, x):
-        fits = a["size"] + x["__n"] <= threshold
-        number = F.when(fits & (a["bin"] >= 0), a["bin"]).otherwise(a["bin"] + 1)
-        return F.struct(number.alias("bin"), F.when(fits & (a["bin"] >= 0), a["size"] + x["__n"]).otherwise(x["__n"]).cast("long").alias("size"), F.concat(a["bins"], F.array(number)).alias("bins"))
+    def fold(batches):
+        number, size = -1, 0
+        for batch in batches:
+            bins = []
+            for n in batch.column(count).to_pylist():
+                if number >= 0 and size + n <= threshold:
+                    size += n
+                else:
+                    number, size = number + 1, n
+                bins.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int64())], [*batch.schema.names, "bin"])
 
-    folded = listed.select("rows", F.aggregate("rows", start, step)["bins"].alias("bins"))
-    each = folded.select(F.explode(F.arrays_zip("rows", "bins")).alias("z"))
-    return each.select("z.rows.__row.*", F.col("z.bins").alias("bin"))
+    return files.coalesce(1).sortWithinPartitions(*order, count).mapInArrow(fold, schema)
 
 
 def small_indexes(metadata: DataFrame, threshold: int) -> DataFrame:
@@ -74,7 +79,7 @@ def merge_metadata(metadata: DataFrame, order: str, count: str) -> DataFrame:
 
 
 def compact(catalog: Catalog, index: SearchIndex, threshold: int = BINPACK_ROWS) -> list[str]:
-    """Merge groups of small indexes; the new ones are committed before the old ones go, so a crash leaves duplicates and never gaps."""
+    """Merge groups of small indexes; a new one comes and the old ones go in one version of the metadata, so a crash leaves unnamed files at most."""
     from .search import index_tables
 
     small = small_indexes(catalog.indexes(index.name, index.column), threshold).orderBy("index_timestamp", "index_id").collect()
@@ -83,11 +88,10 @@ def compact(catalog: Catalog, index: SearchIndex, threshold: int = BINPACK_ROWS)
     for group in pack_files([(r.index_id, sum(r.record_counts)) for r in small], threshold):
         if len(group) < 2:
             continue
-        ids = [i for i, _ in group]
-        new = catalog.write(index.merge(index_tables(catalog, index, ids)))
+        ids, new = [i for i, _ in group], catalog.fresh_id()
+        catalog.write({t: rows.withColumn("index_id", F.lit(new)) for t, rows in index.merge(index_tables(catalog, index, ids)).items()})
         files = {f: n for i in ids for f, n in zip(by_id[i].file_path, by_id[i].record_counts)}
-        catalog.commit(new, index.name, index.column, list(files), list(files.values()))
-        catalog.replace(ids)
+        catalog.commit(index.name, index.column, [(new, list(files), list(files.values()))], drop=ids)
         made.append(new)
     return made
 

@@ -107,10 +107,10 @@ def f3(spark, sf_dir):
     return orders.filter("content = 0").select("o_orderkey", "o_custkey")
 
 
-@_query("F4_unindexed_files", "SELECT c_custkey AS file_path FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_query("F4_unindexed_files", "SELECT c_custkey AS file_path FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def f4(spark, sf_dir):
     files = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_path"))
-    return search.unindexed(files, _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_path")))
+    return search.unindexed(files, _table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("file_path")))
 
 
 @_query(
@@ -159,17 +159,22 @@ def f15(spark, sf_dir):
     return relational.sample_rows(orders, 0.1, seed=3).withColumn("kind", F.lit("share")).unionByName(relational.weighted_sample(orders, "o_totalprice", 50, seed=3).withColumn("kind", F.lit("weighted")))
 
 
-@_query("S2_read_pages", f"SELECT doc_id FROM documents WHERE doc_id // {_PAGE} IN (SELECT doc_id // {_PAGE} FROM documents WHERE contains(text, 'benchmark') OR n_chars > 50000)")
+@_query("S2_read_pages", f"SELECT doc_id FROM documents WHERE doc_id // {_PAGE} IN (SELECT doc_id // {_PAGE} FROM documents WHERE contains(lower(text), '{_PHRASE}') AND n_chars > 1000)")
 def s2(spark, sf_dir):
     path = f"{sf_dir}/documents.parquet"
     rows = L.scan(spark, path, "doc_id", "text", "n_chars")
-    wanted = L.with_uid(rows.filter(F.col("text").contains("benchmark") | (F.col("n_chars") > 50000)), _PAGE)
+    wanted = L.with_uid(substring.substring_scan(rows.filter("n_chars > 1000"), "text", _PHRASE), _PAGE)
     return L.read_pages(L.scan(spark, path, "doc_id"), wanted, _PAGE).select("doc_id")
 
 
-@_query("S5_layout", f"SELECT doc_id // {_PAGE} AS uid, min(doc_id) AS row_start, max(doc_id) AS row_end, count(*) AS n_rows, CAST(0 AS BIGINT) AS first_uid FROM documents GROUP BY ALL")
+@_query(
+    "S5_layout",
+    f"WITH d AS (SELECT doc_id % 4 AS f, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS r FROM documents), b AS (SELECT f, r // {_PAGE} AS uid, min(r) AS row_start, max(r) AS row_end, count(*) AS n_rows FROM d GROUP BY ALL) SELECT f AS file, uid, row_start, row_end, n_rows, CAST(coalesce((SELECT count(*) FROM b c WHERE c.f < b.f), 0) AS BIGINT) AS first_uid FROM b",
+)
 def s5(spark, sf_dir):
-    return L.layout(L.scan(spark, f"{sf_dir}/documents.parquet"), _PAGE).select("uid", "row_start", "row_end", "n_rows", "first_uid")
+    """The blocks of a lake of four files."""
+    blocks = L.layout(L.scan(spark, _four_files(spark, sf_dir)), _PAGE)
+    return blocks.select(F.regexp_extract("file_path", r"/file=(\d)/", 1).cast("long").alias("file"), "uid", "row_start", "row_end", "n_rows", "first_uid")
 
 
 @_query("S8_read_columns", f"SELECT doc_id, lang, source, n_chars FROM documents WHERE contains(lower(text), '{_PHRASE}')")
@@ -353,16 +358,86 @@ def a17(spark, sf_dir):
     """Bytes of each table of a substring index."""
     lake, catalog = L.ParquetLake(spark, f"{sf_dir}/documents.parquet"), _catalog(spark)
     search.build_index(lake, catalog, substring.SubstringIndex("text", _PAGE))
-    files = storage.file_listing(spark, f"{catalog.path}/data").withColumn("table_name", F.regexp_extract("file_path", r"/data/[0-9a-f]+/(\w+)/", 1))
+    files = storage.file_listing(spark, f"{catalog.path}/data").withColumn("table_name", F.regexp_extract("file_path", r"/data/(\w+)/index_id=", 1))
     return files.filter(F.col("file_path").endswith(".parquet")).groupBy("table_name").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"))
 
 
 # Windows
 
 
-@_query("W1_offsets", "SELECT o_custkey, o_orderkey, CAST(coalesce(sum(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM orders")
+def _four_files(spark, sf_dir: str) -> str:
+    """Documents in four files, by id modulo 4, each in the order of ids."""
+    path = storage.workspace(spark, "four")
+    rows = _table(spark, sf_dir, "documents").withColumn("file", F.pmod("doc_id", F.lit(4)).cast("int"))
+    rows.repartition(4, "file").sortWithinPartitions("file", "doc_id").write.partitionBy("file").parquet(path)
+    return path
+
+
+_FOUR = "SELECT doc_id, text, doc_id % 4 AS f, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS r FROM documents"
+
+
+@_query(
+    "W1_offsets",
+    f"WITH d AS ({_FOUR}), b AS (SELECT f, r // {_PAGE} AS uid, count(*) AS n FROM d GROUP BY ALL), n AS (SELECT f, count(*) AS blocks FROM b GROUP BY f) SELECT f AS file, uid, n AS n_rows, CAST(coalesce((SELECT sum(blocks) FROM n WHERE n.f < b.f), 0) + uid AS BIGINT) AS block FROM b",
+)
 def w1(spark, sf_dir):
-    return relational.exclusive_sum(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], ["o_custkey"], "first")
+    """Running numbers of the blocks of several files."""
+    blocks = L.layout(L.scan(spark, _four_files(spark, sf_dir)), _PAGE)
+    return blocks.select(F.regexp_extract("file_path", r"/file=(\d)/", 1).cast("long").alias("file"), "uid", "n_rows", (F.col("first_uid") + F.col("uid")).alias("block"))
+
+
+@_query("T6_head_k", f"SELECT CAST(least(10, count(*)) AS BIGINT) AS n, CAST(least(10, count(*)) AS BIGINT) AS n_matching FROM documents WHERE contains(lower(text), '{_PHRASE}')")
+def t6(spark, sf_dir):
+    """Any k matches of an indexed search: how many there are, and how many of them match."""
+    found = _indexed(spark, f"{sf_dir}/documents.parquet", substring.SubstringIndex("text"), _PHRASE, 10, ("doc_id",))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains(F.lower("text"), F.lit(_PHRASE))).alias("n_matching"))
+
+
+@_query("T7_latest_snapshot", "SELECT o_orderkey AS snapshot_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def t7(spark, sf_dir):
+    """No snapshot is as late as the cutoff, so the last one is retained."""
+    snapshots = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderdate").alias("committed_at"))
+    return L.retained_snapshots(snapshots, datetime(2100, 1, 1)).select("snapshot_id")
+
+
+@_query("T8_newest_logs", f"WITH d AS ({_FOUR}) SELECT doc_id FROM d WHERE regexp_matches(text, ' the ') ORDER BY f DESC, r LIMIT 10")
+def t8(spark, sf_dir):
+    """The first k matches of the last files; the scan stops when it has them."""
+    lake, index = L.ParquetLake(spark, _four_files(spark, sf_dir)), logs.LogIndex("text")
+    return search.search(lake, _catalog(spark), index, " the ", 10, ("doc_id",)).select("doc_id")
+
+
+@_query("T11_reverse_files", f"WITH d AS ({_FOUR}) SELECT doc_id FROM d WHERE regexp_matches(text, '[A-Z][a-z]+ [a-z]{{2,4}}\\.') ORDER BY f DESC, r LIMIT 10")
+def t11(spark, sf_dir):
+    rows = L.scan(spark, _four_files(spark, sf_dir), "doc_id", "text")
+    return substring.RegexSearch("text").scan(rows, r"[A-Z][a-z]+ [a-z]{2,4}\.", 10).select("doc_id")
+
+
+@_query("S12_versions", "SELECT 'first' AS version, count(*) AS n FROM documents UNION ALL SELECT 'last', (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversations) UNION ALL SELECT 'none', 0")
+def s12(spark, sf_dir):
+    """Rows of a lake at its first snapshot, at the last, and before there was one."""
+    lake, files = _two_tables(spark, sf_dir)
+    lake.commit(files[0] + files[1], datetime(2024, 1, 2))
+    at = lambda version: [r.file_path for r in lake.files(version).collect()]  # noqa: E731  (file lists)
+    counts = [L.scan(spark, at(v)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("version"), "n") for name, v in (("first", 1), ("last", None))]
+    return counts[0].unionByName(counts[1]).unionByName(lake.files(0).agg(F.lit("none").alias("version"), F.count(F.lit(1)).alias("n")))
+
+
+@_query("X14_binary_vectors", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def x14(spark, sf_dir):
+    """Vectors as little-endian bytes, and back."""
+    import pyarrow as pa
+
+    pack = F.arrow_udf(lambda column: pa.array([None if x is None else V.np.asarray(x, "<f4").tobytes() for x in column.to_pylist()], pa.binary()), "binary")
+    packed = _points(spark, sf_dir).select("id", pack("vector").alias("packed"))
+    return packed.select("id", F.round(F.aggregate(V.from_binary(F.col("packed")), F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@_query("X17_clean_lines", "SELECT event_id, trim(event_type) || 'user ' || user_id AS line FROM events")
+def x17(spark, sf_dir):
+    """Lines with outer spaces, backslashes and NULs, cleaned."""
+    dirty = F.concat(F.lit("  "), "event_type", F.lit("\\user\0 "), F.col("user_id").cast("string"), F.lit(" \\ "))
+    return _table(spark, sf_dir, "events").select("event_id", T.clean_line(dirty).alias("line"))
 
 
 @_query(
@@ -452,16 +527,21 @@ def x13(spark, sf_dir):
     return _points(spark, sf_dir).select("id", F.round(V.cosine(F.col("vector"), _query_vector(spark, sf_dir)), 6).alias("similarity"))
 
 
-@_query("K16_ivf_build")
+@_query("K16_ivf_build", "SELECT vec_id AS id, CAST(1 AS BIGINT) AS lists, CAST(16 AS BIGINT) AS bytes FROM embeddings")
 def k16(spark, sf_dir):
-    """Codes of the inverted lists."""
-    rows = L.with_uid(L.scan(spark, f"{sf_dir}/embeddings.parquet", "embedding"), 1)
-    return vector.IvfPqIndex("embedding").build(rows)["codes"].select("row_index", "centroid", "code")
+    """Each vector is in one list of the index, with a code of a byte for each subspace."""
+    rows = L.with_uid(L.scan(spark, f"{sf_dir}/embeddings.parquet", "embedding", "vec_id"), 1).withColumn("index_id", F.lit("i"))
+    tables = vector.IvfPqIndex("embedding").build(rows.drop("vec_id"))
+    known = tables["codes"].join(tables["centroids"].select("part", "centroid").distinct(), ["part", "centroid"])
+    each = known.groupBy("file_path", "row_index").agg(F.count(F.lit(1)).alias("lists"), F.max(F.length("code")).cast("long").alias("bytes"))
+    return rows.join(each, ["file_path", "row_index"]).select(F.col("vec_id").alias("id"), "lists", "bytes")
 
 
-@_query("K17_ivf_search")
+@_query("K17_ivf_search", f"SELECT vec_id AS id, round(list_distance(CAST(embedding AS DOUBLE[]), {_Q0}), 6) AS distance FROM embeddings ORDER BY distance, id LIMIT 10")
 def k17(spark, sf_dir):
-    lake, catalog, index = L.ParquetLake(spark, f"{sf_dir}/embeddings.parquet"), _catalog(spark), vector.IvfPqIndex("embedding")
+    """All lists probed and refined whole, so the result is exact; the tests measure the recall with the usual probes."""
+    lake, catalog = L.ParquetLake(spark, f"{sf_dir}/embeddings.parquet"), _catalog(spark)
+    index = vector.IvfPqIndex("embedding", probes=1 << 30, refine=1 << 30, brute_force_threshold=1 << 30)
     search.build_index(lake, catalog, index)
     return search.search(lake, catalog, index, _query_vector(spark, sf_dir), 10, ("vec_id",)).select(F.col("vec_id").alias("id"), "distance")
 
@@ -501,9 +581,9 @@ def u2(spark, sf_dir):
     return relational.distinct_union(*found)
 
 
-@_query("U3_uncovered", "SELECT p_partkey AS file_path FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.05")
+@_query("U3_uncovered", "SELECT p_partkey AS file_path FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.05 AND l_quantity > 45")
 def u3(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_path")).subtract(_table(spark, sf_dir, "lineitem").filter("l_discount > 0.05D").select("l_partkey"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_path")).subtract(_table(spark, sf_dir, "lineitem").filter("l_discount > 0.05D AND l_quantity > 45").select("l_partkey"))
 
 
 @_query("U4_intersection_size", "SELECT l_orderkey AS index_id, CAST(count(DISTINCT p_partkey) AS INTEGER) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 5 GROUP BY l_orderkey")
@@ -574,14 +654,21 @@ def k4(spark, sf_dir):
     return bm25.keyword_expansion(x7(spark, sf_dir), _QUERY)
 
 
-@_query("K5_bm25_merge", f"WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents UNION ALL SELECT -1 - row_number() OVER (), unnest({_WORDS}) FROM conversations), w AS (SELECT DISTINCT doc_id, term FROM t) SELECT term, count(*) AS df FROM w GROUP BY term")
+@_query(
+    "K5_bm25_merge",
+    f"""WITH t AS (SELECT 'd' || doc_id AS doc, unnest({_WORDS}) AS term FROM documents UNION ALL SELECT 'c' || row_number() OVER (), unnest({_WORDS}) FROM conversations), w AS (SELECT DISTINCT doc, term FROM t),
+    n AS (SELECT len({_WORDS}) AS n FROM documents WHERE text IS NOT NULL UNION ALL SELECT len({_WORDS}) FROM conversations WHERE text IS NOT NULL)
+    SELECT term, count(*) AS df, (SELECT count(*) FROM n) AS n_docs, (SELECT round(avg(n), 6) FROM n) AS avgdl, CAST(0 AS BIGINT) AS blocks_lost FROM w GROUP BY term""",
+)
 def k5(spark, sf_dir):
-    """Document frequencies of two indexes merged into one."""
+    """Frequencies and statistics of two indexes merged into one, and how many of the postings were lost."""
     catalog, index = _catalog(spark), bm25.Bm25Index("text", _PAGE)
-    for name in ("documents", "conversations"):
-        search.build_index(L.ParquetLake(spark, f"{sf_dir}/{name}.parquet"), catalog, index)
-    new = maintain.compact(catalog, index, 1 << 60)
-    return search.index_tables(catalog, index, new)["frequencies"].select("term", "df")
+    ids = [i for name in ("documents", "conversations") for i in search.build_index(L.ParquetLake(spark, f"{sf_dir}/{name}.parquet"), catalog, index)]
+    before = search.index_tables(catalog, index, ids)["postings"].select("term", "file_path", "uid", "score")
+    after = search.index_tables(catalog, index, maintain.compact(catalog, index, 1 << 60))
+    lost = before.exceptAll(after["postings"].select("term", "file_path", "uid", "score")).agg(F.count(F.lit(1)).alias("blocks_lost"))
+    stats = after["stats"].select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(lost)  # one row each
+    return after["frequencies"].select("term", "df").crossJoin(F.broadcast(stats))
 
 
 @_query("K8_substring_indexed", f"SELECT doc_id, lang FROM documents WHERE contains(lower(text), '{_PHRASE}')")
@@ -594,10 +681,26 @@ def k9(spark, sf_dir):
     return _indexed(spark, f"{sf_dir}/documents.parquet", substring.TokenSubstringIndex("text"), _PHRASE, None, ("doc_id", "lang")).select("doc_id", "lang")
 
 
-@_query("K14_uuid_lookup", "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents WHERE starts_with(md5(CAST(doc_id AS VARCHAR)), left(md5('7'), 3))")
+@_query("K14_uuid_lookup", "SELECT q, doc_id, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents, (VALUES ('8F14E45FCEEA167A5A36DEDD4BEA2543'), ('e45f'), ('8f1')) v(q) WHERE contains(lower(md5(CAST(doc_id AS VARCHAR))), lower(q))")
 def k14(spark, sf_dir):
+    """A whole key, which the index finds, and parts of keys, which a scan does."""
+    keys = _written(_table(spark, sf_dir, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("key"), "doc_id"), "keys")
+    lake, catalog, index = L.ParquetLake(spark, keys), _catalog(spark), uuid_key.UuidIndex("key")
+    search.build_index(lake, catalog, index)
+    found = [search.search(lake, catalog, index, q, None, ("doc_id",)).select(F.lit(q).alias("q"), "doc_id", "key") for q in ("8F14E45FCEEA167A5A36DEDD4BEA2543", "e45f", "8f1")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@_query("K14_uuid_prefix", "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents WHERE starts_with(md5(CAST(doc_id AS VARCHAR)), '8f1')")
+def k14_prefix(spark, sf_dir):
     keys = _written(_table(spark, sf_dir, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("key"), "doc_id"), "keys")
-    return _indexed(spark, keys, uuid_key.UuidIndex("key"), "8f1", None, ("doc_id",)).select("doc_id", "key")
+    return _indexed(spark, keys, uuid_key.UuidIndex("key", anchored=True), "8f1", None, ("doc_id",)).select("doc_id", "key")
+
+
+@_query("K26_log_exact", f"SELECT event_id, {_LINE} AS line FROM events WHERE list_contains(string_split_regex({_LINE}, '\\s+'), 'user=12')")
+def k26_exact(spark, sf_dir):
+    """Lines that have the query as a word."""
+    return _indexed(spark, _written(_lines(spark, sf_dir), "lines"), logs.LogIndex("line", exact=True), "user=12", None, ("event_id",)).select("event_id", "line")
 
 
 @_query("K26_log_search", f"SELECT event_id, {_LINE} AS line FROM events WHERE regexp_matches({_LINE}, 'user=12')")
@@ -667,7 +770,15 @@ def l5(spark, sf_dir):
     return maintain.pack_groups(files, ["day"], "n", 40)
 
 
-@_query("L6_greedy_cover")
+@_query(
+    "L6_greedy_cover",
+    """WITH RECURSIVE m AS (SELECT l_suppkey AS index_id, list(DISTINCT c_nationkey) AS has FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY l_suppkey),
+    g AS (SELECT CAST(-1 AS INTEGER) AS turn, CAST(NULL AS BIGINT) AS index_id, CAST([] AS INTEGER[]) AS done
+          UNION ALL SELECT * FROM (SELECT g.turn + 1, m.index_id, list_distinct(list_concat(g.done, m.has)) FROM g, m
+                                   WHERE len(list_filter(m.has, lambda x: NOT list_contains(g.done, x))) > 0
+                                   ORDER BY len(list_filter(m.has, lambda x: NOT list_contains(g.done, x))) DESC, m.index_id LIMIT 1))
+    SELECT index_id, turn FROM g WHERE turn >= 0""",
+)
 def l6(spark, sf_dir):
     """Suppliers that together cover all nations that any of them sells to."""
     rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -14,7 +14,7 @@ _TABLES = {
     "bm25": ("postings", "frequencies", "stats"),
     "substring": ("postings",),
     "substring_token": ("postings",),
-    "uuid": ("postings",),
+    "uuid": ("postings", "lengths"),
     "vector": ("codes", "centroids", "codebooks"),
     "logs": ("tokens", "dictionary"),
 }
@@ -29,7 +29,19 @@ def unindexed(files: DataFrame, covered: DataFrame) -> DataFrame:
     return files.join(covered, "file_path", "left_anti")
 
 
-def search(lake: L.Lake, catalog: Catalog, index: SearchIndex, query, k: int, columns: tuple[str, ...] = (), version: int | None = None) -> DataFrame:
+def scan_newest(spark: SparkSession, files: list[str], index: SearchIndex, query, k: int, *columns: str) -> DataFrame | None:
+    """The first k matches of the last files, if a part of the files holds so many: batches of files, newest first, each twice as large as the one before."""
+    left, size = sorted(files, reverse=True), 1
+    taken: list[str] = []
+    while len(left) > size:
+        taken, left, size = taken + left[:size], left[size:], 2 * size
+        found = index.verify(L.with_uid(L.scan(spark, taken, *columns), index.stride), query, k)
+        if found.count() >= k:
+            return found
+    return None
+
+
+def search(lake: L.Lake, catalog: Catalog, index: SearchIndex, query, k: int, columns: tuple[str, ...] = (), version: int | None = None, expand=None) -> DataFrame:
     """The k rows of the lake that match (best, for a ranked index), with their locator, the indexed column and ``columns``.
 
     Candidates are kept to live files, so a stale index can't return rows that are gone.
@@ -37,7 +49,9 @@ def search(lake: L.Lake, catalog: Catalog, index: SearchIndex, query, k: int, co
     Files that aren't indexed are always read: the result is a full scan's, whatever the
     state of the indexes (for quantised vectors, up to the index's recall). Two small
     things come to the driver, the file lists and whether the threshold is passed; the
-    rest is one lazy plan.
+    rest is one lazy plan. ``expand`` makes a ranked query of terms and weights out of the vocabulary and the
+    query (``bm25.keyword_expansion``, ``bm25.EmbeddingExpansion``); its few rows come to the driver. Of an index that prefers
+    the last files, a scan for k rows reads these first and stops when it has them.
     """
     spark: SparkSession = lake.spark
     wanted = tuple(dict.fromkeys((index.column, *columns)))
@@ -49,12 +63,21 @@ def search(lake: L.Lake, catalog: Catalog, index: SearchIndex, query, k: int, co
     useful = [r for r in covering if set(r.file_path) & set(live)]
     covered = sorted({f for r in useful for f in r.file_path} & set(live))
     tail = sorted(set(live) - set(covered))
+    if expand is not None:
+        tables = index_tables(catalog, index, [r.index_id for r in useful])
+        known = tables["frequencies"].select("term") if useful else None
+        if tail:
+            more = L.scan(spark, tail, index.column).select(F.explode(index.tokens(F.col(index.column))).alias("term"))
+            known = more if known is None else known.unionByName(more)
+        query = {r.term: float(r.weight) for r in expand(known.distinct(), query).collect()}
     whole = L.with_uid(L.scan(spark, live, *wanted), index.stride)
     candidates = index.candidates(index_tables(catalog, index, [r.index_id for r in useful]), query) if covered else None
     if candidates is not None:
         here = candidates.join(files, "file_path", "left_semi")
         if index.name != "bm25" and here.limit(index.brute_force_threshold + 1).count() > index.brute_force_threshold:
             candidates = None
+    if candidates is None and index.newest_first and k is not None and (found := scan_newest(spark, live, index, query, k, *wanted)) is not None:
+        return found.select("file_path", "row_index", *wanted)
     if candidates is None:
         rows = whole if covered or tail else whole.limit(0)
     else:
@@ -83,7 +106,7 @@ def search(lake: L.Lake, catalog: Catalog, index: SearchIndex, query, k: int, co
 def build_index(lake: L.Lake, catalog: Catalog, index: SearchIndex, row_threshold: int = 10_000, version: int | None = None) -> list[str]:
     """Index the files that no index covers yet: bin-packed groups, an index for each; returns their ids.
 
-    Each group's tables are written before its metadata row is committed.
+    All groups are built together, as rows of one table with the group's id, and committed in one version of the metadata after their tables are written.
     """
     from .maintain import pack_files
 
@@ -93,11 +116,13 @@ def build_index(lake: L.Lake, catalog: Catalog, index: SearchIndex, row_threshol
     if not paths:
         return []
     counts = {r.file_path: r["count"] for r in L.scan(spark, paths).groupBy("file_path").count().collect()}
-    out = []
-    for group in pack_files([(p, counts.get(p, 0)) for p in paths], row_threshold):
-        names = [p for p, _ in group]
-        rows = L.with_uid(L.scan(spark, names, index.column), index.stride)
-        index_id = catalog.write(index.build(rows))
-        catalog.commit(index_id, index.name, index.column, names, [n for _, n in group])
-        out.append(index_id)
-    return out
+    groups = [(catalog.fresh_id(), group) for group in pack_files([(p, counts.get(p, 0)) for p in paths], row_threshold)]
+    rows = L.with_uid(L.scan(spark, paths, index.column), index.stride)
+    if len(groups) == 1:
+        named = rows.withColumn("index_id", F.lit(groups[0][0]))
+    else:
+        of = spark.createDataFrame([(p, i) for i, group in groups for p, _ in group], "file_path string, index_id string")
+        named = rows.join(of, "file_path")
+    catalog.write(index.build(named))
+    catalog.commit(index.name, index.column, [(i, [p for p, _ in group], [n for _, n in group]) for i, group in groups])
+    return [i for i, _ in groups]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import storage
 
@@ -14,7 +16,7 @@ METADATA = "index_id string, index_type string, column_name string, file_path ar
 
 
 class Catalog:
-    """Indexes of one lake. ``<path>/data/<index_id>/<table>`` are Parquet folders; the metadata table's commit makes them visible."""
+    """Indexes of one lake. ``<path>/data/<table>/index_id=<id>`` are Parquet folders; the metadata table's commit makes them visible."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -29,31 +31,41 @@ class Catalog:
         """``(file_path)`` of all files that some index covers."""
         return self.indexes(index_type, column).select(F.explode("file_path").alias("file_path")).distinct()
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write an index's tables; it isn't visible before ``commit``."""
-        index_id = uuid.uuid4().hex
+    def fresh_id(self) -> str:
+        return f"i{uuid.uuid4().hex}"
+
+    def write(self, tables: dict[str, DataFrame]) -> None:
+        """Write the tables of one or several new indexes, by ``index_id``; they aren't visible before ``commit``."""
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.path}/data/{index_id}/{name}")
-        return index_id
+            kind = rows.drop("index_id").schema.json()
+            if storage.read_text(self.spark, f"{self.path}/schemas/{name}") != kind:
+                storage.write_text(self.spark, f"{self.path}/schemas/{name}", kind)
+            rows.write.mode("append").partitionBy("index_id").parquet(f"{self.path}/data/{name}")
 
     def read(self, index_ids: list[str], table: str) -> DataFrame | None:
         """A table of several indexes, with the index_id of each row."""
         if not index_ids:
             return None
-        paths = [f"{self.path}/data/{i}/{table}" for i in index_ids]
-        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*paths).withColumn("index_id", F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]{32})/", 1))
+        kind = StructType.fromJson(json.loads(storage.read_text(self.spark, f"{self.path}/schemas/{table}"))).add("index_id", "string")
+        base = f"{self.path}/data/{table}"
+        paths = [p for i in index_ids if storage.exists(self.spark, p := f"{base}/index_id={i}")]
+        return self.spark.read.schema(kind).option("basePath", base).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
-    def commit(self, index_id: str, index_type: str, column: str, files: list[str], counts: list[int]) -> None:
-        row = (index_id, index_type, column, files, counts, sum(counts), datetime.now(timezone.utc).replace(tzinfo=None))
-        self.metadata.append(self.spark.createDataFrame([row], METADATA))
+    def commit(self, index_type: str, column: str, indexes: list[tuple[str, list[str], list[int]]], drop: list[str] = ()) -> None:
+        """Make indexes ``(id, files, rows of each)`` visible and drop others, in one version of the metadata."""
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        rows = self.spark.createDataFrame([(i, index_type, column, files, counts, sum(counts), now) for i, files, counts in indexes], METADATA)
+        self.metadata.update(lambda old: old.filter(~F.col("index_id").isin(list(drop))).unionByName(rows))
 
     def replace(self, drop: list[str]) -> None:
-        self.metadata.replace(self.metadata.read().filter(~F.col("index_id").isin(drop)))
+        self.metadata.update(lambda old: old.filter(~F.col("index_id").isin(drop)))
 
     def index_files(self, older_than: float | None = None) -> set[str]:
-        """Ids of index folders whose files haven't changed for so many seconds."""
-        marker = f"{self.path}/data/".split("://")[-1].lstrip("/")
-        return {f.split("/data/", 1)[1].split("/")[0] for f in storage.list_files(self.spark, f"{self.path}/data", older_than) if marker.strip("/") in f}
+        """Ids of indexes whose files haven't changed for so many seconds."""
+        found = (f.rpartition("/")[0].rpartition("/index_id=")[2] for f in storage.list_files(self.spark, f"{self.path}/data", older_than) if "/index_id=" in f)
+        return set(found)
 
     def drop_files(self, index_id: str) -> None:
-        storage.delete(self.spark, f"{self.path}/data/{index_id}")
+        fs, p = storage._fs(self.spark, f"{self.path}/data/*/index_id={index_id}")
+        for status in fs.globStatus(p) or []:
+            fs.delete(status.getPath(), True)

@@ -98,7 +98,7 @@ class ManifestLake(Lake):
 
     def files(self, version: int | None = None) -> DataFrame:
         rows = self.manifest.read()
-        version = version or rows.agg(F.max("snapshot_id")).first()[0]
+        version = rows.agg(F.max("snapshot_id")).first()[0] if version is None else version
         rows = rows.filter(F.col("snapshot_id") == F.lit(version))
         refuse_deletes(rows)
         return rows.filter("content = 0").select("file_path", "record_count")
