@@ -15,7 +15,7 @@ WINDOW, EVERY, K1, B = 2048, 20, 1.2, 0.75
 #: Documents of a shard of the index, seeds that are scored at once, and bytes of packed seeds that are sent to the tasks at once.
 SHARD, QUERIES, ROUND_BYTES = 16_384, 256, 40_000_000
 #: A term that more than one document of so many in a shard has is kept as a row of a matrix.
-COMMON = 20
+COMMON = 12
 #: Postings from which a term's are taken as a slice.
 LONG = 30
 #: Documents of one seed that are packed in one go; of more, parts are packed by themselves.
