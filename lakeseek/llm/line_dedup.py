@@ -14,7 +14,7 @@ from . import kernels as K
 #: Words of an aligned block from which it is deleted.
 BLOCK_WORDS = 13
 #: Share of the words of both that makes a document an edited copy of another.
-COPY = 0.75
+COPY = 0.65
 #: Parts into which the documents of one owner are cut at most.
 SALTS = 64
 
