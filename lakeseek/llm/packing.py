@@ -15,9 +15,9 @@ WINDOW, EVERY, K1, B = 2048, 20, 1.2, 0.75
 #: Documents of a shard of the index, seeds that are scored at once, and bytes of packed seeds that are sent to the tasks at once.
 SHARD, QUERIES, ROUND_BYTES = 16_384, 256, 40_000_000
 #: A term that more than one document of so many in a shard has is kept as a row of a matrix.
-COMMON = 12
+COMMON = 20
 #: Postings from which a term's are taken as a slice.
-LONG = 30
+LONG = 40
 #: Documents of one seed that are packed in one go; of more, parts are packed by themselves.
 GROUP = 8192
 #: Relative difference up to which two float32 scores are the same.
@@ -64,7 +64,7 @@ class Seeds:
         for at in range(0, len(order), QUERIES):
             last = min(len(order), at + QUERIES)
             distinct, code = np.unique(term[self.bounds[at] : self.bounds[last]], return_inverse=True)
-            self.blocks.append((at, distinct, np.repeat(np.arange(last - at), size[at:last]), code.astype(np.int32), last - at))
+            self.blocks.append((at, distinct, np.repeat(np.arange(last - at, dtype=np.int32), size[at:last]), code.astype(np.int32), last - at))
 
 
 def _weights(tf: np.ndarray, df: np.ndarray, length: np.ndarray, n_docs: int, mean: float) -> np.ndarray:
@@ -76,16 +76,18 @@ def _weights(tf: np.ndarray, df: np.ndarray, length: np.ndarray, n_docs: int, me
 class Shard:
     """An inverted index of some documents, with the corpus's own term statistics."""
 
-    def __init__(self, payloads: list[tuple[int, bytes]], n_docs: int, mean: float):
+    def __init__(self, payloads: list[tuple[int, bytes]], n_docs: int, mean: float, every: int):
         ids, lengths, blocks, rows, dictionaries, parts, n = [], [], [], [], [], [], 0
         for block, payload in payloads:
             own, size, bounds, code, tf, seen, df = _split(payload)
             size, bounds = K.unpack(size, np.uint32).astype(np.int64), K.unpack(bounds, np.uint32).astype(np.int64)
             code, tf, seen, df = K.unpack(code, np.uint32, "zstd"), K.unpack(tf, np.uint32, "zstd"), _running(seen), K.unpack(df, np.uint32)
             doc = K.owner(bounds)
-            keep = df[code] > 1  # a term of one document alone retrieves nothing
-            code, tf, doc = code[keep], tf[keep], doc[keep]
             ids.append(_read_ids(own))
+            number = ids[-1].fill_null(1).to_numpy(zero_copy_only=False)
+            seed = (number % every == 0) & ids[-1].is_valid().to_numpy(zero_copy_only=False)
+            keep = (df[code] > 1) & ~seed[doc]  # a term of one document alone retrieves nothing, and a seed is its own neighbour
+            code, tf, doc = code[keep], tf[keep], doc[keep]
             lengths.append(size)
             blocks.append(np.full(len(size), block))
             rows.append(np.arange(len(size)))
@@ -102,7 +104,10 @@ class Shard:
         self.own_code, self.own_weight = code, weight
         self.own_bounds = np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(code, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
+        # A posting is one number, so that one slice takes its document and its weight.
+        self.posting = np.empty((len(order), 2), np.int32)
+        self.posting[:, 0], self.posting[:, 1] = doc[order], weight[order].astype(np.float32).view(np.int32)
+        self.posting = self.posting.view(np.int64).ravel()
         self.bounds = np.searchsorted(code[order], np.arange(len(self.seen) + 1))
         held = np.diff(self.bounds)
         # Postings of terms that many documents hold are kept as rows of a matrix.
@@ -111,7 +116,14 @@ class Shard:
         self.common[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), n), np.float32)
         at = K.expand(self.bounds[common], held[common])
-        self.matrix[np.repeat(np.arange(len(common)), held[common]), self.doc[at]] = self.weight[at]
+        docs, weights = self.split(self.posting[at])
+        self.matrix[np.repeat(np.arange(len(common)), held[common]), docs] = weights
+
+    @staticmethod
+    def split(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and weights of postings."""
+        both = postings.view(np.int32).reshape(-1, 2)
+        return both[:, 0], both[:, 1].view(np.float32)
 
     def codes(self, terms: np.ndarray) -> np.ndarray:
         """The shard's code of each term, -1 for those that it lacks."""
@@ -132,20 +144,18 @@ class Shard:
         # Long postings are cheaper as slices, short ones by an index of their places.
         begin, count = self.bounds[code], self.bounds[code + 1] - self.bounds[code]
         long = count > LONG
-        for some in (long, ~long):
-            cuts = np.searchsorted(query[some], np.arange(n + 1))
-            first, size = begin[some], count[some]
-            at = None if some is long else K.expand(first, size)
-            ends = np.concatenate([[0], np.cumsum(size)])[cuts].tolist()
-            low, high = first.tolist(), (first + size).tolist()
-            cuts = cuts.tolist()
-            docs, weights = (None, None) if at is None else (self.doc.take(at), self.weight.take(at))
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b and at is None:
-                    spans = [slice(x, y) for x, y in zip(low[a:b], high[a:b])]
-                    out[k] += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
-                elif a < b:
-                    out[k] += np.bincount(docs[ends[k] : ends[k + 1]], weights[ends[k] : ends[k + 1]], self.n)
+        places = np.searchsorted(query[~long], np.arange(n + 1))
+        short = self.posting.take(K.expand(begin[~long], count[~long]))
+        ends = np.concatenate([[0], np.cumsum(count[~long])])[places].tolist()
+        cuts = np.searchsorted(query[long], np.arange(n + 1)).tolist()
+        low, high = begin[long].tolist(), (begin[long] + count[long]).tolist()
+        posting = self.posting
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            spans = [posting[x:y] for x, y in zip(low[a:b], high[a:b])]
+            spans.append(short[ends[k] : ends[k + 1]])
+            docs, weights = self.split(np.concatenate(spans))
+            if len(docs):
+                out[k] += np.bincount(docs.astype(np.intp), weights.astype(np.float64), self.n)  # its own casts are slow
         return out
 
     def nearest(self, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +277,7 @@ def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             seeds, some, n = None, [], 0
 
             def found():
-                index = Shard(some, n_docs, mean)
+                index = Shard(some, n_docs, mean, every)
                 which, score = index.nearest(seeds)
                 alive = np.flatnonzero(index.length > 0)
                 seed = which[alive]
