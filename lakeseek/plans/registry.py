@@ -808,6 +808,26 @@ def t10(spark, sf_dir):
     return N.gram_postings(normal, ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_grams"))
 
 
+def phases(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame | None]]:
+    """Build and search of indexes over the whole tables, one after the other, to be timed apart."""
+    out: dict[str, Callable[[], DataFrame | None]] = {}
+
+    def add(name, table, index, query, k, ranked_pages=False):
+        lake, catalog = L.ParquetLake(spark, f"{sf_dir}/{table}.parquet"), _catalog(spark)
+        made: list[str] = []
+        out[f"{name}_build"] = lambda: made.extend(search.build_index(lake, catalog, index))
+        if ranked_pages:
+            out[f"{name}_search"] = lambda: index.top_pages(search.index_tables(catalog, index, made), query, k)
+        else:
+            out[f"{name}_search"] = lambda: search.search(lake, catalog, index, query, k)
+
+    add("K2_bm25_pages", "documents", bm25.Bm25Index("text", _PAGE), _QUERY, 10, True)
+    add("K3_bm25_rows", "documents", bm25.Bm25Index("text", _PAGE), _QUERY, 10)
+    add("K8_substring", "documents", substring.SubstringIndex("text"), _PHRASE, None)
+    add("K17_ivf", "embeddings", vector.IvfPqIndex("embedding"), list(_query_vector(spark, sf_dir)), 10)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
