@@ -124,9 +124,9 @@ def without_shared_lines(docs: list[tuple], least: int = 13) -> list[tuple]:
     return out
 
 
-def edited_copies(docs: list[tuple], share: float = 0.75) -> set:
+def edited_copies(docs: list[tuple]) -> set:
     """Ids of documents that are told to be edited copies of the first holder of some run of their lines, or that have the same lines as an earlier one."""
-    from lakeseek.llm.line_dedup import edited_copy, patience
+    from lakeseek.llm.line_dedup import COPY, edited_copy, patience
 
     import numpy as np
 
@@ -146,7 +146,7 @@ def edited_copies(docs: list[tuple], share: float = 0.75) -> set:
                 right = [k for k, x in enumerate(b) if x in a]
                 pairs = patience([a[k] for k in left], [b[k] for k in right])
                 x, y = (np.array([side[p[n]] for p in pairs], np.int64) for n, side in ((0, left), (1, right)))
-                if a == b or edited_copy(np.array([n for _, n in a]), np.array([n for _, n in b]), x, y, share):
+                if a == b or edited_copy(np.array([n for _, n in a]), np.array([n for _, n in b]), x, y, COPY):
                     out.add(i)
     return out
 
