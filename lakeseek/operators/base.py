@@ -30,6 +30,8 @@ class SearchIndex(ABC):
 
     def __init__(self, column: str, brute_force_threshold: int = BRUTE_FORCE_THRESHOLD):
         self.column, self.brute_force_threshold = column, brute_force_threshold
+        #: Folders that ``build`` has written besides the tables; they can go when these are stored.
+        self.scratch: list[str] = []
 
     @abstractmethod
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:

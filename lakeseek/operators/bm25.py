@@ -120,6 +120,7 @@ class Bm25Index(SearchIndex):
         each = words.select("index_id", "file_path", "uid", "row_index", F.size("words").cast("long").alias("length"), F.posexplode_outer("words").alias("pos", "term"))
         # A row has its terms' postings together already, so they are counted where they are.
         path = workspace(spark, "terms")
+        self.scratch.append(path)
         each.groupBy("index_id", "file_path", "uid", "row_index", "term").agg(F.count("pos").alias("tf"), F.first("length").alias("length"), F.coalesce(F.min("pos") == 0, F.lit(True)).alias("first")).write.parquet(path)
         made = spark.read.parquet(path)
         stats = made.filter("first").groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))

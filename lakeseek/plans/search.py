@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.base import SearchIndex
 from ..operators.bm25 import Bm25Index, corpus_stats
 from ..sources import lake as L
+from ..sources import storage
 from ..sources.catalog import Catalog
 
 _TABLES = {
@@ -124,5 +125,7 @@ def build_index(lake: L.Lake, catalog: Catalog, index: SearchIndex, row_threshol
         of = spark.createDataFrame([(p, i) for i, group in groups for p, _ in group], "file_path string, index_id string")
         named = rows.join(of, "file_path")
     catalog.write(index.build(named))
+    while index.scratch:
+        storage.delete(spark, index.scratch.pop())
     catalog.commit(index.name, index.column, [(i, [p for p, _ in group], [n for _, n in group]) for i, group in groups])
     return [i for i, _ in groups]
