@@ -15,6 +15,8 @@ from .token_counts import _join, _split
 
 #: Words of a gram, least Jaccard similarity, token orders, and sets that are compared in one piece.
 GRAM, THRESHOLD, ORDERS, CHUNK = 3, 0.6, 3, 400
+#: Tokens of a part of a big component, and pairs of sets that are counted at once, so that memory stays small.
+PART_TOKENS, CELLS = 2_000_000, 1 << 20
 
 _ROWS = "block long, bucket int, part int, payload binary"
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -135,7 +137,7 @@ def _placed(sets: DataFrame, chunk: int, threshold: float) -> DataFrame:
     """The sets with the pieces in which they are compared: ``(group, i, j, side)``.
 
     Sets that share a token of their prefixes under the first order are of one
-    component, so a component holds all partners. One of more than ``chunk`` sets is
+    component, so a component holds all partners. One of more than ``chunk`` sets, or ``PART_TOKENS`` tokens, is
     cut into parts of about that many, and each two parts are a piece.
     """
 
@@ -179,10 +181,11 @@ def _placed(sets: DataFrame, chunk: int, threshold: float) -> DataFrame:
     # Sizes of partners differ by a factor of 1 / threshold at most, so their classes by one.
     level = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
     labelled = numbered.join(label, "node").withColumn("level", level)
-    counts = labelled.groupBy("group", "level").agg(F.count(F.lit(1)).alias("n"))
+    counts = labelled.groupBy("group", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_tokens"))
+    parts = F.ceil(F.greatest(F.col("n") / chunk, F.col("n_tokens") / PART_TOKENS)).cast("int")
     # One row for each component; a component has few classes.
-    plan = counts.groupBy("group").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("n") / chunk).cast("int")))).alias("parts"))
-    placed = labelled.join(plan, "group").withColumn("whole", F.col("all") <= chunk)
+    plan = counts.groupBy("group").agg(F.sum("n").alias("all"), F.sum("n_tokens").alias("all_tokens"), F.map_from_entries(F.collect_list(F.struct("level", parts))).alias("parts"))
+    placed = labelled.join(plan, "group").withColumn("whole", (F.col("all") <= chunk) & (F.col("all_tokens") <= PART_TOKENS))
     own = F.when(F.col("whole"), 0).otherwise(F.pmod(F.xxhash64("key"), F.element_at("parts", F.col("level"))).cast("int"))
     code = lambda level, part: level.cast("long") * F.lit(1 << 32) + part
     near = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.coalesce(F.try_element_at("parts", F.col("level") + d), F.lit(0))), lambda k: k < F.coalesce(F.try_element_at("parts", F.col("level") + d), F.lit(0))), lambda k: code(F.col("level") + d, k))))
@@ -253,8 +256,10 @@ def _common(row: np.ndarray, code: np.ndarray, sides: list[np.ndarray], candidat
     out = np.zeros((n, m), np.float32)
     begin = np.concatenate([[0], np.cumsum(held[1])])
     some = np.flatnonzero(few[c0])
-    for at in range(0, len(some), 1 << 20):  # entries at a time, so that memory stays small
-        part = some[at : at + (1 << 20)]
+    ends, at = np.cumsum(held[1][c0[some]]), 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, "right")))
+        part, at = some[at:to], to
         count = held[1][c0[part]]
         cell = np.repeat(r0[part] * m, count) + r1[K.expand(begin[c0[part]], count)]
         out += np.bincount(cell, minlength=n * m).reshape(n, m)

@@ -1,13 +1,16 @@
 """The n-gram Jaccard join, decontamination, line dedup."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from compare import rows
-from lakeseek.llm import registry
+from lakeseek.llm import jaccard, registry
+from lakeseek.llm.components import components
 from lakeseek.llm.decontaminate import contamination, decontaminate
 from lakeseek.llm.jaccard import drop_near_duplicates, ngram_jaccard_join, similar_sets
 from lakeseek.llm.line_dedup import line_dedup, patience
@@ -64,6 +67,45 @@ def test_pieces_and_orders_change_nothing(copies, chunk, orders):
     assert _near(similar_sets(copies, chunk=chunk, orders=orders)) == brute.similar_sets(_pairs(copies))
 
 
+def test_pieces_of_few_tokens_change_nothing(copies, monkeypatch):
+    expected = sorted(map(tuple, ngram_jaccard_join(copies).collect()))
+    monkeypatch.setattr(jaccard, "PART_TOKENS", 50)
+    placed = jaccard._placed(jaccard._sets(copies, "doc_id", "text", 3, 0.6)[1], 400, 0.6)
+    assert placed.filter("i <> j").count()
+    assert sorted(map(tuple, ngram_jaccard_join(copies).collect())) == expected
+
+
+def test_counting_of_common_tokens_takes_little_memory():
+    sets, held, n = 400, 20, 50_000
+    row = np.sort(np.random.default_rng(1).random((n, sets)).argsort(1)[:, :held], axis=1).ravel()
+    code = np.repeat(np.arange(n), held)
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    tracemalloc.start()
+    out = jaccard._common(row, code, [np.arange(sets)] * 2, np.ones((sets, sets), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    each = np.zeros((sets, n), np.float32)
+    each[row, code] = 1
+    assert (out == each @ each.T).all()
+    assert peak < 300e6
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_of_few_edges_take_few_jobs(spark, kind):
+    rng = random.Random(3)
+    numbers = [(k, k + 1) for k in range(-30, 30)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(7, 7)]
+    edges = spark.createDataFrame(numbers, "a long, b long")
+    edges = edges.select(*((F.unhex(F.hex(c)) if kind == "binary" else F.col(c)).alias(c) for c in ("a", "b")))
+    expected = sorted(map(tuple, components(edges, small=0).collect()))
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        assert sorted(map(tuple, components(edges).collect())) == expected
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 12
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_one_of_each_group_stays(copies, awkward):
     for docs in (copies, awkward):
         left = drop_near_duplicates(docs, chunk=20)
