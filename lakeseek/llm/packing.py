@@ -150,12 +150,18 @@ class Shard:
         cuts = np.searchsorted(query[long], np.arange(n + 1)).tolist()
         low, high = begin[long].tolist(), (begin[long] + count[long]).tolist()
         posting = self.posting
+        # Arrays that are kept between queries are cheaper than new ones, whose pages the system clears each time.
+        sizes = np.diff(ends, prepend=0)[1:] + np.bincount(query[long], count[long], n).astype(np.int64)
+        most = int(sizes.max()) if n else 0
+        both, docs, weights = np.empty(most, np.int64), np.empty(most, np.intp), np.empty(most)
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             spans = [posting[x:y] for x, y in zip(low[a:b], high[a:b])]
             spans.append(short[ends[k] : ends[k + 1]])
-            docs, weights = self.split(np.concatenate(spans))
-            if len(docs):
-                out[k] += np.bincount(docs.astype(np.intp), weights.astype(np.float64), self.n)  # its own casts are slow
+            m = sizes[k]
+            if m:
+                np.concatenate(spans, out=both[:m])
+                docs[:m], weights[:m] = self.split(both[:m])
+                out[k] += np.bincount(docs[:m], weights[:m], self.n)  # its own casts are slow
         return out
 
     def nearest(self, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,13 @@
 
 import collections
 
+import numpy as np
 import pytest
 
 import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
-from lakeseek.llm.packing import nearest_seeds, pack_documents
+from lakeseek.llm.packing import Shard, nearest_seeds, pack_documents
 from lakeseek.llm.quality import quality
 
 
@@ -94,3 +95,19 @@ def test_stages_keep_columns_and_cases(spark, sf_dir, awkward):
     # What no line was taken from stays, empty or not.
     ids = [r.doc_id for r in deduped.collect()]
     assert {3, 4, 5, 8, None} <= set(ids) and 2 not in ids
+
+
+def test_scores_of_a_shard_are_sums_of_its_postings():
+    rng = np.random.default_rng(5)
+    shard, n_docs, n_terms = Shard.__new__(Shard), 300, 40
+    weight = rng.random((n_terms, n_docs)).astype(np.float32) * (rng.random((n_terms, n_docs)) < np.linspace(0.005, 0.9, n_terms)[:, None])
+    term, doc = np.nonzero(weight)
+    shard.n, shard.seen = n_docs, np.arange(n_terms, dtype=np.uint64)
+    shard.posting = np.stack([doc.astype(np.int32), weight[term, doc].view(np.int32)], 1).view(np.int64).ravel()
+    shard.bounds = np.searchsorted(term, np.arange(n_terms + 1))
+    shard.common = np.where(np.arange(n_terms) >= 30, np.arange(n_terms) - 30, -1)
+    shard.matrix = weight[30:].astype(np.float32)
+    held = [[], [0], [39], list(range(40)), [], [29, 1], [5, 31]]  # queries without terms, with short, long and common ones
+    query, place = np.repeat(np.arange(len(held)), [len(x) for x in held]), np.array([x for own in held for x in own])
+    out = shard.scores(np.arange(n_terms + 1, dtype=np.uint64), query, place, len(held))
+    assert np.allclose(out, [weight[x].sum(0) for x in held], rtol=1e-5)
