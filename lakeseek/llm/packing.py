@@ -18,6 +18,8 @@ SHARD, QUERIES, ROUND_BYTES = 16_384, 256, 40_000_000
 COMMON = 20
 #: Postings from which a term's are taken as a slice.
 LONG = 40
+#: Postings from which a shard takes no further block, cells of its matrix at most, and documents whose best seeds are sought at once.
+POSTINGS, CELLS, STEP = 1 << 23, 1 << 24, 1024
 #: Documents of one seed that are packed in one go; of more, parts are packed by themselves.
 GROUP = 8192
 #: Relative difference up to which two float32 scores are the same.
@@ -32,92 +34,127 @@ class Seeds:
     """The queries: each seed's distinct terms that some other document has, in the order of (id, place)."""
 
     def __init__(self, payloads: list[tuple[int, bytes]], n_docs: int, mean: float):
-        ids, blocks, rows, sizes, terms, weights = [], [], [], [], [], []
+        ids, blocks, rows, begins, sizes, scales, alike, dictionaries, codes, n = [], [], [], [], [], [], [], [], [], 0
         for block, payload in payloads:
             own, row, lengths, bounds, code, tf, seen, df = _split(payload)
             bounds, code, seen = K.unpack(bounds, np.uint32).astype(np.int64), K.unpack(code, np.uint32), _running(seen)
             ids.append(K.unpack(own, np.int64))
             rows.append(K.unpack(row, np.uint32).astype(np.int64))
             blocks.append(np.full(len(ids[-1]), block))
+            begins.append(bounds[:-1] + n)
             sizes.append(np.diff(bounds))
-            terms.append(seen[code])
             each = np.repeat(K.unpack(lengths, np.uint32).astype(np.int64), sizes[-1])
-            weights.append(_weights(K.unpack(tf, np.uint32), K.unpack(df, np.uint32)[code], each, n_docs, mean))
+            weight = _weights(_idf(K.unpack(df, np.uint32), n_docs)[code], K.unpack(tf, np.uint32), each, mean)
+            scales.append(1 / np.sqrt(np.maximum(K.sums(weight, bounds), 1e-9)))
+            alike.append(np.stack([K.sums(K.mix(seen)[code], bounds), K.sums(K.mix(~seen)[code], bounds), scales[-1].view(np.uint64)], 1))
+            dictionaries.append(seen)
+            codes.append(code)
+            n += len(code)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.id, self.block, self.row, size, term, weight = (join(x, k) for x, k in ((ids, np.int64), (blocks, np.int64), (rows, np.int64), (sizes, np.int64), (terms, np.uint64), (weights, float)))
+        self.id, self.block, self.row, self.begin, self.size = (join(x, np.int64) for x in (ids, blocks, rows, begins, sizes))
+        self.scale, alike = join(scales, float), np.concatenate([np.zeros((0, 3), np.uint64), *alike])
         order = np.lexsort((self.row, self.block, self.id))
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        own = K.sums(weight, bounds)
-        self.id, self.block, self.row, size = self.id[order], self.block[order], self.row[order], size[order]
-        self.scale = 1 / np.sqrt(np.maximum(own[order], 1e-9))
-        term = term[K.expand(bounds[:-1][order], size)]
-        self.bounds = np.concatenate([[0], np.cumsum(size)])
         # Of seeds of the same terms and scale, the first is as near to any document as the others.
-        alike = np.stack([K.sums(K.mix(term), self.bounds), K.sums(K.mix(~term), self.bounds), self.scale.view(np.uint64)], 1)
-        once = np.sort(np.unique(alike, axis=0, return_index=True)[1])
-        self.id, self.block, self.row, self.scale = self.id[once], self.block[once], self.row[once], self.scale[once]
-        term, size = term[K.expand(self.bounds[once], size[once])], size[once]
-        order = once
-        self.bounds = np.concatenate([[0], np.cumsum(size)])
-        self.term = term
-        self.blocks = []
-        for at in range(0, len(order), QUERIES):
-            last = min(len(order), at + QUERIES)
-            distinct, code = np.unique(term[self.bounds[at] : self.bounds[last]], return_inverse=True)
-            self.blocks.append((at, distinct, np.repeat(np.arange(last - at, dtype=np.int32), size[at:last]), code.astype(np.int32), last - at))
-
-
-def _weights(tf: np.ndarray, df: np.ndarray, length: np.ndarray, n_docs: int, mean: float) -> np.ndarray:
+        once = order[np.sort(np.unique(alike[order], axis=0, return_index=True)[1])]
+        self.id, self.block, self.row, self.begin, self.size, self.scale = (x[once] for x in (self.id, self.block, self.row, self.begin, self.size, self.scale))
+        # The terms are kept once, in the order of the payloads: a seed's are ``size`` codes from ``begin`` on.
+        self.seen, self.code, at = np.unique(join(dictionaries, np.uint64)), np.empty(n, np.int32), 0
+        for seen, code in zip(dictionaries, codes):
+            self.code[at : at + len(code)] = np.searchsorted(self.seen, seen).astype(np.int32)[code]
+            at += len(code)
+
+    def terms(self, seed: int) -> np.ndarray:
+        return self.seen[self.code[self.begin[seed] : self.begin[seed] + self.size[seed]]]
+
+    def queries(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """At most QUERIES seeds from ``at`` on, as ``Shard.scores`` takes them."""
+        begin, size = self.begin[at : at + QUERIES], self.size[at : at + QUERIES]
+        used, place = np.unique(self.code[K.expand(begin, size)], return_inverse=True)
+        return self.seen[used], np.repeat(np.arange(len(size), dtype=np.int32), size), place, len(size)
+
+
+def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log((n_docs - df.astype(float) + 0.5) / (df + 0.5) + 1)
+
+
+def _weights(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     """What a term of that frequency adds to the BM25 score of a document of that length."""
-    idf = np.log((n_docs - df.astype(float) + 0.5) / (df + 0.5) + 1)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+class Block:
+    """Documents of a block: their terms that other documents have too (without those of seeds), as codes of a dictionary of its own."""
+
+    def __init__(self, block: int, payload: bytes, every: int):
+        own, size, bounds, code, tf, seen, df = _split(payload)
+        code, tf, seen, df = K.unpack(code, np.uint32, "zstd"), K.unpack(tf, np.uint32, "zstd"), _running(seen), K.unpack(df, np.uint32)
+        self.block, self.ids, self.length, bounds = block, _read_ids(own), K.unpack(size, np.uint32), K.unpack(bounds, np.uint32).astype(np.int64)
+        number = self.ids.fill_null(1).to_numpy(zero_copy_only=False)
+        seed = (number % every == 0) & self.ids.is_valid().to_numpy(zero_copy_only=False)
+        shared = df > 1  # a term of one document alone retrieves nothing, and a seed is its own neighbour
+        keep = shared[code] & np.repeat(~seed, np.diff(bounds))
+        self.count = K.sums(keep.astype(np.int64), bounds)
+        self.seen, self.df = seen[shared], df[shared]
+        self.code = (np.cumsum(shared) - 1).astype(np.int32)[code[keep]]
+        self.tf = tf[keep].astype(np.min_scalar_type(int(tf.max(initial=0))))
+
+
 class Shard:
-    """An inverted index of some documents, with the corpus's own term statistics."""
+    """An inverted index of some documents, with the corpus's own term statistics.
 
-    def __init__(self, payloads: list[tuple[int, bytes]], n_docs: int, mean: float, every: int):
-        ids, lengths, blocks, rows, dictionaries, parts, n = [], [], [], [], [], [], 0
-        for block, payload in payloads:
-            own, size, bounds, code, tf, seen, df = _split(payload)
-            size, bounds = K.unpack(size, np.uint32).astype(np.int64), K.unpack(bounds, np.uint32).astype(np.int64)
-            code, tf, seen, df = K.unpack(code, np.uint32, "zstd"), K.unpack(tf, np.uint32, "zstd"), _running(seen), K.unpack(df, np.uint32)
-            doc = K.owner(bounds)
-            ids.append(_read_ids(own))
-            number = ids[-1].fill_null(1).to_numpy(zero_copy_only=False)
-            seed = (number % every == 0) & ids[-1].is_valid().to_numpy(zero_copy_only=False)
-            keep = (df[code] > 1) & ~seed[doc]  # a term of one document alone retrieves nothing, and a seed is its own neighbour
-            code, tf, doc = code[keep], tf[keep], doc[keep]
-            lengths.append(size)
-            blocks.append(np.full(len(size), block))
-            rows.append(np.arange(len(size)))
-            dictionaries.append(seen)
-            parts.append((code, (doc + n).astype(np.int32), _weights(tf, df[code], size[doc], n_docs, mean)))
-            n += len(size)
-        self.n, self.ids = n, pa.concat_arrays(ids)
-        self.length, self.block, self.row = np.concatenate(lengths), np.concatenate(blocks), np.concatenate(rows)
-        self.seen = np.unique(np.concatenate(dictionaries))
-        code = np.concatenate([np.searchsorted(self.seen, d)[c].astype(np.int32) for d, (c, _, _) in zip(dictionaries, parts)])
-        doc, weight = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
-        del parts, dictionaries
+    Memory follows the postings: a document's terms are kept as codes and frequencies, of which weights are made where they are needed, and a posting
+    stands either in the list of its term or in the matrix. The blocks are let go as they are read.
+    """
+
+    def __init__(self, blocks: list[Block], n_docs: int, mean: float):
+        size = [len(b.length) for b in blocks]
+        starts = [0, *np.cumsum(size).tolist()]
+        n = self.n = starts[-1]
+        self.mean, self.ids = mean, pa.concat_arrays([b.ids for b in blocks])
+        self.length, self.block, self.row = np.concatenate([b.length for b in blocks]).astype(np.int64), np.repeat([b.block for b in blocks], size), np.concatenate([np.arange(x) for x in size])
+        self.seen = np.unique(np.concatenate([b.seen for b in blocks]))
         # Documents come one after the other, each with its terms in order.
-        self.own_code, self.own_weight = code, weight
-        self.own_bounds = np.searchsorted(doc, np.arange(n + 1))
-        order = np.argsort(code, kind="stable")
-        # A posting is one number, so that one slice takes its document and its weight.
-        self.posting = np.empty((len(order), 2), np.int32)
-        self.posting[:, 0], self.posting[:, 1] = doc[order], weight[order].astype(np.float32).view(np.int32)
-        self.posting = self.posting.view(np.int64).ravel()
-        self.bounds = np.searchsorted(code[order], np.arange(len(self.seen) + 1))
-        held = np.diff(self.bounds)
-        # Postings of terms that many documents hold are kept as rows of a matrix.
-        self.common = np.full(len(self.seen), -1)
+        self.own_bounds = np.concatenate([[0], np.cumsum(np.concatenate([b.count for b in blocks]))])
+        self.own_code, self.own_tf = np.empty(self.own_bounds[-1], np.int32), np.empty(self.own_bounds[-1], np.result_type(*(b.tf for b in blocks)))
+        df, held, at = np.ones(len(self.seen), np.int64), np.zeros(len(self.seen), np.int64), 0
+        blocks.reverse()
+        while blocks:
+            b = blocks.pop()
+            place, to = np.searchsorted(self.seen, b.seen).astype(np.int32), at + len(b.code)
+            df[place] = b.df
+            self.own_code[at:to], self.own_tf[at:to] = place[b.code], b.tf
+            held += np.bincount(self.own_code[at:to], minlength=len(held))
+            at = to
+        self.idf = _idf(df, n_docs)
+        # Postings of terms that many documents hold are kept as rows of a matrix, those of the most documents if there are too many.
         common = np.flatnonzero(held > max(8, n // COMMON))
+        common = np.sort(common[np.argsort(-held[common], kind="stable")[: CELLS // max(1, n)]])
+        self.common = np.full(len(self.seen), -1, np.int32)
         self.common[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), n), np.float32)
-        at = K.expand(self.bounds[common], held[common])
-        docs, weights = self.split(self.posting[at])
-        self.matrix[np.repeat(np.arange(len(common)), held[common]), docs] = weights
+        held[common] = 0
+        self.bounds = np.concatenate([[0], np.cumsum(held)])
+        # A posting is one number, so that one slice takes its document and its weight.
+        self.posting = np.empty(self.bounds[-1], np.int64)
+        both, free = self.posting.view(np.int32).reshape(-1, 2), self.bounds[:-1].copy()
+        for first, last in zip(starts, starts[1:]):
+            bounds = self.own_bounds[first : last + 1]
+            code, doc = self.own_code[bounds[0] : bounds[-1]], np.repeat(np.arange(first, last, dtype=np.int32), np.diff(bounds))
+            weight = self.weights(slice(bounds[0], bounds[-1]), doc).astype(np.float32)
+            row = self.common[code]
+            dense = row >= 0
+            self.matrix[row[dense], doc[dense]] = weight[dense]
+            rest = np.flatnonzero(~dense)
+            rest = rest[np.argsort(code[rest], kind="stable")]
+            begin = np.flatnonzero(np.diff(code[rest], prepend=-1))
+            count, term = np.diff(begin, append=len(rest)), code[rest[begin]]
+            place = K.expand(free[term], count)
+            both[place, 0], both[place, 1] = doc[rest], weight[rest].view(np.int32)
+            free[term] += count
+
+    def weights(self, at, doc: np.ndarray) -> np.ndarray:
+        """Weights of the documents' own terms at these places."""
+        return _weights(self.idf[self.own_code[at]], self.own_tf[at], self.length[doc], self.mean)
 
     @staticmethod
     def split(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,14 +204,15 @@ class Shard:
     def nearest(self, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
         """The seed for whose terms each document scores most, by the root of what the seed itself scores, or -1; and that score."""
         best, which = np.zeros(self.n, np.float32), np.full(self.n, -1)
-        for at, *block in seeds.blocks:
-            scores = self.scores(*block)
-            scores *= seeds.scale[at : at + block[-1], None].astype(np.float32)
+        for at in range(0, len(seeds.id), QUERIES):
+            scores = self.scores(*seeds.queries(at))
+            scores *= seeds.scale[at : at + QUERIES, None].astype(np.float32)
             most = scores.max(0)
             better = np.flatnonzero(most > best * np.float32(1 + NEAR))
-            if len(better):
-                first = (scores[:, better] >= most[better] * np.float32(1 - NEAR)).argmax(0)
-                best[better], which[better] = most[better], at + first
+            for some in (better[k : k + STEP] for k in range(0, len(better), STEP)):
+                first = (scores[:, some] >= most[some] * np.float32(1 - NEAR)).argmax(0)
+                best[some], which[some] = most[some], at + first
+            del scores
         # The score is summed again in the order of terms, so that it doesn't depend on how documents are cut into shards.
         score, wanted = np.zeros(self.n), np.zeros(len(self.seen) + 1, bool)
         order = np.argsort(which, kind="stable")
@@ -183,13 +221,16 @@ class Shard:
             seed = which[order[a]]
             if seed < 0:
                 continue
-            code = self.codes(seeds.term[seeds.bounds[seed] : seeds.bounds[seed + 1]])
+            code = self.codes(seeds.terms(seed))
             wanted[code] = True
             wanted[-1] = False
-            docs = order[a:b]
-            count = self.own_bounds[docs + 1] - self.own_bounds[docs]
-            at = K.expand(self.own_bounds[docs], count)
-            score[docs] = K.sums(self.own_weight[at] * wanted[self.own_code[at]], np.concatenate([[0], np.cumsum(count)]))
+            for docs in (order[k : min(b, k + STEP)] for k in range(a, b, STEP)):
+                count = self.own_bounds[docs + 1] - self.own_bounds[docs]
+                at = K.expand(self.own_bounds[docs], count)
+                hit = wanted[self.own_code[at]]
+                weight = np.zeros(len(at))
+                weight[hit] = self.weights(at[hit], np.repeat(docs, count)[hit])
+                score[docs] = K.sums(weight, np.concatenate([[0], np.cumsum(count)]))
             wanted[code] = False
         return which, score
 
@@ -260,14 +301,15 @@ def _index(docs: DataFrame, id_col: str, text_col: str, every: int) -> DataFrame
     return K.materialise(source.mapInArrow(split, _ROWS).groupBy("bucket").applyInArrow(frequencies, _ROWS).groupBy("block").applyInArrow(assemble, _BLOCKS))
 
 
-def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, shard: int = SHARD, round_bytes: int = ROUND_BYTES) -> DataFrame:
+def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, shard: int = SHARD, round_bytes: int = ROUND_BYTES, postings: int = POSTINGS) -> DataFrame:
     """``(block, row, id, n, seed_id, seed_block, seed_row, score)`` of each document with words: its n words, and the seed whose neighbour it is.
 
     The seeds (each document whose id is divisible by ``every``) are the queries: all distinct terms of their whole texts. Every
     shard of the index scores all of its documents for all seeds by BM25, exactly and with the statistics of the whole
     corpus. A document is the neighbour of the seed for which its score, divided by the root of the seed's own
     score, is the highest (of scores that are equal up to ``NEAR``, the first in the order of ids); a seed is its own. One that shares no term
-    with a seed has none. Seeds go to the tasks in rounds of about ``round_bytes``.
+    with a seed has none. Seeds go to the tasks in rounds of about ``round_bytes``. A shard is closed with the block that brings it to ``postings``, so that what a
+    task holds follows neither the number nor the length of its documents.
     """
     spark = docs.sparkSession
     made = _index(docs, id_col, text_col, every)
@@ -280,10 +322,10 @@ def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sent = spark.sparkContext.broadcast([(r.block, bytes(r.payload)) for r in made.filter("kind = 1").filter(number == k).select("block", "payload").collect()])
 
         def score(batches, sent=sent):
-            seeds, some, n = None, [], 0
+            seeds, some, n, held = None, [], 0, 0
 
             def found():
-                index = Shard(some, n_docs, mean, every)
+                index = Shard(some, n_docs, mean)
                 which, score = index.nearest(seeds)
                 alive = np.flatnonzero(index.length > 0)
                 seed = which[alive]
@@ -293,18 +335,19 @@ def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 return pa.RecordBatch.from_arrays([*columns, pa.array(np.where(seed < 0, 0.0, np.round(scaled, 6)))], ["block", "row", "id", "n", "seed_id", "seed_block", "seed_row", "score"])
 
             for batch in batches:
-                for block, payload, size in zip(*(batch.column(c).to_pylist() for c in ("block", "payload", "n_docs"))):
+                for k in range(batch.num_rows):
                     seeds = seeds or Seeds(sent.value, n_docs, mean)
-                    some.append((block, payload))
-                    n += size
-                    if n >= 2 * shard:
+                    some.append(Block(batch.column("block")[k].as_py(), batch.column("payload")[k].as_py(), every))
+                    n, held = n + len(some[-1].length), held + len(some[-1].code)
+                    if n >= 2 * shard or held >= postings:
                         yield found()
-                        some, n = [], 0
+                        some, n, held = [], 0, 0
+                del batch  # it isn't kept while its documents are scored
             if some:
                 yield found()
 
         # A task holds a shard or, as partitions vary, up to two.
-        made.filter("kind = 0").select("block", "payload", "n_docs").coalesce(max(1, -(-n_docs // shard))).mapInArrow(score, _NEAREST).write.mode("append").parquet(folder)
+        made.filter("kind = 0").select("block", "payload").coalesce(max(1, -(-n_docs // shard))).mapInArrow(score, _NEAREST).write.mode("append").parquet(folder)
         sent.destroy()
     each = spark.read.schema(_NEAREST).parquet(folder)
     if rounds > 1:

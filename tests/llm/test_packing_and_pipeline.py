@@ -1,6 +1,7 @@
 """Retrieval packing and the corpus pipeline."""
 
 import collections
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -8,7 +9,8 @@ import pytest
 import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
-from lakeseek.llm.packing import Shard, nearest_seeds, pack_documents
+from lakeseek.llm import packing
+from lakeseek.llm.packing import Block, Seeds, Shard, nearest_seeds, pack_documents
 from lakeseek.llm.quality import quality
 
 
@@ -111,3 +113,54 @@ def test_scores_of_a_shard_are_sums_of_its_postings():
     query, place = np.repeat(np.arange(len(held)), [len(x) for x in held]), np.array([x for own in held for x in own])
     out = shard.scores(np.arange(n_terms + 1, dtype=np.uint64), query, place, len(held))
     assert np.allclose(out, [weight[x].sum(0) for x in held], rtol=1e-5)
+
+
+@pytest.fixture(scope="module")
+def indexed(spark):
+    """Payloads of documents and of seeds, and the corpus's documents and mean length."""
+    rng = np.random.default_rng(3)
+    words = np.char.add("w", np.minimum(rng.zipf(1.3, (6000, 200)), 30_000).astype(str))
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(words.tolist())], "doc_id long, text string").repartition(8, "doc_id")
+    made = sorted(packing._index(docs, "doc_id", "text", 20).collect(), key=lambda r: r.block)
+    of = lambda kind: [(r.block, bytes(r.payload)) for r in made if r.kind == kind]
+    n_docs = sum(r.n_docs for r in made)
+    return of(0), of(1), n_docs, sum(r.n_words for r in made) / n_docs
+
+
+def _peak(f):
+    """What f returns, and the most bytes that it held besides what was there."""
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_an_index_follows_its_postings(indexed):
+    """An executor went beyond its memory in the shards of the pipeline's packing."""
+    docs, queries, n_docs, mean = indexed
+    shard, most = _peak(lambda: Shard([Block(*x, 20) for x in docs], n_docs, mean))
+    assert len(shard.own_code) > 300_000 and most - shard.matrix.nbytes < 30 * len(shard.own_code)
+    seeds, most = _peak(lambda: Seeds(queries, n_docs, mean))
+    assert most < 40 * len(seeds.code)
+
+
+def test_no_cut_of_shards_or_of_the_matrix_changes_a_score(indexed, monkeypatch):
+    docs, queries, n_docs, mean = indexed
+    seeds, found = Seeds(queries, n_docs, mean), []
+    for cells, groups in ((packing.CELLS, [docs]), (20 * n_docs, [docs]), (0, [docs[:3], docs[3:]])):
+        monkeypatch.setattr(packing, "CELLS", cells)
+        shards = [Shard([Block(*x, 20) for x in group], n_docs, mean) for group in groups]
+        assert all(s.matrix.size <= cells for s in shards) and (cells == 0 or shards[0].matrix.size)
+        which, score = (np.concatenate(x) for x in zip(*(s.nearest(seeds) for s in shards)))
+        found.append((which.tolist(), np.round(score, 6).tolist()))
+    assert found[0] == found[1] == found[2] and max(found[0][0]) > 100
+
+
+@pytest.mark.parametrize("postings", [1, 4_000])
+def test_shards_closed_by_their_postings_are_brute_force(documents, postings):
+    docs = documents.repartition(12, "doc_id")
+    got = sorted((r.id, r.n, r.seed_id, r.score) for r in nearest_seeds(docs, postings=postings).collect())
+    want = sorted(brute.nearest(_pairs(documents)))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 2e-6 or x[3] == y[3] for x, y in zip(got, want))
