@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from copy import copy
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,10 +16,13 @@ from .token_counts import _ids, _join, _read_ids, _split
 
 #: Words of a window; a document is a seed if its id is divisible by this; BM25's constants.
 WINDOW, EVERY, K1, B = 2048, 20, 1.2, 0.75
-#: Documents of a shard of the index, seeds that are scored at once, and bytes of packed seeds that are sent to the tasks at once.
-SHARD, QUERIES, ROUND_BYTES = 16_384, 256, 40_000_000
-#: A term that more than one document of so many in a shard has is kept as a row of a matrix.
-COMMON = 20
+#: Documents of a shard of the index, seeds that are scored at once, their terms and cells of their scores at most, and bytes of packed seeds that are sent to the tasks at once.
+SHARD, QUERIES, QUERY_TERMS, SCORES, ROUND_BYTES = 24_576, 1024, 1 << 18, 1 << 23, 40_000_000
+#: A term that more than one document of so many in a shard has is kept as a row of a matrix, too; the row is used by queries of which enough have the
+#: term: a cell of it times a query costs this share of a posting.
+COMMON, CELL = 40, 0.0025
+#: Groups of texts with words in common, terms and seeds from which they are found, rounds of that, and documents that make a group of a shard.
+SUBJECTS, TERMS, SAMPLE, TURNS, LEAST = 8, 512, 4096, 8, 1024
 #: Postings from which a term's are taken as a slice.
 LONG = 40
 #: Postings from which a shard takes no further block, cells of its matrix at most, and documents whose best seeds are sought at once.
@@ -63,14 +70,79 @@ class Seeds:
             self.code[at : at + len(code)] = np.searchsorted(self.seen, seen).astype(np.int32)[code]
             at += len(code)
 
-    def terms(self, seed: int) -> np.ndarray:
-        return self.seen[self.code[self.begin[seed] : self.begin[seed] + self.size[seed]]]
+    @cached_property
+    def subjects(self) -> Subjects:
+        return Subjects(self)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        """The seeds of a subject and of like size together."""
+        return np.lexsort((self.size, self.subjects.of(self.seen, self.code, self.begin, self.size)))
+
+    def batches(self, n: int) -> Iterator[np.ndarray]:
+        """All seeds, as many at once as are scored for n documents, each batch in the order of (id, place)."""
+        step, total, at = max(1, min(QUERIES, SCORES // max(1, n))), np.cumsum(self.size[self.order]), 0
+        while at < len(self.order):
+            to = max(at + 1, min(at + step, int(np.searchsorted(total, (total[at - 1] if at else 0) + QUERY_TERMS, "right"))))
+            yield np.sort(self.order[at:to])
+            at = to
+
+
+class Subjects:
+    """Groups of texts that have words in common, found among some of the seeds.
+
+    They decide which seeds and documents are scored together, so that fewer terms are met there by many of both; every
+    document is scored for every seed all the same.
+    """
+
+    def __init__(self, seeds: Seeds):
+        held = np.bincount(seeds.code, minlength=len(seeds.seen))
+        top = np.sort(np.argsort(-held, kind="stable")[:TERMS])
+        self.terms, self.weight, n = seeds.seen[top], np.log1p(len(seeds.id) / held[top]).astype(np.float32), len(seeds.id)
+        rng = np.random.default_rng(0)
+        some = np.sort(rng.permutation(n)[:SAMPLE])
+        x = self._unit(self._vectors(self._columns(seeds.seen), seeds.code, seeds.begin[some], seeds.size[some]))
+        self.centres = x[rng.permutation(len(x))[: max(1, min(SUBJECTS, n // 256))]]
+        for _ in range(TURNS):
+            group = (x @ self.centres.T).argmax(1) if len(x) else some
+            self.centres = self._unit(np.stack([x[group == k].sum(0) if (group == k).any() else c for k, c in enumerate(self.centres)])) if len(x) else self.centres
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+    def _columns(self, seen: np.ndarray) -> np.ndarray:
+        """Place of each term among those of the groups, or -1."""
+        if not len(self.terms):
+            return np.full(len(seen), -1)
+        place = np.minimum(np.searchsorted(self.terms, seen), len(self.terms) - 1)
+        return np.where(self.terms[place] == seen, place, -1)
+
+    def _vectors(self, columns: np.ndarray, code: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(size), len(self.terms)), np.float32)
+        column, text = columns[code[K.expand(begin, size)]], np.repeat(np.arange(len(size)), size)
+        known = column >= 0
+        out[text[known], column[known]] = self.weight[column[known]]
+        return out
 
-    def queries(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """At most QUERIES seeds from ``at`` on, as ``Shard.scores`` takes them."""
-        begin, size = self.begin[at : at + QUERIES], self.size[at : at + QUERIES]
-        used, place = np.unique(self.code[K.expand(begin, size)], return_inverse=True)
-        return self.seen[used], np.repeat(np.arange(len(size), dtype=np.int32), size), place, len(size)
+    def of(self, seen: np.ndarray, code: np.ndarray, begin: np.ndarray, size: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """Group of each text, whose terms are ``size`` codes of ``seen`` from ``begin`` on."""
+        out, columns = np.zeros(len(size), np.int64), self._columns(seen)
+        among = np.arange(len(self.centres)) if among is None else among
+        if len(among) > 1:
+            for k in range(0, len(size), STEP):
+                out[k : k + STEP] = (self._vectors(columns, code, begin[k : k + STEP], size[k : k + STEP]) @ self.centres[among].T).argmax(1)
+        return among[out] if len(among) else out
+
+    def split(self, blocks: list[Block]) -> Iterator[list[Block]]:
+        """The documents of these blocks by group; those without terms are one, and groups of few documents go to others."""
+        of = lambda among=None: [np.where(b.count > 0, self.of(b.seen, b.code, np.cumsum(b.count) - b.count, b.count, among), -1) for b in blocks]
+        groups = of()
+        count = np.bincount(np.concatenate(groups) + 1, minlength=len(self.centres) + 1)[1:]
+        if (count[count > 0] < LEAST).any():
+            groups = of(np.flatnonzero(count >= LEAST) if (count >= LEAST).any() else count.argmax(keepdims=True))
+        for k in np.unique(np.concatenate(groups)):
+            yield [b.part(np.flatnonzero(g == k)) for b, g in zip(blocks, groups) if (g == k).any()]
 
 
 def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -96,14 +168,23 @@ class Block:
         self.count = K.sums(keep.astype(np.int64), bounds)
         self.seen, self.df = seen[shared], df[shared]
         self.code = (np.cumsum(shared) - 1).astype(np.int32)[code[keep]]
-        self.tf = tf[keep].astype(np.min_scalar_type(int(tf.max(initial=0))))
+        self.tf, self.row = tf[keep].astype(np.min_scalar_type(int(tf.max(initial=0)))), np.arange(len(self.length))
+
+    def part(self, rows: np.ndarray) -> Block:
+        """Some of the documents, with the terms that they have."""
+        out, at, used = copy(self), K.expand((np.cumsum(self.count) - self.count)[rows], self.count[rows]), np.zeros(len(self.seen), bool)
+        code = self.code[at]
+        used[code] = True
+        out.ids, out.length, out.row, out.count = self.ids.take(pa.array(rows)), self.length[rows], self.row[rows], self.count[rows]
+        out.seen, out.df, out.code, out.tf = self.seen[used], self.df[used], (np.cumsum(used) - 1).astype(np.int32)[code], self.tf[at]
+        return out
 
 
 class Shard:
     """An inverted index of some documents, with the corpus's own term statistics.
 
-    Memory follows the postings: a document's terms are kept as codes and frequencies, of which weights are made where they are needed, and a posting
-    stands either in the list of its term or in the matrix. The blocks are let go as they are read.
+    Memory follows the postings: a document's terms are kept as codes and frequencies, of which weights are made where they are needed. Postings
+    stand in the list of their term, and those of common terms in a matrix, too. The blocks are let go as they are read.
     """
 
     def __init__(self, blocks: list[Block], n_docs: int, mean: float):
@@ -111,7 +192,7 @@ class Shard:
         starts = [0, *np.cumsum(size).tolist()]
         n = self.n = starts[-1]
         self.mean, self.ids = mean, pa.concat_arrays([b.ids for b in blocks])
-        self.length, self.block, self.row = np.concatenate([b.length for b in blocks]).astype(np.int64), np.repeat([b.block for b in blocks], size), np.concatenate([np.arange(x) for x in size])
+        self.length, self.block, self.row = np.concatenate([b.length for b in blocks]).astype(np.int64), np.repeat([b.block for b in blocks], size), np.concatenate([b.row for b in blocks])
         self.seen = np.unique(np.concatenate([b.seen for b in blocks]))
         # Documents come one after the other, each with its terms in order.
         self.own_bounds = np.concatenate([[0], np.cumsum(np.concatenate([b.count for b in blocks]))])
@@ -126,13 +207,12 @@ class Shard:
             held += np.bincount(self.own_code[at:to], minlength=len(held))
             at = to
         self.idf = _idf(df, n_docs)
-        # Postings of terms that many documents hold are kept as rows of a matrix, those of the most documents if there are too many.
+        # Terms that many documents hold are rows of a matrix, those of the most documents if there are too many.
         common = np.flatnonzero(held > max(8, n // COMMON))
         common = np.sort(common[np.argsort(-held[common], kind="stable")[: CELLS // max(1, n)]])
         self.common = np.full(len(self.seen), -1, np.int32)
         self.common[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), n), np.float32)
-        held[common] = 0
         self.bounds = np.concatenate([[0], np.cumsum(held)])
         # A posting is one number, so that one slice takes its document and its weight.
         self.posting = np.empty(self.bounds[-1], np.int64)
@@ -144,8 +224,7 @@ class Shard:
             row = self.common[code]
             dense = row >= 0
             self.matrix[row[dense], doc[dense]] = weight[dense]
-            rest = np.flatnonzero(~dense)
-            rest = rest[np.argsort(code[rest], kind="stable")]
+            rest = np.argsort(code, kind="stable")
             begin = np.flatnonzero(np.diff(code[rest], prepend=-1))
             count, term = np.diff(begin, append=len(rest)), code[rest[begin]]
             place = K.expand(free[term], count)
@@ -171,13 +250,26 @@ class Shard:
 
     def scores(self, distinct: np.ndarray, query: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """BM25 of all documents for n queries, whose terms are (query, place in ``distinct``) in the order of queries."""
-        code = self.codes(distinct)[term]
+        return self.sums(query, self.codes(distinct)[term], n)
+
+    def sums(self, query: np.ndarray, code: np.ndarray, n: int, out: np.ndarray | None = None) -> np.ndarray:
+        """BM25 of all documents for n queries, whose terms are (query, the shard's code or -1) in the order of queries; in ``out`` if there is one."""
         query, code = query[code >= 0], code[code >= 0]
         row = self.common[code]
-        wanted = np.zeros((n, len(self.matrix)), np.float32)
-        wanted[query[row >= 0], row[row >= 0]] = 1
-        out = wanted @ self.matrix
-        query, code = query[row < 0], code[row < 0]
+        rows = row[row >= 0]
+        use = np.bincount(rows, minlength=len(self.matrix))
+        # Rows are worth their cells where the queries that have them would read many postings.
+        term = np.zeros(len(use), np.int64)
+        term[rows] = code[row >= 0]
+        worth = use * (self.bounds[term + 1] - self.bounds[term]) > CELL * n * self.n if len(use) else np.zeros(0, bool)
+        used = np.flatnonzero(worth)
+        dense = np.append(worth, False)[row]
+        wanted = np.zeros((n, len(used)), np.float32)
+        wanted[query[dense], (np.cumsum(worth) - 1)[row[dense]]] = 1
+        out = np.empty((n, self.n), np.float32) if out is None else out
+        for k in range(0, self.n, STEP):  # only a strip of the rows is copied at once
+            np.matmul(wanted, self.matrix[:, k : k + STEP][used], out=out[:, k : k + STEP])
+        query, code = query[~dense], code[~dense]
         # Long postings are cheaper as slices, short ones by an index of their places.
         begin, count = self.bounds[code], self.bounds[code + 1] - self.bounds[code]
         long = count > LONG
@@ -198,21 +290,29 @@ class Shard:
             if m:
                 np.concatenate(spans, out=both[:m])
                 docs[:m], weights[:m] = self.split(both[:m])
-                out[k] += np.bincount(docs[:m], weights[:m], self.n)  # its own casts are slow
+                out[k] += np.bincount(docs[:m], weights[:m], self.n).astype(np.float32)  # its own casts and those of += are slow
         return out
 
     def nearest(self, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
         """The seed for whose terms each document scores most, by the root of what the seed itself scores, or -1; and that score."""
         best, which = np.zeros(self.n, np.float32), np.full(self.n, -1)
-        for at in range(0, len(seeds.id), QUERIES):
-            scores = self.scores(*seeds.queries(at))
-            scores *= seeds.scale[at : at + QUERIES, None].astype(np.float32)
+        if not len(self.own_code):
+            return which, np.zeros(self.n)
+        place, kept = self.codes(seeds.seen).astype(np.int32), None
+        for batch in seeds.batches(self.n):
+            size = seeds.size[batch]
+            if kept is None or len(kept) < len(batch):
+                kept = np.empty((len(batch), self.n), np.float32)
+            scores = self.sums(np.repeat(np.arange(len(batch), dtype=np.int32), size), place[seeds.code[K.expand(seeds.begin[batch], size)]], len(batch), kept[: len(batch)])
+            scores *= seeds.scale[batch, None].astype(np.float32)
             most = scores.max(0)
-            better = np.flatnonzero(most > best * np.float32(1 + NEAR))
-            for some in (better[k : k + STEP] for k in range(0, len(better), STEP)):
-                first = (scores[:, some] >= most[some] * np.float32(1 - NEAR)).argmax(0)
-                best[some], which[some] = most[some], at + first
-            del scores
+            near = np.flatnonzero((most > 0) & (most >= best * np.float32(1 - NEAR)))
+            for some in (near[k : k + STEP] for k in range(0, len(near), STEP)):
+                first = batch[(scores[:, some] >= most[some] * np.float32(1 - NEAR)).argmax(0)]
+                # Batches aren't in the order of ids: of scores that are the same, the first seed's counts.
+                same = most[some] <= best[some] * np.float32(1 + NEAR)
+                which[some] = np.where(same, np.minimum(which[some], first), first)
+                best[some] = np.maximum(best[some], most[some])
         # The score is summed again in the order of terms, so that it doesn't depend on how documents are cut into shards.
         score, wanted = np.zeros(self.n), np.zeros(len(self.seen) + 1, bool)
         order = np.argsort(which, kind="stable")
@@ -221,7 +321,7 @@ class Shard:
             seed = which[order[a]]
             if seed < 0:
                 continue
-            code = self.codes(seeds.terms(seed))
+            code = place[seeds.code[seeds.begin[seed] : seeds.begin[seed] + seeds.size[seed]]]
             wanted[code] = True
             wanted[-1] = False
             for docs in (order[k : min(b, k + STEP)] for k in range(a, b, STEP)):
@@ -324,7 +424,7 @@ def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def score(batches, sent=sent):
             seeds, some, n, held = None, [], 0, 0
 
-            def found():
+            def found(some):
                 index = Shard(some, n_docs, mean)
                 which, score = index.nearest(seeds)
                 alive = np.flatnonzero(index.length > 0)
@@ -336,15 +436,16 @@ def nearest_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
             for batch in batches:
                 for k in range(batch.num_rows):
-                    seeds = seeds or Seeds(sent.value, n_docs, mean)
+                    if seeds is None:  # kept with what was sent, for the worker's next tasks
+                        seeds = sent.seeds = getattr(sent, "seeds", None) or Seeds(sent.value, n_docs, mean)
                     some.append(Block(batch.column("block")[k].as_py(), batch.column("payload")[k].as_py(), every))
                     n, held = n + len(some[-1].length), held + len(some[-1].code)
                     if n >= 2 * shard or held >= postings:
-                        yield found()
+                        yield from map(found, seeds.subjects.split(some))
                         some, n, held = [], 0, 0
                 del batch  # it isn't kept while its documents are scored
             if some:
-                yield found()
+                yield from map(found, seeds.subjects.split(some))
 
         # A task holds a shard or, as partitions vary, up to two.
         made.filter("kind = 0").select("block", "payload").coalesce(max(1, -(-n_docs // shard))).mapInArrow(score, _NEAREST).write.mode("append").parquet(folder)

@@ -164,3 +164,39 @@ def test_shards_closed_by_their_postings_are_brute_force(documents, postings):
     got = sorted((r.id, r.n, r.seed_id, r.score) for r in nearest_seeds(docs, postings=postings).collect())
     want = sorted(brute.nearest(_pairs(documents)))
     assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 2e-6 or x[3] == y[3] for x, y in zip(got, want))
+
+
+def _blocks(spark, docs, every):
+    made = sorted(packing._index(spark.createDataFrame(docs, "doc_id long, text string").repartition(4, "doc_id"), "doc_id", "text", every).collect(), key=lambda r: r.block)
+    n_docs, of = sum(r.n_docs for r in made), lambda kind: [(r.block, bytes(r.payload)) for r in made if r.kind == kind]
+    mean = sum(r.n_words for r in made) / n_docs
+    return lambda: [Block(*x, every) for x in of(0)], Seeds(of(1), n_docs, mean), n_docs, mean
+
+
+def test_seeds_and_documents_of_a_subject_are_scored_together(spark, monkeypatch):
+    """The CPU seconds of scoring were over the budget: each batch of seeds met the common terms of all documents."""
+    monkeypatch.setattr(packing, "LEAST", 100)
+    rng = np.random.default_rng(7)
+    docs = [(k, " ".join(f"s{k % 4}w{x}" for x in np.minimum(rng.zipf(1.3, 40), 3000))) for k in range(5000)]
+    blocks, seeds, n_docs, mean = _blocks(spark, docs, 3)
+    parts = list(seeds.subjects.split(blocks()))
+    of = [[i for b in part for i, n in zip(b.ids.to_pylist(), b.count) if n] for part in parts]
+    assert sorted(i for own in of for i in own) == [k for k in range(5000) if k % 3] and sum(len(b.ids) for part in parts for b in part) == 5000
+    assert sum(len(own) > 0 for own in of) >= 4 and all(len({i % 4 for i in own}) <= 1 for own in of)
+    whole, found = Shard(blocks(), n_docs, mean), {}
+    for part in parts:
+        index = Shard(part, n_docs, mean)
+        found |= {i: x for i, *x in zip(index.ids.to_pylist(), *index.nearest(seeds))}
+    which, score = whole.nearest(seeds)
+    assert [found[i][0] for i in whole.ids.to_pylist()] == which.tolist() and np.allclose([found[i][1] for i in whole.ids.to_pylist()], score, atol=1e-6)
+
+
+@pytest.mark.parametrize("queries", [1, 7, 1024])
+def test_of_equal_scores_the_first_id_counts_in_any_batch(spark, monkeypatch, queries):
+    monkeypatch.setattr(packing, "QUERIES", queries)
+    docs = [(k, " ".join(f"w{(k * 7 + j) % 23}" for j in range(1 + k % 6))) for k in range(300)]
+    blocks, seeds, n_docs, mean = _blocks(spark, docs, 2)
+    index = Shard(blocks(), n_docs, mean)
+    got = {i: int(seeds.id[w]) if w >= 0 else None for i, w in zip(index.ids.to_pylist(), index.nearest(seeds)[0])}
+    want = {i: seed for i, _, seed, _ in brute.nearest(docs, 2) if i % 2}
+    assert {i: got[i] for i in want} == want
