@@ -32,6 +32,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as ``list_files`` names it."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def list_files(spark: SparkSession, path: str, older_than: float | None = None, suffix: str = "") -> list[str]:
     """Files under a folder, sorted; with ``older_than`` only those not changed for so many seconds."""
     fs, p = _fs(spark, path)
