@@ -30,13 +30,13 @@ def unindexed(files: DataFrame, covered: DataFrame) -> DataFrame:
     return files.join(covered, "file_path", "left_anti")
 
 
-def scan_newest(spark: SparkSession, files: list[str], index: SearchIndex, query, k: int, *columns: str) -> DataFrame | None:
+def scan_newest(lake: L.Lake, files: list[str], index: SearchIndex, query, k: int, *columns: str) -> DataFrame | None:
     """The first k matches of the last files, if a part of the files holds so many: batches of files, newest first, each twice as large as the one before."""
     left, size = sorted(files, reverse=True), 1
     taken: list[str] = []
     while len(left) > size:
         taken, left, size = taken + left[:size], left[size:], 2 * size
-        found = index.verify(L.with_uid(L.scan(spark, taken, *columns), index.stride), query, k)
+        found = index.verify(L.with_uid(lake.scan(taken, *columns), index.stride), query, k)
         if found.count() >= k:
             return found
     return None
@@ -68,25 +68,25 @@ def search(lake: L.Lake, catalog: Catalog, index: SearchIndex, query, k: int, co
         tables = index_tables(catalog, index, [r.index_id for r in useful])
         known = tables["frequencies"].select("term") if useful else None
         if tail:
-            more = L.scan(spark, tail, index.column).select(F.explode(index.tokens(F.col(index.column))).alias("term"))
+            more = lake.scan(tail, index.column).select(F.explode(index.tokens(F.col(index.column))).alias("term"))
             known = more if known is None else known.unionByName(more)
         query = {r.term: float(r.weight) for r in expand(known.distinct(), query).collect()}
-    whole = L.with_uid(L.scan(spark, live, *wanted), index.stride)
+    whole = L.with_uid(lake.scan(live, *wanted), index.stride)
     candidates = index.candidates(index_tables(catalog, index, [r.index_id for r in useful]), query) if covered else None
     if candidates is not None:
         here = candidates.join(files, "file_path", "left_semi")
         if index.name != "bm25" and here.limit(index.brute_force_threshold + 1).count() > index.brute_force_threshold:
             candidates = None
-    if candidates is None and index.newest_first and k is not None and (found := scan_newest(spark, live, index, query, k, *wanted)) is not None:
+    if candidates is None and index.newest_first and k is not None and (found := scan_newest(lake, live, index, query, k, *wanted)) is not None:
         return found.select("file_path", "row_index", *wanted)
     if candidates is None:
         rows = whole if covered or tail else whole.limit(0)
     else:
-        indexed = L.with_uid(L.scan(spark, covered, *wanted), index.stride)
+        indexed = L.with_uid(lake.scan(covered, *wanted), index.stride)
         key = ["file_path", "row_index"] if "row_index" in here.columns else ["file_path", "uid"]
         rows = indexed.join(here.select(*key).distinct(), key, "left_semi")
         if tail:
-            rows = rows.unionByName(L.with_uid(L.scan(spark, tail, *wanted), index.stride))
+            rows = rows.unionByName(L.with_uid(lake.scan(tail, *wanted), index.stride))
     if isinstance(index, Bm25Index):
         # Scores are the corpus's: indexes that cover each file once, and live ones only, know size and mean length of theirs; the others are counted.
         text = F.col(index.column)
@@ -94,7 +94,7 @@ def search(lake: L.Lake, catalog: Catalog, index: SearchIndex, query, k: int, co
         known = useful and len(named) == len(set(named)) and set(named) <= set(live)
         parts = [index_tables(catalog, index, [r.index_id for r in useful])["stats"].select("n_docs", "avgdl")] if known else []
         if counted := tail if known else live:
-            parts.append(corpus_stats(L.scan(spark, counted, index.column).filter(text.isNotNull()), index.tokens(text)))
+            parts.append(corpus_stats(lake.scan(counted, index.column).filter(text.isNotNull()), index.tokens(text)))
         each = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         stats = each.agg(F.sum("n_docs").alias("n_docs"), (F.sum(F.col("avgdl") * F.col("n_docs")) / F.sum("n_docs")).alias("avgdl"))
         found = index.verify(rows.filter(text.isNotNull()), query, k, stats)
@@ -116,9 +116,9 @@ def build_index(lake: L.Lake, catalog: Catalog, index: SearchIndex, row_threshol
     paths = [r.file_path for r in todo.orderBy("file_path").collect()]
     if not paths:
         return []
-    counts = {r.file_path: r["count"] for r in L.scan(spark, paths).groupBy("file_path").count().collect()}
+    counts = {r.file_path: r["count"] for r in lake.scan(paths).groupBy("file_path").count().collect()}
     groups = [(catalog.fresh_id(), group) for group in pack_files([(p, counts.get(p, 0)) for p in paths], row_threshold)]
-    rows = L.with_uid(L.scan(spark, paths, index.column), index.stride)
+    rows = L.with_uid(lake.scan(paths, index.column), index.stride)
     if len(groups) == 1:
         named = rows.withColumn("index_id", F.lit(groups[0][0]))
     else:
