@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Candidate blocks beyond which a scan is cheaper than reading them one by one.
 BRUTE_FORCE_THRESHOLD = 1000
 
 
+#: Rows of an index for which its tables have a bucket, which one task writes.
+BUCKET_ROWS = 4096
+
+
 def named(rows: DataFrame) -> DataFrame:
-    """The rows with an ``index_id``; those that have none are one index's."""
-    return rows if "index_id" in rows.columns else rows.withColumn("index_id", F.lit("one"))
+    """The rows with an ``index_id`` and the number of its ``buckets``; those that have none are one index's, in four buckets for each task of an exchange."""
+    rows = rows if "index_id" in rows.columns else rows.withColumn("index_id", F.lit("one"))
+    return rows if "buckets" in rows.columns else rows.withColumn("buckets", F.lit(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def bucket(key: str) -> Column:
+    """Bucket of a row by its key. An exchange by index and bucket writes as many files as there are buckets, where one by key would write one for each index and task."""
+    return F.pmod(F.xxhash64(key), F.col("buckets").cast("long")).cast("int")
 
 
 class SearchIndex(ABC):

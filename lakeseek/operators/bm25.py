@@ -6,10 +6,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import counts as C
 from ..functions import scoring as S
 from ..functions import text as T
 from ..sources.storage import workspace
-from .base import SearchIndex, named
+from .base import SearchIndex, bucket, named
 
 
 def term_frequencies(docs: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
@@ -113,23 +114,32 @@ class Bm25Index(SearchIndex):
         return F.regexp_extract_all(F.lower(column), F.lit(self.tokenizer), F.lit(0))
 
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
-        """The texts are tokenised once, into a table in the shared folder from which the index's three are made."""
+        """The texts are tokenised once, into a table of each row's distinct words in the shared folder, from which the index's three are made.
+
+        What is exchanged are the terms of blocks, with a number for index and file; the list of files and a mean for each index come to the driver.
+        """
         rows = named(rows)
         spark = rows.sparkSession
-        words = rows.filter(F.col(self.column).isNotNull()).select("index_id", "file_path", "uid", "row_index", self.tokens(F.col(self.column)).alias("words"))
-        each = words.select("index_id", "file_path", "uid", "row_index", F.size("words").cast("long").alias("length"), F.posexplode_outer("words").alias("pos", "term"))
-        # A row has its terms' postings together already, so they are counted where they are.
+        words = rows.filter(F.col(self.column).isNotNull()).select("index_id", "buckets", "file_path", "uid", self.tokens(F.col(self.column)).alias("words"))
         path = workspace(spark, "terms")
         self.scratch.append(path)
-        each.groupBy("index_id", "file_path", "uid", "row_index", "term").agg(F.count("pos").alias("tf"), F.first("length").alias("length"), F.coalesce(F.min("pos") == 0, F.lit(True)).alias("first")).write.parquet(path)
+        C.word_counts(words, ["index_id", "buckets", "file_path", "uid"]).write.parquet(path)
         made = spark.read.parquet(path)
-        stats = made.filter("first").groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
-        tf = made.filter("term IS NOT NULL")
-        factor = tf.join(stats, "index_id").withColumn("factor", S.tf_factor(F.col("tf"), F.col("length"), F.col("avgdl")))
-        pages = factor.groupBy("index_id", "term", "file_path", "uid").agg(S.quantise(F.max("factor")).alias("score"))
+        stats = made.groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
+        mean = {r.index_id: r.avgdl for r in stats.collect()}
+        files = made.select("index_id", "file_path", "buckets").distinct().collect()
+        groups = {(r.index_id, r.file_path): k for k, r in enumerate(files)}
+        numbers = {i: k for k, i in enumerate(mean)}
+        # A few numbers go along with the terms; the names come back after the exchange.
+        of = F.broadcast(spark.createDataFrame([(k, numbers[r.index_id], r.buckets) for k, r in enumerate(files)], "file int, number int, buckets int"))
+        names = F.broadcast(spark.createDataFrame([(k, r.index_id, r.file_path) for k, r in enumerate(files)], "file int, index_id string, file_path string"))
+        ids = F.broadcast(spark.createDataFrame([(k, i) for i, k in numbers.items()], "number int, index_id string"))
+        at = lambda found: found.join(of, "file").withColumn("bucket", bucket("term")).repartition("number", "bucket")
+        pages = at(C.block_scores(made, groups, [mean[r.index_id] for r in files])).groupBy("number", "bucket", "term", "file", "uid").agg(F.max("score").alias("score")).join(names, "file")
+        df = at(C.row_counts(made, groups)).groupBy("number", "bucket", "term").agg(F.sum("df").alias("df")).join(ids, "number")
         return {
-            "postings": pages.repartitionByRange("index_id", "term").sortWithinPartitions("index_id", "term"),
-            "frequencies": tf.groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("index_id", "term").sortWithinPartitions("index_id", "term"),
+            "postings": pages.select("index_id", "term", "file_path", "uid", "score").sortWithinPartitions("index_id", "term"),
+            "frequencies": df.select("index_id", "term", "df").sortWithinPartitions("index_id", "term"),
             "stats": stats.withColumn("tokenizer", F.lit(self.tokenizer)),
         }
 
@@ -164,7 +174,7 @@ class Bm25Index(SearchIndex):
         self.check_tokenizers(tables["stats"])
         stats = tables["stats"].agg(F.sum("n_docs").alias("n_docs"), (F.sum(F.col("avgdl") * F.col("n_docs")) / F.sum("n_docs")).alias("avgdl"), F.first("tokenizer").alias("tokenizer"))
         return {
-            "postings": tables["postings"].drop("index_id").repartitionByRange("term").sortWithinPartitions("term", "file_path", "uid"),
-            "frequencies": tables["frequencies"].groupBy("term").agg(F.sum("df").alias("df")).repartitionByRange("term").sortWithinPartitions("term"),
+            "postings": tables["postings"].drop("index_id").repartition("term").sortWithinPartitions("term", "file_path", "uid"),
+            "frequencies": tables["frequencies"].groupBy("term").agg(F.sum("df").alias("df")).sortWithinPartitions("term"),
             "stats": stats,
         }

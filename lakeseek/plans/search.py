@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.base import SearchIndex
+from ..operators.base import BUCKET_ROWS, SearchIndex
 from ..operators.bm25 import Bm25Index, corpus_stats
 from ..sources import lake as L
 from ..sources import storage
@@ -119,11 +119,12 @@ def build_index(lake: L.Lake, catalog: Catalog, index: SearchIndex, row_threshol
     counts = {r.file_path: r["count"] for r in lake.scan(paths).groupBy("file_path").count().collect()}
     groups = [(catalog.fresh_id(), group) for group in pack_files([(p, counts.get(p, 0)) for p in paths], row_threshold)]
     rows = L.with_uid(lake.scan(paths, index.column), index.stride)
+    size = {i: max(1, -(-sum(n for _, n in group) // BUCKET_ROWS)) for i, group in groups}
     if len(groups) == 1:
-        named = rows.withColumn("index_id", F.lit(groups[0][0]))
+        named = rows.withColumn("index_id", F.lit(groups[0][0])).withColumn("buckets", F.lit(size[groups[0][0]]))
     else:
-        of = spark.createDataFrame([(p, i) for i, group in groups for p, _ in group], "file_path string, index_id string")
-        named = rows.join(of, "file_path")
+        of = spark.createDataFrame([(p, i, size[i]) for i, group in groups for p, _ in group], "file_path string, index_id string, buckets int")
+        named = rows.join(F.broadcast(of), "file_path")
     catalog.write(index.build(named))
     while index.scratch:
         storage.delete(spark, index.scratch.pop())
