@@ -36,10 +36,11 @@ def _coded(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def word_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, length, terms, counts)`` of each row's ``words`` (not null): how many there are, the distinct ones, and how often each is there. A row's words are together, so nothing is exchanged."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", length long, terms array<string>, counts array<int>"
+    most = _WORDS
 
     def f(batches):
         for whole in batches:
-            for part in slices(whole, _lengths(whole.column("words")), _WORDS):
+            for part in slices(whole, _lengths(whole.column("words")), most):
                 length = _lengths(part.column("words"))
                 words, codes = _coded(part.column("words").flatten())
                 n = max(1, len(words))
@@ -53,10 +54,11 @@ def word_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _by_group(counted: DataFrame, groups: dict[tuple, int], schema: str, f: Callable) -> DataFrame:
     """``f(batch, group of each row, row of each term, distinct terms, code of each term)`` over runs of rows that ``groups`` numbers by ``(index_id, file_path)``."""
+    most = _WORDS
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, _lengths(whole.column("terms")), _WORDS):
+            for part in slices(whole, _lengths(whole.column("terms")), most):
                 ids, a = _coded(part.column("index_id"))
                 files, b = _coded(part.column("file_path"))
                 pairs, each = np.unique(a * max(1, len(files)) + b, return_inverse=True)

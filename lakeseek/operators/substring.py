@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ngrams as N
+from ..functions import postings as P
 from ..functions import text as T
-from .base import SearchIndex, named
+from ..functions.counts import slices
+from .base import SearchIndex, bucket, named
 
 
 def substring_scan(rows: DataFrame, column: str, query: str, k: int | None = None) -> DataFrame:
@@ -16,13 +23,27 @@ def substring_scan(rows: DataFrame, column: str, query: str, k: int | None = Non
     return found.limit(k) if k is not None else found
 
 
-def holding_all(postings: DataFrame, key: str, wanted: list, by: list[str]) -> DataFrame:
-    """Groups that hold each of the wanted keys; the filter reaches the scan of the sorted postings."""
-    return postings.filter(F.col(key).isin(wanted)).groupBy(*by).agg(F.count_distinct(key).alias("n")).filter(F.col("n") == len(set(wanted))).drop("n")
+def holding_all(postings: DataFrame, wanted: list[int]) -> DataFrame:
+    """Blocks ``(file_path, uid)`` that hold each of the wanted keys; the filter reaches the scan of the sorted postings."""
+    found = P.unpacked(postings.filter(F.col("gram").isin(wanted)), ["file_path", "gram"])
+    return found.groupBy("file_path", "uid").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(set(wanted))).drop("n")
+
+
+def _stored(rows: DataFrame, keys) -> DataFrame:
+    """``(index_id, gram, file_path, uids)``: packed postings of the rows, by bucket of their index. Lists are made where the rows are, so that lists are exchanged and not their numbers."""
+    lists = P.packed_postings(rows, ["index_id", "buckets", "file_path"], keys)
+    spread = lists.withColumn("bucket", bucket("gram")).repartition("index_id", "bucket")
+    return spread.sortWithinPartitions("index_id", "gram").select("index_id", "gram", "file_path", "uids")
+
+
+def _row_hashes(batch: pa.RecordBatch):
+    """Parts of the batch, their ``hashes``, and how many each row has."""
+    for part in slices(batch, pc.list_value_length(batch.column("hashes")).to_numpy(zero_copy_only=False), P.HELD):
+        yield part, part.column("hashes").flatten().to_numpy(zero_copy_only=False), pc.list_value_length(part.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class SubstringIndex(SearchIndex):
-    """Distinct n-grams of the normalised text by block. Grams never span rows, as a match doesn't."""
+    """Distinct n-grams of the normalised text by block, as packed lists of blocks. Grams never span rows, as a match doesn't."""
 
     name = "substring"
 
@@ -32,23 +53,19 @@ class SubstringIndex(SearchIndex):
 
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
         rows = named(rows)
-        normal = rows.select("index_id", "file_path", "uid", T.normalise(F.col(self.column)).alias("text"))
-        grams = N.gram_postings(normal, ["index_id", "file_path", "uid"], self.gram)
-        if self.stride > 1:
-            grams = grams.distinct()  # a row's grams are distinct already
-        # By hash and not by ranges: no job for samples, and the page statistics of the sorted files prune all the same. Common grams are split.
-        return {"postings": grams.repartition("index_id", "gram", F.pmod("uid", F.lit(8))).sortWithinPartitions("index_id", "gram")}
+        normal = rows.filter(F.col(self.column).isNotNull()).select("index_id", "buckets", "file_path", "uid", T.normalise(F.col(self.column)).alias("text"))
+        return {"postings": _stored(normal, partial(N.row_grams, n=self.gram))}
 
     def candidates(self, tables: dict[str, DataFrame], query: str) -> DataFrame | None:
         wanted = N.query_codes(T.normalise_query(query), self.gram)
-        return holding_all(tables["postings"], "gram", wanted, ["file_path", "uid"]) if wanted else None
+        return holding_all(tables["postings"], wanted) if wanted else None
 
     def verify(self, rows: DataFrame, query: str, k: int | None) -> DataFrame:
         return substring_scan(rows, self.column, query, k)
 
 
 class TokenSubstringIndex(SearchIndex):
-    """Distinct words, and pairs of consecutive words, by block; a query's inner words are whole words of any match, its first and last may be cut."""
+    """Distinct words, and pairs of consecutive words, by block, as hashes (one that clashes costs a block to verify); a query's inner words are whole words of any match, its first and last may be cut."""
 
     name = "substring_token"
 
@@ -58,12 +75,10 @@ class TokenSubstringIndex(SearchIndex):
 
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
         rows = named(rows)
-        words = rows.filter(F.col(self.column).isNotNull()).select("index_id", "file_path", "uid", T.tokens(F.col(self.column)).alias("words"))
-        pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array())
-        each = words.select("index_id", "file_path", "uid", F.explode(F.array_union("words", pairs)).alias("term"))
-        if self.stride > 1:
-            each = each.distinct()
-        return {"postings": each.repartitionByRange("index_id", "term").sortWithinPartitions("index_id", "term")}
+        words = rows.filter(F.col(self.column).isNotNull()).select("index_id", "buckets", "file_path", "uid", T.tokens(F.col(self.column)).alias("words"))
+        pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))).otherwise(F.array())
+        hashes = words.select("index_id", "buckets", "file_path", "uid", F.concat(F.transform("words", lambda w: F.xxhash64(w)), pairs).alias("hashes"))
+        return {"postings": _stored(hashes, _row_hashes)}
 
     def candidates(self, tables: dict[str, DataFrame], query: str) -> DataFrame | None:
         import regex
@@ -72,7 +87,10 @@ class TokenSubstringIndex(SearchIndex):
         whole = [m.group() for m in found if m.start() > 0 and m.end() < len(query.lower())]
         # Consecutive words of the query are consecutive in a match.
         wanted = {f"{a} {b}" for a, b in zip(whole, whole[1:])} or set(whole)
-        return holding_all(tables["postings"], "term", sorted(wanted), ["file_path", "uid"]) if wanted else None
+        if not wanted:
+            return None
+        hashes = tables["postings"].sparkSession.range(1).select(*(F.xxhash64(F.lit(w)) for w in sorted(wanted))).first()
+        return holding_all(tables["postings"], list(hashes))
 
     def verify(self, rows: DataFrame, query: str, k: int | None) -> DataFrame:
         return substring_scan(rows, self.column, query, k)
