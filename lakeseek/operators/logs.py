@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .base import SearchIndex, named
+from ..sources.storage import workspace
+from .base import SearchIndex, bucket, named
 
 #: Distinct tokens from which a symbol-class type has a partition of its own, and lines from which a token counts as dictionary.
 TYPE_TOKENS, DICTIONARY_LINES = 1000, 1000
@@ -61,13 +62,23 @@ class LogIndex(SearchIndex):
     def build(self, rows: DataFrame) -> dict[str, DataFrame]:
         rows = named(rows)
         lines = rows.withColumn("line", F.col(self.column))
-        postings = token_postings(lines, ["index_id", "file_path", "uid"]).distinct()
-        types = postings.groupBy("index_id", "mask").agg((F.count_distinct("token") > self.type_tokens).alias("own"))
-        tagged = postings.join(types, ["index_id", "mask"]).withColumn("mask", F.when(F.col("own"), F.col("mask")).otherwise(-1)).drop("own")
-        common = tagged.groupBy("index_id", "token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.dictionary_lines).select("index_id", "token")
+        postings = token_postings(lines, ["index_id", "buckets", "file_path", "uid"])
+        if self.stride > 1:
+            postings = postings.distinct()  # a line's tokens are distinct already
+        # A row for each distinct token decides on types and dictionary. Types are at most 64 for each index, and a token of the dictionary
+        # stands for more than ``dictionary_lines`` postings: both go to the tasks, so that no task gets all postings of a type.
+        path = workspace(rows.sparkSession, "tokens")
+        self.scratch.append(path)
+        postings.groupBy("index_id", "mask", "token").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+        known = rows.sparkSession.read.parquet(path)
+        types = known.groupBy("index_id", "mask").agg((F.count(F.lit(1)) > self.type_tokens).alias("own"))
+        common = known.filter(F.col("n") > self.dictionary_lines).select("index_id", "token")
+        rare = postings.join(F.broadcast(common), ["index_id", "token"], "left_anti")
+        tagged = rare.join(F.broadcast(types), ["index_id", "mask"]).withColumn("mask", F.when(F.col("own"), F.col("mask")).otherwise(-1)).drop("own")
         template = lines.select("index_id", T.template(T.clean_line(F.col("line"))).alias("text")).filter("text IS NOT NULL").distinct()
+        spread = tagged.withColumn("bucket", bucket("token")).repartition("index_id", "bucket").drop("bucket", "buckets")
         return {
-            "tokens": tagged.join(common, ["index_id", "token"], "left_anti").repartitionByRange("index_id", "mask", "token").sortWithinPartitions("index_id", "mask", "token"),
+            "tokens": spread.sortWithinPartitions("index_id", "mask", "token"),
             "dictionary": common.select("index_id", F.col("token").alias("text")).unionByName(template),
         }
 

@@ -56,3 +56,17 @@ def test_files_of_parts(key, spark, sf_dir, duck, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert rows(mine) == rows(duck.execute(SQL[key]).fetchdf())
     assert len(registry.storage.list_files(spark, written[0], suffix=".parquet")) >= 16
+
+
+def test_log_index_has_no_task_for_a_type(spark, tmp_path):
+    """Types and common tokens are sent to the postings, which aren't exchanged by type; what the index says is as before."""
+    from lakeseek.operators import logs
+
+    lines = [(f"i{k % 2}", 2, "f", k, f"got a{k} b1 b1 C{k // 20} at 7") for k in range(80)]
+    rows = spark.createDataFrame(lines, "index_id string, buckets int, file_path string, uid long, line string")
+    made = logs.LogIndex("line", type_tokens=5, dictionary_lines=20).build(rows)
+    # Of the 40 lines of an index, b1 and 7 are in all, each C in ten, each a in one. Tokens a are of one type, and more than five.
+    assert {(r.index_id, r.token, r.mask, r.uid) for r in made["tokens"].collect()} == {x for k in range(80) for x in ((f"i{k % 2}", f"a{k}", 5, k), (f"i{k % 2}", f"C{k // 20}", -1, k))}
+    assert {tuple(r) for r in made["dictionary"].collect()} == {(i, t) for i in ("i0", "i1") for t in ("b1", "7", "got <*> <*> <*> <*> at <*>")}
+    plan = made["tokens"]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
