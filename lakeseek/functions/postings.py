@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from .counts import slices
 
-#: Postings that are sorted at once, in some 100 MB.
-HELD = 4_000_000
+#: Postings that are sorted at once.
+HELD = 1_500_000
 
 
 def _packed(numbers: np.ndarray, starts: np.ndarray) -> pa.Array:

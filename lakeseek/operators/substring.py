@@ -38,7 +38,7 @@ def _stored(rows: DataFrame, keys) -> DataFrame:
 
 def _row_hashes(batch: pa.RecordBatch):
     """Parts of the batch, their ``hashes``, and how many each row has."""
-    for part in slices(batch, pc.list_value_length(batch.column("hashes")).to_numpy(zero_copy_only=False), P.HELD):
+    for part in slices(batch, pc.list_value_length(batch.column("hashes")).to_numpy(zero_copy_only=False), P.HELD // 4):
         yield part, part.column("hashes").flatten().to_numpy(zero_copy_only=False), pc.list_value_length(part.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
