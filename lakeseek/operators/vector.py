@@ -30,7 +30,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, block: int = 4096) -> Da
     """``(q, id, distance, rank)``: for each query vector ``(q, vector)`` the k nearest of ``(id, vector)``, ties by id.
 
     Both sides are cut into blocks by hash, and each two blocks meet in one task, where matrix
-    products give the distances and only the best k of each query go on. Nothing comes to the driver but two counts.
+    products give the distances and only the best k of each query go on. A task holds two blocks, of ``block`` queries and eight times
+    as many points, and the distances of 64 queries, whatever the tables' sizes; the work is their product. Nothing comes to the driver but two counts.
     """
     queries = left.select(F.col("q").cast("long").alias("id"), "vector").filter("vector IS NOT NULL")
     points = right.select(F.col("id").cast("long").alias("id"), "vector").filter("vector IS NOT NULL")
@@ -45,10 +46,14 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, block: int = 4096) -> Da
         ids, vectors = group["id"].to_numpy(), V._matrix(group["vector"].combine_chunks())
         names, q, ids, m = ids[asks], vectors[asks], ids[~asks], vectors[~asks]
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        norm = (m**2).sum(1)
-        for at in range(0, len(q) if len(m) else 0, 256):
-            part = q[at : at + 256]
-            d = np.nan_to_num(np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] - 2 * part @ m.T + norm)), nan=np.inf)
+        norm, turned = (m**2).sum(1), -2 * m.T
+        for at in range(0, len(q) if len(m) else 0, 64):
+            part = q[at : at + 64]
+            d = part @ turned  # in place from here on: a matrix and its partitioned copy are held, of 64 queries
+            d += norm
+            d += (part**2).sum(1)[:, None]
+            np.sqrt(np.maximum(0, d, out=d), out=d)
+            d[np.isnan(d)] = np.inf
             edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
             x, y = np.nonzero(d <= edge[:, None] + 1e-6)  # ties stay
             exact = np.sqrt(((part[x] - m[y]) ** 2).sum(1))
