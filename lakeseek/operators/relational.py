@@ -58,3 +58,19 @@ def sample_rows(rows: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
 def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int = 1) -> DataFrame:
     """n rows without replacement, with probability by weight: the least of -ln(u) / w."""
     return rows.filter(F.col(weight) > 0).withColumn("__u", -F.log(F.rand(seed)) / F.col(weight)).orderBy("__u").limit(n).drop("__u")
+
+
+def count_lost(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """``(lost)``: how many of the rows ``before`` aren't among those ``after``, doubles counted.
+
+    Groups ``by`` some columns with as many rows and the same sums of two hashes of 64 bits are equal; only the others' rows are compared.
+    """
+    columns = before.columns
+
+    def digests(rows: DataFrame) -> DataFrame:
+        parts = [p for salt in (1, 2) for h in [F.xxhash64(F.lit(salt), *columns)] for p in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(p).alias(f"p{k}") for k, p in enumerate(parts)))
+
+    changed = F.broadcast(digests(before).exceptAll(digests(after)).select(*by))
+    held = lambda rows: rows.select(*columns).join(changed, by, "left_semi").select(*columns)
+    return held(before).exceptAll(held(after)).agg(F.count(F.lit(1)).alias("lost"))
